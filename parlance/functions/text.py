@@ -57,17 +57,19 @@ def tokenize(c) -> Column:
             .otherwise(F.split(stripped, JAVA_WS)))
 
 
-def ngrams(words: str, n: int = 2) -> Column:
+def ngrams(words, n: int = 2) -> Column:
     """ML ``NGram``: sliding n-grams joined by a space; fewer than n -> [].
 
-    ``words`` must name a column (not an expression): the array is referenced
-    inside the lambda, and a column reference is evaluated once per row.
+    Built from shifted copies of the array combined by ``zip_with``: no
+    lambda body refers to the word array, so even if the optimizer inlines
+    the array expression the cost per row stays linear.
     """
-    w = F.col(words)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(w) - n + 1),
-        lambda i: F.array_join(F.slice(w, i, n), " "),
-    )
+    w = _c(words)
+    acc = w
+    for k in range(2, n + 1):
+        acc = F.zip_with(acc, F.slice(w, k, F.greatest(F.size(w) - k + 1, F.lit(0))),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.slice(acc, 1, F.size(w) - n + 1) if n > 1 else w
     return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -80,24 +82,25 @@ def bucket_ids(terms, num_buckets: int) -> Column:
     return F.transform(_c(terms), lambda t: F.pmod(F.hash(t), F.lit(num_buckets)))
 
 
-def run_starts(sorted_col: str) -> Column:
-    """1-based positions where a new value starts in a sorted array column."""
-    s = F.col(sorted_col)
-    n = F.size(s)
-    return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))))
+def run_flags(sorted_col) -> Column:
+    """Per position of a sorted int array: does a new value start here?"""
+    s = _c(sorted_col)
+    prev = F.concat(F.array(F.lit(None).cast("int")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+    return F.zip_with(s, prev, lambda cur, p: p.isNull() | (cur != p))
 
 
-def run_lengths(sorted_col: str, starts_col: str) -> Column:
-    """(value, count) structs from a sorted array and its run starts.
+def run_lengths(sorted_col, flags_col) -> Column:
+    """(bucket, tf) structs of a sorted int array and its run-start flags.
 
-    Both arguments name columns; see ``ngrams`` for why.
+    Only element-wise lambdas (``zip_with``/``transform`` over arguments), no
+    random access into the arrays: linear per row.
     """
-    s, st = F.col(sorted_col), F.col(starts_col)
-    n, k = F.size(s), F.size(st)
-    ends = F.transform(st, lambda a, j: F.when(j + 1 < k, F.element_at(st, j + 2)).otherwise(n + 1))
-    return F.zip_with(st, ends, lambda a, b: F.struct(
-        F.element_at(s, a).alias("bucket"), (b - a).cast("long").alias("tf")))
+    s, fl = _c(sorted_col), _c(flags_col)
+    starts = F.filter(F.transform(fl, lambda f, i: F.when(f, i + 1).otherwise(0)), lambda x: x > 0)
+    values = F.filter(F.zip_with(s, fl, lambda v, f: F.when(f, v)), lambda x: x.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(s) + 1))
+    counts = F.zip_with(ends, starts, lambda e, b: (e - b).cast("long"))
+    return F.zip_with(values, counts, lambda v, c: F.struct(v.alias("bucket"), c.alias("tf")))
 
 
 def last_segment(c) -> Column:

@@ -37,7 +37,7 @@ def featurize(df: DataFrame, text_col: str, num_features: int, n: int = 2,
     return (df.withColumn("_w", T.tokenize(text_col))
             .withColumn("_g", T.ngrams("_w", n))
             .withColumn("_b", F.sort_array(T.bucket_ids("_g", num_features)))
-            .withColumn("_st", T.run_starts("_b"))
+            .withColumn("_st", T.run_flags("_b"))
             .withColumn(out_col, T.run_lengths("_b", "_st"))
             .drop("_w", "_g", "_b", "_st"))
 

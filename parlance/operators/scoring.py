@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.labels import OTHER
-from parlance.operators.train import TextModel
+from parlance.operators.train import TextModel, text_feature_stages
 
 
 def score_reference(predicted: Column | str, p0: Column | str, classifier: Column | str) -> Column:
@@ -63,31 +63,30 @@ def classify(df: DataFrame, tm: TextModel, mode: str = "calibrated") -> DataFram
     return out.withColumn("score", score)
 
 
-def classify_all(df: DataFrame, models: Sequence[TextModel], id_col: str, text_col: str = "utterance",
-                 mode: str = "calibrated", domain_col: str | None = None) -> DataFrame:
-    """{id, domain, classifier, predictedLabel, score} for every model.
+def apply_models(df: DataFrame, models: Sequence[TextModel], text_col: str | dict[str, str] = "utterance",
+                 mode: str = "calibrated"):
+    """Apply every model to the same rows in one pass.
 
-    Features are computed once per feature width; each model's classifier
-    writes its own columns; the scores are stacked with ``inline``.  With
-    ``domain_col`` a row is scored only by the models of its domain
-    (null = all domains).
+    Returns (frame, entries) where entries are (model, predictedLabel column,
+    score column), in (domain, classifier) order.  Features are computed once
+    per (text column, feature width); ``text_col`` may map a domain to its
+    own (e.g. slot-replaced) text column.
     """
-    base = df.select(id_col, F.col(text_col).alias("utterance"),
-                     *( [F.col(domain_col).alias("_req_domain")] if domain_col else []))
-    by_width: dict[int, list[TextModel]] = {}
+    col_of = (lambda d: text_col.get(d, "utterance")) if isinstance(text_col, dict) else (lambda d: text_col)
+    groups: dict[tuple[str, int], list[TextModel]] = {}
     for tm in models:
-        by_width.setdefault(tm.num_features, []).append(tm)
+        groups.setdefault((col_of(tm.domain), tm.num_features), []).append(tm)
+    cur = df
     entries = []
-    cur = base
-    for width, group in sorted(by_width.items()):
-        feat_stages, _ = _split_stages(group[0].model)
-        fcol = f"_features_{width}"
-        tmp = PipelineModel(stages=feat_stages).transform(cur)
+    for gi, ((tcol, width), group) in enumerate(sorted(groups.items())):
+        fcol = f"_features_{gi}"
+        # same feature stages as at training time, reading this group's text column
+        tmp = PipelineModel(stages=text_feature_stages(tcol, width)).transform(cur)
         cur = tmp.withColumnRenamed("features", fcol).drop("words", "ngrams", "_bucket_terms")
         for i, tm in enumerate(group):
             _, rest = _split_stages(tm.model)
-            tag = f"_{width}_{i}"
-            clf, conv = rest[0].copy(), [s for s in rest[1:] if isinstance(s, IndexToString)]
+            tag = f"_{gi}_{i}"
+            clf = rest[0].copy()
             clf.setFeaturesCol(fcol)
             clf.setPredictionCol(f"_pred{tag}")
             clf.setProbabilityCol(f"_prob{tag}")
@@ -99,18 +98,56 @@ def classify_all(df: DataFrame, models: Sequence[TextModel], id_col: str, text_c
             p0 = vector_to_array(F.col(f"_prob{tag}")).getItem(0)
             score = (score_reference(pred_label, p0, tm.classifier) if mode == "reference"
                      else score_calibrated(F.col(f"_prob{tag}"), labels, tm.classifier))
-            keep = F.lit(True)
-            if domain_col:
-                keep = F.col("_req_domain").isNull() | (F.col("_req_domain") == tm.domain)
-            entries.append(F.when(keep, F.struct(F.lit(tm.domain).alias("domain"),
-                                                 F.lit(tm.classifier).alias("classifier"),
-                                                 pred_label.alias("predictedLabel"),
-                                                 score.alias("score"))))
-            cur = cur.drop(f"_raw{tag}")
-    return (cur.select(id_col, F.inline_outer(F.array(*entries)))
+            entries.append((tm, pred_label, score))
+    entries.sort(key=lambda e: (e[0].domain, e[0].classifier))
+    return cur, entries
+
+
+def classify_all(df: DataFrame, models: Sequence[TextModel], id_cols: Sequence[str] | str,
+                 text_col: str | dict[str, str] = "utterance", mode: str = "calibrated",
+                 domain_col: str | None = None) -> DataFrame:
+    """{id, domain, classifier, predictedLabel, score} for every model.
+
+    Scores are stacked to long form with ``inline``.  With ``domain_col`` a
+    row is scored only by the models of its domain (null = all domains).
+    """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    cur, entries = apply_models(df, models, text_col, mode)
+    structs = []
+    for tm, pred_label, score in entries:
+        keep = F.lit(True)
+        if domain_col:
+            keep = F.col(domain_col).isNull() | (F.col(domain_col) == tm.domain)
+        structs.append(F.when(keep, F.struct(F.lit(tm.domain).alias("domain"),
+                                             F.lit(tm.classifier).alias("classifier"),
+                                             pred_label.alias("predictedLabel"),
+                                             score.alias("score"))))
+    return (cur.select(*ids, F.inline_outer(F.array(*structs)))
             .filter(F.col("classifier").isNotNull()))
 
 
+def stacked_scores(df: DataFrame, models: Sequence[TextModel], text_col: str | dict[str, str] = "utterance",
+                   out_col: str = "scores", pairs_col: str | None = None, domain_col: str | None = None,
+                   mode: str = "calibrated") -> DataFrame:
+    """Wide form: the scores of all models as one array<double> per row,
+    ordered by (domain, classifier) (C4/L2 without a group-by), optionally
+    also as (label, score) pairs restricted to the row's domain."""
+    keep_cols = df.columns
+    cur, entries = apply_models(df, models, text_col, mode)
+    out = cur.withColumn(out_col, F.array(*[sc.cast("double") for _, _, sc in entries]))
+    extra = [out_col]
+    if pairs_col:
+        pairs = []
+        for tm, _, sc in entries:
+            p = F.struct(F.lit(tm.classifier).alias("label"), sc.cast("double").alias("score"))
+            if domain_col:
+                p = F.when(F.col(domain_col).isNull() | (F.col(domain_col) == tm.domain), p)
+            pairs.append(p)
+        out = out.withColumn(pairs_col, F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+        extra.append(pairs_col)
+    return out.select(*keep_cols, *extra)
+
+
 def top_scores(scores: DataFrame, id_col: str, k: int, score_col: str = "score",
                name_col: str = "classifier") -> DataFrame:
     """L1: the k best classifiers per id (ties by name); a group is one id's scores."""

@@ -20,6 +20,7 @@ from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronC
 from pyspark.ml.feature import (CountVectorizerModel, IndexToString, OneHotEncoder, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,12 @@ def text_feature_stages(text_col: str = "utterance", num_features: int = DOMAIN_
     stripped = f"regexp_replace({low}, '{ws}+$', '')"
     words = (f"CASE WHEN {low} = '' THEN array('') WHEN {stripped} = '' THEN cast(array() AS array<string>) "
              f"ELSE split({stripped}, '{ws}') END")
-    grams = (f"CASE WHEN size(words) >= {n} THEN transform(sequence(1, size(words) - {n - 1}), "
-             f"i -> array_join(slice(words, i, {n}), ' ')) ELSE cast(array() AS array<string>) END")
+    # n-grams from shifted copies zipped together (no lambda reads the array)
+    acc = "words"
+    for k in range(2, n + 1):
+        acc = f"zip_with({acc}, slice(words, {k}, greatest(size(words) - {k - 1}, 0)), (a, b) -> concat(a, ' ', b))"
+    grams = (f"CASE WHEN size(words) >= {n} THEN slice({acc}, 1, size(words) - {n - 1}) "
+             f"ELSE cast(array() AS array<string>) END")
     stmt = (f"SELECT *, transform(ngrams, t -> cast(pmod(hash(t), {num_features}) AS string)) AS _bucket_terms "
             f"FROM (SELECT *, {grams} AS ngrams FROM (SELECT *, {words} AS words FROM __THIS__))")
     sqlt = SQLTransformer(statement=stmt)
@@ -87,12 +92,25 @@ class TextModel:
 def train_text_model(train: DataFrame, all_rows: DataFrame | None = None, algo: str = "lr",
                      num_features: int = DOMAIN_FEATURES, text_col: str = "utterance",
                      label_col: str = "strLabel", **params) -> PipelineModel:
-    """[indexer, words/ngrams/buckets, counts, classifier, IndexToString]."""
+    """[indexer, words/ngrams/buckets, counts, classifier, IndexToString].
+
+    The training rows are featurised once and persisted (memory, spilling to
+    disk; a lost block is recomputed from the short scan -> featurise
+    lineage): iterative fits (L-BFGS, one-vs-rest, forests) then read the
+    vectors instead of re-tokenising the text on every pass.
+    """
     idx = label_indexer(all_rows if all_rows is not None else train, label_col)
-    clf = make_classifier(algo, **params)
+    feat_stages = text_feature_stages(text_col, num_features)
+    feats = train
+    for st in feat_stages:
+        feats = st.transform(feats)
+    feats = idx.transform(feats).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = make_classifier(algo, **params).fit(feats)
+    finally:
+        feats.unpersist()
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=idx.labels)
-    stages = [idx, *text_feature_stages(text_col, num_features), clf, conv]
-    return Pipeline(stages=stages).fit(train)
+    return PipelineModel(stages=[idx, *feat_stages, fitted, conv])
 
 
 def model_labels(model: PipelineModel) -> list[str]:
@@ -114,7 +132,7 @@ def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_feat
     feats = rows
     for st in text_feature_stages(text_col, num_features):
         feats = st.transform(feats)
-    feats = feats.select(key_col, label_col, split_col, "features").persist()
+    feats = feats.select(key_col, label_col, split_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(key: str) -> TextModel:
         kr = feats.filter(F.col(key_col) == key)
