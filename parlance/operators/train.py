@@ -150,32 +150,41 @@ def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_feat
         feats.unpersist()
 
 
+def with_vector(df: DataFrame, array_col: str, out_col: str) -> DataFrame:
+    """array<double|float> -> ml Vector (JVM-side ``array_to_vector``)."""
+    return df.withColumn(out_col, array_to_vector(F.col(array_col)))
+
+
 def train_task_model(features: DataFrame, num_trees: int = TASK_TREES, seed: int = 1,
                      vector_col: str = "classifierFeatures") -> PipelineModel:
     """Dialogue-task model (E4/M5): indexers, one-hot(previousTask), assembler,
-    OneVsRest(RandomForest), IndexToString."""
-    df = features.withColumn("_cf", array_to_vector(F.col(vector_col)))
+    OneVsRest(RandomForest), IndexToString.  Input rows carry the stacked
+    scores as an array; ``task_input`` turns it into the ``_cf`` vector."""
+    df = task_input(features, vector_col)
     task_idx = StringIndexer(inputCol="previousTask", outputCol="indexedPreviousTask", handleInvalid="keep").fit(df)
     lab_idx = StringIndexer(inputCol="strLabel", outputCol="label", handleInvalid="keep").fit(df)
     enc = OneHotEncoder(inputCol="indexedPreviousTask", outputCol="taskEncoded", handleInvalid="keep")
     asm = VectorAssembler(inputCols=["_cf", "taskEncoded"], outputCol="features")
-    rf = RandomForestClassifier(numTrees=num_trees, seed=seed)
-    ovr = OneVsRest(classifier=rf)
+    ovr = OneVsRest(classifier=RandomForestClassifier(numTrees=num_trees, seed=seed))
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=lab_idx.labels)
-    to_vec = SQLTransformer(statement=f"SELECT *, array_to_vector(`{vector_col}`) AS _cf FROM __THIS__")
-    fitted = Pipeline(stages=[task_idx, lab_idx, enc, asm, ovr, conv]).fit(df)
-    return PipelineModel(stages=[to_vec, *fitted.stages])
+    return Pipeline(stages=[task_idx, lab_idx, enc, asm, ovr, conv]).fit(df)
+
+
+def task_input(features: DataFrame, vector_col: str = "classifierFeatures") -> DataFrame:
+    return with_vector(features, vector_col, "_cf")
 
 
 def train_mlp(df: DataFrame, features_col: str = "embedding", label_col: str = "label",
               hidden: Sequence[int] = (3, 2), solver: str = "gd", step_size: float = MLP_STEP,
               max_iter: int = 100, seed: int = MLP_SEED, n_classes: int | None = None) -> PipelineModel:
-    """Perceptron (M6) on a dense array column; layer sizes from the data."""
+    """Perceptron (M6) on a dense array column (``mlp_input`` makes the vector)."""
     first = df.select(F.size(features_col).alias("d")).first()
     d = int(first["d"]) if first else 0
     k = n_classes or int(df.agg(F.max(label_col)).first()[0]) + 1
-    to_vec = SQLTransformer(statement=f"SELECT *, array_to_vector(`{features_col}`) AS features, "
-                                      f"cast(`{label_col}` AS double) AS _label FROM __THIS__")
     mlp = MultilayerPerceptronClassifier(layers=[d, *hidden, k], solver=solver, stepSize=step_size,
                                          maxIter=max_iter, seed=seed, labelCol="_label")
-    return Pipeline(stages=[to_vec, mlp]).fit(df)
+    return Pipeline(stages=[mlp]).fit(mlp_input(df, features_col, label_col))
+
+
+def mlp_input(df: DataFrame, features_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    return with_vector(df, features_col, "features").withColumn("_label", F.col(label_col).cast("double"))

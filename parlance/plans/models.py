@@ -29,7 +29,7 @@ from parlance.sources import lines as L
 from parlance.sources import tables as TB
 
 _MEMO: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def _memo(spark: SparkSession, key, build):
@@ -178,7 +178,7 @@ def q_train_mlp(spark, sf):
     """M6: perceptron on the embeddings, summary metrics on the test split."""
     m = _mlp(spark, sf)
     emb = SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id").filter(~F.col("is_train"))
-    return EV.metrics_summary(m.transform(emb).withColumn("label", F.col("label").cast("double")))
+    return EV.metrics_summary(m.transform(TR.mlp_input(emb)).withColumn("label", F.col("label").cast("double")))
 
 
 @job("q_mlp_eval")
@@ -186,7 +186,7 @@ def q_mlp_eval(spark, sf):
     """A10: per-label statistics of the network on its training rows (as the reference)."""
     m = _mlp(spark, sf)
     emb = SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id").filter("is_train")
-    return EV.metrics_by_label(m.transform(emb).withColumn("label", F.col("label").cast("double")))
+    return EV.metrics_by_label(m.transform(TR.mlp_input(emb)).withColumn("label", F.col("label").cast("double")))
 
 
 # ---------------------------------------------------------------- registry / save / load
@@ -290,7 +290,7 @@ def q_train_task(spark, sf):
     """Dialogue-task model, evaluated per label on held-out conversations."""
     m = task_model(spark, sf)
     t = SP.hash_split(S.turns(spark, sf), "conv_id").filter(~F.col("is_train"))
-    out = m.transform(task_features(spark, sf, t).drop("label"))
+    out = m.transform(TR.task_input(task_features(spark, sf, t)))
     return EV.metrics_by_label(out)
 
 
@@ -312,7 +312,7 @@ def classify_task(spark, sf, requests: DataFrame) -> DataFrame:
                         T.parse_bias("domainBias").alias("prior"))
     st = SC.stacked_scores(slot_text(spark, r), intent_models(spark, sf), _text_for())
     feats = st.withColumn("classifierFeatures", F.concat("scores", "prior"))
-    return m.transform(feats)
+    return m.transform(TR.task_input(feats))
 
 
 @job("q_classify_task")
