@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (CountVectorizerModel, IndexToString, OneHotEncoder, SQLTransformer,
-                                StringIndexer, VectorAssembler)
+                                StringIndexer, VectorAssembler, VectorSizeHint)
 from pyspark.ml.functions import array_to_vector
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -161,13 +161,17 @@ def train_task_model(features: DataFrame, num_trees: int = TASK_TREES, seed: int
     OneVsRest(RandomForest), IndexToString.  Input rows carry the stacked
     scores as an array; ``task_input`` turns it into the ``_cf`` vector."""
     df = task_input(features, vector_col)
+    # The vector width is fixed by the model set; declaring it lets the
+    # assembler run on streaming frames (no peek at the first row).
+    width = df.select(F.size(vector_col)).first()[0]
+    hint = VectorSizeHint(inputCol="_cf", size=int(width), handleInvalid="error")
     task_idx = StringIndexer(inputCol="previousTask", outputCol="indexedPreviousTask", handleInvalid="keep").fit(df)
     lab_idx = StringIndexer(inputCol="strLabel", outputCol="label", handleInvalid="keep").fit(df)
     enc = OneHotEncoder(inputCol="indexedPreviousTask", outputCol="taskEncoded", handleInvalid="keep")
     asm = VectorAssembler(inputCols=["_cf", "taskEncoded"], outputCol="features")
     ovr = OneVsRest(classifier=RandomForestClassifier(numTrees=num_trees, seed=seed))
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=lab_idx.labels)
-    return Pipeline(stages=[task_idx, lab_idx, enc, asm, ovr, conv]).fit(df)
+    return Pipeline(stages=[hint, task_idx, lab_idx, enc, asm, ovr, conv]).fit(df)
 
 
 def task_input(features: DataFrame, vector_col: str = "classifierFeatures") -> DataFrame:

@@ -331,3 +331,42 @@ def train_and_check(spark, sf) -> DataFrame:
 
 
 job("q_train_and_check")(train_and_check)
+
+
+# ---------------------------------------------------------------- streaming
+def _stream_table(spark, sf, name: str) -> DataFrame:
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+
+
+@job("q_stream_classify")
+def q_stream_classify(spark, sf):
+    """/classify requests from a stream (documents as the request log)."""
+    from parlance.streaming.requests import classify_requests, run_to_parquet
+    docs = _stream_table(spark, sf, "documents")
+    req = docs.select(F.col("doc_id").alias("request_id"), "text",
+                      F.when(F.col("doc_id") % 2 == 0, F.lit("json")).otherwise(F.lit("text")).alias("type"),
+                      F.when(F.col("doc_id") % 3 == 0, F.lit("nba"))
+                      .when(F.col("doc_id") % 3 == 1, F.lit("weather")).alias("domain"))
+    scored = classify_requests(req, intent_models(spark, sf), lambda d: slot_text(spark, d), _text_for(),
+                               ["request_id"])
+    return spark.read.parquet(run_to_parquet(spark, scored, "classify"))
+
+
+@job("q_stream_task")
+def q_stream_task(spark, sf):
+    """R2: /taskScore requests from a stream (conversation turns as requests)."""
+    from parlance.plans.context_jobs import _BIAS
+    from parlance.streaming.requests import run_batches_to_parquet, task_requests_scored
+    conv = _stream_table(spark, sf, "conversations")
+    req = conv.select("conv_id", "turn", "text", F.concat(F.lit("dialog."), F.col("role")).alias("prevTask"),
+                      F.expr(_BIAS.replace("VARCHAR", "STRING")).alias("domainBias"))
+    models, tmodel = intent_models(spark, sf), task_model(spark, sf)
+
+    def score(batch):
+        return task_requests_scored(batch, models, tmodel, lambda d: slot_text(spark, d), _text_for(),
+                                    ["conv_id", "turn"])
+    out = spark.read.parquet(run_batches_to_parquet(spark, req, score, "task"))
+    return out.select("conv_id", "turn", "predictedLabel", "response")
