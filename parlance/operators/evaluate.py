@@ -3,7 +3,8 @@
 The reference collects all (prediction, label) pairs to the driver.  Here
 one aggregation builds the (label, prediction) count table -- partial
 aggregation makes its shuffle one row per pair per map task -- and all
-metrics are small aggregates over it (one row per class pair).
+metrics are computed from that table gathered into one row (at most
+#classes^2 pairs), so the scored input is read once and never self-joined.
 
 Rules: the classes are the *actual* labels; a class only predicted is
 missing from the matrix; precision of a never-predicted class is 0; F1 is 0
@@ -12,7 +13,7 @@ when precision + recall is 0; FPR is NaN when there is one actual class.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 10  # output rounding of the metric columns
@@ -24,32 +25,42 @@ def pair_counts(df: DataFrame, label_col: str = "label", pred_col: str = "predic
             .agg(F.count("*").alias("n")))
 
 
-def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    """{label, prediction, n} over actual labels x actual labels (zeros kept)."""
+def _pairs_row(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
+    """One row holding every (label, prediction, n) pair and the class list.
+
+    The pair table has at most (#classes)^2 entries; gathering it into one
+    row lets the metrics be computed from a single lineage of the input --
+    no self-join of the (possibly large) scored plan.
+    """
     pc = pair_counts(df, label_col, pred_col)
-    # classes x classes from one row holding the class list (generate, no join).
-    classes = pc.agg(F.sort_array(F.collect_set("label")).alias("_ls"))
-    grid = (classes.select(F.explode("_ls").alias("label"), "_ls")
-            .select("label", F.explode("_ls").alias("prediction")))
-    return (grid.join(pc, ["label", "prediction"], "left")
-            .select("label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return (pc.agg(F.collect_list(F.struct("label", "prediction", "n")).alias("_pairs"))
+            .withColumn("_classes", F.array_sort(F.array_distinct(F.transform("_pairs", lambda p: p["label"])))))
+
 
+def _sum_pairs(pairs, cond):
+    return F.aggregate(F.filter(pairs, cond), F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
 
-def _per_label(pc: DataFrame) -> DataFrame:
-    # per-label tables have one row per class; the total is a window over them.
-    total = F.sum("n_label").over(Window.partitionBy())
-    by_label = pc.groupBy("label").agg(
-        F.sum("n").alias("n_label"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    by_pred = pc.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("n_pred"))
-    t = by_label.join(F.broadcast(by_pred), "label", "left").fillna(0, subset=["n_pred"])
-    return t.withColumn("total", total)
+
+def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
+    """{label, prediction, n} over actual labels x actual labels (zeros kept)."""
+    row = _pairs_row(df, label_col, pred_col)
+    grid = F.flatten(F.transform("_classes", lambda a: F.transform("_classes", lambda b: F.struct(
+        a.alias("label"), b.alias("prediction"),
+        _sum_pairs(F.col("_pairs"), lambda p: (p["label"] == a) & (p["prediction"] == b)).alias("n")))))
+    return row.select(F.inline_outer(grid)).filter(F.col("label").isNotNull())
 
 
 def metrics_by_label(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
                      digits: int = DIGITS) -> DataFrame:
     """{label, n_label, tp, fp, precision, recall, fpr, f1} per actual label."""
-    t = _per_label(pair_counts(df, label_col, pred_col))
+    row = _pairs_row(df, label_col, pred_col)
+    per = F.transform("_classes", lambda c: F.struct(
+        c.alias("label"),
+        _sum_pairs(F.col("_pairs"), lambda p: p["label"] == c).alias("n_label"),
+        _sum_pairs(F.col("_pairs"), lambda p: (p["label"] == c) & (p["prediction"] == c)).alias("tp"),
+        _sum_pairs(F.col("_pairs"), lambda p: p["prediction"] == c).alias("n_pred")))
+    t = (row.select(_sum_pairs(F.col("_pairs"), lambda p: F.lit(True)).alias("total"), F.inline_outer(per))
+         .filter(F.col("label").isNotNull()))
     fp = F.col("n_pred") - F.col("tp")
     precision = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("tp") / F.col("n_pred"))
     recall = F.col("tp") / F.col("n_label")

@@ -105,6 +105,7 @@ def train_text_model(train: DataFrame, all_rows: DataFrame | None = None, algo:
     for st in feat_stages:
         feats = st.transform(feats)
     feats = idx.transform(feats).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    feats.count()  # materialise once: concurrent one-vs-rest fits then share the blocks
     try:
         fitted = make_classifier(algo, **params).fit(feats)
     finally:
@@ -133,6 +134,7 @@ def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_feat
     for st in text_feature_stages(text_col, num_features):
         feats = st.transform(feats)
     feats = feats.select(key_col, label_col, split_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    feats.count()  # materialise once before the concurrent fits
 
     def fit(key: str) -> TextModel:
         kr = feats.filter(F.col(key_col) == key)
