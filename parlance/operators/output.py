@@ -1,6 +1,6 @@
 """Response formats (K2-K4) as column expressions.
 
-The reference answers one request at a time with spray-json; here a whole
+The reference answers one request at a time with a JSON library; here a whole
 score table becomes one response per request id: per-id aggregation of the
 score rows (one row per classifier) and ``to_json`` in the JVM.
 """
