@@ -63,6 +63,28 @@ def test_global_prior_equals_single_window(spark):
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_blocked_windows_equal_plain_windows(spark):
+    """Conversations cut into blocks of 1-3 turns give the plain-window results."""
+    t = S.turns(spark, SF0001)
+    wc = Window.partitionBy("conv_id").orderBy("turn")
+    plain_prev = {(r["conv_id"], r["turn"]): r["p"] for r in
+                  t.select("conv_id", "turn", F.coalesce(F.lag("strLabel").over(wc), F.lit("na")).alias("p")).collect()}
+    run = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col("domain").isin("nba", "weather")
+    plain_prior = {(r["conv_id"], r["turn"]): r["p0"] for r in t.select(
+        "conv_id", "turn", F.when(known, F.sum(F.when(F.col("domain") == "nba", 1).otherwise(0)).over(run)
+                                  / F.sum(known.cast("int")).over(run)).otherwise(0.5).alias("p0")).collect()}
+    for block in (1, 2, 3):
+        prev = CX.previous_task(t, ["conv_id"], ["turn"], "strLabel", block=block)
+        assert {(r["conv_id"], r["turn"]): r["previousTask"] for r in prev.collect()} == plain_prev
+        pri = CX.domain_prior(t, ["turn"], partition_cols=["conv_id"], block=block)
+        got = {(r["conv_id"], r["turn"]): r["prior"][0] for r in pri.collect()}
+        assert got.keys() == plain_prior.keys()
+        assert all(abs(got[k] - plain_prior[k]) < 1e-12 for k in got)
+        glob = CX.domain_prior(t, ["conv_id", "turn"], num_ranges=3, block=block)
+        assert glob.count() == t.count()
+
+
 def test_classify_all_respects_requested_domain(spark):
     models = M.intent_models(spark, SF0001)
     b = M.slot_text(spark, M.benchmark_texts(spark, SF0001)).withColumn(
