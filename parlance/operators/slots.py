@@ -108,3 +108,100 @@ def find_entities(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
                 .filter(F.col(alias_col).isNotNull()))
     d = dictionary.select(slot_col, alias_col, canonical_col)
     return exploded.join(d, [slot_col, alias_col], "left")
+
+
+# ---------------------------------------------------------------- large dictionaries
+_RUNS = rf"([{WORD}]+|[^{WORD}]+)"
+_IS_WORD = rf"^[{WORD}]"
+
+
+def _alias_words(alias_col: str) -> Column:
+    return F.size(F.regexp_extract_all(F.col(alias_col), F.lit(rf"([{WORD}]+)"), 1))
+
+
+def _replace_one_slot_join(df: DataFrame, id_col: str, runs_col: str, slot: str, aliases: DataFrame,
+                           max_words: int) -> DataFrame:
+    """One slot over the run arrays: candidates -> join -> greedy pick -> rebuild."""
+    r = F.col(runs_col)
+    n = F.size(r)
+    cands = []
+    for k in range(1, max_words + 1):
+        span = 2 * k - 1
+        acc = r
+        for s in range(2, span + 1):
+            acc = F.zip_with(acc, F.slice(r, s, F.greatest(n - s + 1, F.lit(0))), lambda a, b: F.concat(a, b))
+        # acc[i] = runs[i] + ... + runs[i + span - 1]; null where the span runs past the end
+        cands.append(F.transform(acc, lambda s, i: F.struct((i + 1).alias("j"), F.lit(span).alias("len"),
+                                                            s.alias("s"))))
+    starts_word = F.transform(r, lambda x: x.rlike(_IS_WORD))
+    c = (df.select(id_col, runs_col, F.flatten(F.array(*cands)).alias("_c"), starts_word.alias("_w"))
+         .select(id_col, F.inline_outer(F.filter("_c", lambda x: x["s"].isNotNull())),
+                 F.col("_w")))
+    c = (c.filter(F.col("s").isNotNull() & F.element_at("_w", F.col("j")) & F.element_at("_w", F.col("j") + F.col("len") - 1))
+         .select(id_col, "j", "len", "s"))
+    hits = c.join(aliases.select(F.col("alias").alias("s")).distinct(), "s")
+    # leftmost, then longest; greedy non-overlapping pick in one pass over the sorted matches
+    per_doc = hits.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("j", (-F.col("len")).alias("neg_len")))).alias("_m"))
+    init = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<j:int,len:int>>").alias("picked"))
+    picked = F.aggregate(
+        "_m", init,
+        lambda acc, m: F.when(m["j"] > acc["end"], F.struct(
+            (m["j"] - m["neg_len"] - 1).alias("end"),
+            F.concat(acc["picked"], F.array(F.struct(m["j"].alias("j"), (-m["neg_len"]).alias("len")))).alias("picked")))
+        .otherwise(acc),
+        lambda acc: acc["picked"])
+    per_doc = per_doc.select(id_col, picked.alias("_p"))
+    j = df.join(per_doc, id_col, "left")
+    p = F.coalesce(F.col("_p"), F.array().cast("array<struct<j:int,len:int>>"))
+    prev_end = F.concat(F.array(F.lit(0)), F.transform(p, lambda x: x["j"] + x["len"] - 1))
+    # zip_with pads the shorter side with nulls: pair each span with its own gap start
+    pieces = F.zip_with(p, F.slice(prev_end, 1, F.size(p)), lambda x, pe: F.concat(
+        F.array_join(F.slice(r, pe + 1, F.greatest(x["j"] - pe - 1, F.lit(0))), ""), F.lit(slot)))
+    last_end = F.element_at(prev_end, -1)
+    tail = F.array_join(F.slice(r, last_end + 1, F.greatest(n - last_end, F.lit(0))), "")
+    text = F.concat(F.array_join(pieces, ""), tail)
+    return j.select(*[c for c in df.columns if c != runs_col],
+                    F.when(r.isNull(), F.lit(None)).otherwise(text).alias("_text"),
+                    F.size(p).alias("_n"))
+
+
+def replace_slots_join(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
+                       slot_col: str = "slot", order_col: str = "slot_order", alias_col: str = "alias",
+                       out_text: str = "utterance_slots", out_count: str = "n_slots") -> DataFrame:
+    """Slot replacement for dictionaries of any size (J2 join path).
+
+    Same result as ``replace_slots``: the lower-cased text is cut into
+    word / non-word runs; every span of k words (k up to the longest alias)
+    is a candidate, built in the row from shifted copies of the run array;
+    candidates are equi-joined with the aliases (AQE: broadcast when the
+    dictionary is small, shuffle join otherwise); per text the matches are
+    sorted (leftmost, then longest) and picked greedily without overlap;
+    the text is rebuilt from the runs.  Slots apply in ``slot_order``.
+    """
+    slots = (dictionary.select(slot_col, order_col).distinct().orderBy(order_col, slot_col).collect())
+    out = df.withColumn("_runs", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_RUNS), 1))
+    out = out.withColumn("_count", F.lit(0))
+    for row in slots:
+        slot = row[slot_col]
+        aliases = dictionary.filter(F.col(slot_col) == slot).select(F.col(alias_col).alias("alias"))
+        max_words = aliases.agg(F.max(_alias_words("alias"))).first()[0] or 1
+        step = _replace_one_slot_join(out, id_col, "_runs", slot, aliases, int(max_words))
+        out = (step.withColumn("_count", F.col("_count") + F.col("_n"))
+               .withColumn("_runs", F.regexp_extract_all(F.col("_text"), F.lit(_RUNS), 1))
+               .drop("_n", "_text"))
+    return (out.withColumn(out_text, F.when(F.col(text_col).isNull(), F.lit(None))
+                           .otherwise(F.array_join("_runs", "")))
+            .withColumn(out_count, F.when(F.col(text_col).isNull(), F.lit(None))
+                        .otherwise(F.col("_count")).cast("int"))
+            .drop("_runs", "_count"))
+
+
+def replace_slots_auto(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
+                       max_aliases: int = MAX_ALIASES, out_text: str = "utterance_slots",
+                       out_count: str = "n_slots") -> DataFrame:
+    """Regex path for dictionaries up to ``max_aliases`` aliases, join path beyond."""
+    if dictionary.limit(max_aliases + 1).count() <= max_aliases:
+        return replace_slots(df, text_col, slot_patterns(dictionary, max_aliases=max_aliases),
+                             out_text=out_text, out_count=out_count)
+    return replace_slots_join(df, id_col, text_col, dictionary, out_text=out_text, out_count=out_count)

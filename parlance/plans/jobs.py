@@ -197,6 +197,13 @@ def q_replace_slots(spark, sf):
     return d.select("doc_id", "utterance_slots", "n_slots")
 
 
+@job("q_replace_slots_join", f"SELECT doc_id, utterance_slots, n_slots FROM ({_slots_sql()})")
+def q_replace_slots_join(spark, sf):
+    """The large-dictionary path (candidate spans joined to the aliases) on the same input."""
+    d = SL.replace_slots_join(S.documents(spark, sf, ("doc_id", "text")), "doc_id", "text", S.slot_dictionary(spark))
+    return d.select("doc_id", "utterance_slots", "n_slots")
+
+
 @job("q_slot_counts", f"""
 SELECT doc_id, 'quantifier' AS slot, n1 AS n FROM ({_slots_sql()})
 UNION ALL SELECT doc_id, 'preposition' AS slot, n2 AS n FROM ({_slots_sql()})""")

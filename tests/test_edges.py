@@ -84,6 +84,24 @@ def test_slots_leftmost_longest_and_order(spark):
     assert out[3] == ("", 0)
 
 
+def test_slot_join_path_equals_regex_path(spark):
+    dict_lines = spark.createDataFrame(
+        [("player", 1, "shaquille,o'neal,shaq"), ("quantifier", 2, "that,that"),
+         ("preposition", 3, "of,of the,of"), ("preposition", 3, "with,with")],
+        "slot string, slot_order int, value string")
+    d = L.parse_dictionary(dict_lines)
+    df = _rows(spark, ["Of the cat, OF course", "that with that", "offset", "", None, "O'Neal of the of",
+                       "shaq,shaq of  the", "école of l'été", "of"])
+    a = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in
+         SL.replace_slots(df, "t", SL.slot_patterns(d)).collect()}
+    b = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in SL.replace_slots_join(df, "id", "t", d).collect()}
+    assert a == b
+    assert a[5] == ("player preposition preposition", 3)
+    c = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in
+         SL.replace_slots_auto(df, "id", "t", d, max_aliases=2).collect()}
+    assert c == a
+
+
 def test_last_segment_and_bias(spark):
     df = _rows(spark, ["a.b.c", "a.", "na", ""])
     seg = {r["id"]: r["s"] for r in df.select("id", T.last_segment("t").alias("s")).collect()}
