@@ -12,16 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions import requests as RQ
 from parlance.functions import text as T
-from parlance.operators import context as CX
-from parlance.operators import evaluate as EV
 from parlance.operators import features as FE
 from parlance.operators import labels as LB
-from parlance.operators import nlp as NLP
-from parlance.operators import output as OUT
 from parlance.operators import slots as SL
-from parlance.operators import split as SP
 from parlance.plans import oracle_sql as O
 from parlance.plans import sources as S
 from parlance.sources import lines as L

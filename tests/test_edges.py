@@ -3,7 +3,6 @@
 import math
 
 from pyspark.ml.feature import NGram, Tokenizer
-from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import evaluate as EV
