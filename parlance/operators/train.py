@@ -121,18 +121,27 @@ def model_labels(model: PipelineModel) -> list[str]:
     return []
 
 
+def featurize_text(df: DataFrame, text_col: str = "utterance", num_features: int = DOMAIN_FEATURES) -> DataFrame:
+    """Adds the model ``features`` vector (the training-time feature stages)."""
+    out = df
+    for st in text_feature_stages(text_col, num_features):
+        out = st.transform(out)
+    return out.drop("words", "ngrams", "_bucket_terms")
+
+
 def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_features: int = INTENT_FEATURES,
                      key_col: str = "key", text_col: str = "utterance", label_col: str = "strLabel",
-                     split_col: str = "is_train", threads: int = 4, **params) -> list[TextModel]:
+                     split_col: str = "is_train", threads: int = 4, featurized: bool = False,
+                     **params) -> list[TextModel]:
     """One binary LR per key on that key's rows (M2 / M3).
 
-    ``rows`` holds every key's training set ({key, text, label, is_train}),
-    e.g. from ``one_vs_other`` or ``one_vs_rest``.  It is featurised once
-    and persisted; the K fits run concurrently as separate Spark jobs.
+    ``rows`` holds every key's training set ({key, text or features, label,
+    is_train}), e.g. from ``one_vs_other`` or ``one_vs_rest``.  Best fanned
+    out after ``featurize_text`` (``featurized=True``): the text is then
+    tokenised once, not once per key.  The rows are persisted and the K fits
+    run concurrently as separate Spark jobs.
     """
-    feats = rows
-    for st in text_feature_stages(text_col, num_features):
-        feats = st.transform(feats)
+    feats = rows if featurized else featurize_text(rows, text_col, num_features)
     feats = feats.select(key_col, label_col, split_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
     feats.count()  # materialise once before the concurrent fits
 

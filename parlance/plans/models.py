@@ -84,9 +84,10 @@ def intent_models(spark, sf) -> list[TR.TextModel]:
             d = rows.filter(F.col("domain") == domain)
             keys = sorted(r[0] for r in LB.label_keys(d).collect())
             tcol = _text_for()[domain]
-            per_key = LB.one_vs_other(d.select("line_id", F.col(tcol).alias("utterance"), "strLabel", "is_train"),
-                                      LB.label_keys(d))
-            out += TR.train_intent_set(per_key, keys, domain, INTENT_FEATURES)
+            feats = TR.featurize_text(d.select("line_id", F.col(tcol).alias("utterance"), "strLabel", "is_train"),
+                                      "utterance", INTENT_FEATURES).drop("utterance")
+            per_key = LB.one_vs_other(feats, LB.label_keys(d))
+            out += TR.train_intent_set(per_key, keys, domain, INTENT_FEATURES, featurized=True)
         return out
     return _memo(spark, ("intents", sf), build)
 
@@ -96,8 +97,9 @@ def one_vs_rest_models(spark, sf) -> list[TR.TextModel]:
     def build():
         rows = domain_rows(spark, sf)
         keys = sorted(r[0] for r in LB.label_keys(rows).collect())
-        per_key = LB.one_vs_rest(rows, LB.label_keys(rows))
-        return TR.train_intent_set(per_key, keys, "lang", DOMAIN_FEATURES)
+        feats = TR.featurize_text(rows, "utterance", DOMAIN_FEATURES).drop("utterance")
+        per_key = LB.one_vs_rest(feats, LB.label_keys(rows))
+        return TR.train_intent_set(per_key, keys, "lang", DOMAIN_FEATURES, featurized=True)
     return _memo(spark, ("ovr_set", sf), build)
 
 
@@ -109,11 +111,20 @@ def _eval_rows(tm: TR.TextModel, test: DataFrame, label_col: str = "strLabel") -
     return out.withColumn("label", idx.cast("double"))
 
 
-def _key_summaries(models, rows_by_key) -> DataFrame:
+def _eval_featurized(tm: TR.TextModel, test: DataFrame, label_col: str = "strLabel") -> DataFrame:
+    """Like ``_eval_rows`` on rows that already carry the ``features`` vector."""
+    _, rest = SC._split_stages(tm.model)
+    out = PipelineModel(stages=rest).transform(test)
+    lab = F.array(*[F.lit(x) for x in tm.labels])
+    return out.withColumn("label", (F.array_position(lab, F.col(label_col)) - 1).cast("double"))
+
+
+def _key_summaries(models, test_feats_by_key) -> DataFrame:
+    """One metrics row per model; test rows are featurised once per feature
+    set by the caller (not once per key)."""
     parts = []
     for tm in models:
-        test = rows_by_key(tm).filter(~F.col("is_train"))
-        s = EV.metrics_summary(_eval_rows(tm, test))
+        s = EV.metrics_summary(_eval_featurized(tm, test_feats_by_key(tm)))
         parts.append(s.select(F.lit(tm.domain).alias("domain"), F.lit(tm.classifier).alias("classifier"), "*"))
     return SC.union_scores(*parts)
 
@@ -146,11 +157,13 @@ def q_train_forest(spark, sf):
 def q_train_intents(spark, sf):
     """M2: one row of test metrics per (domain, intent) model."""
     models = intent_models(spark, sf)
-    rows = SP.hash_split(intent_rows(spark, sf), "line_id")
+    rows = SP.hash_split(intent_rows(spark, sf), "line_id").filter(~F.col("is_train"))
+    test = {d: TR.featurize_text(rows.filter(F.col("domain") == d)
+                                 .select("strLabel", F.col(_text_for()[d]).alias("utterance")),
+                                 "utterance", INTENT_FEATURES) for d in CX.DOMAINS}
 
     def rows_by_key(tm):
-        d = rows.filter((F.col("domain") == tm.domain) & F.col("strLabel").isin(tm.classifier, LB.OTHER))
-        return d.withColumn("utterance", F.col(_text_for()[tm.domain]))
+        return test[tm.domain].filter(F.col("strLabel").isin(tm.classifier, LB.OTHER))
     return _key_summaries(models, rows_by_key)
 
 
@@ -158,10 +171,10 @@ def q_train_intents(spark, sf):
 def q_train_one_vs_rest(spark, sf):
     """M3: one row of test metrics per language-vs-rest model."""
     models = one_vs_rest_models(spark, sf)
-    rows = domain_rows(spark, sf)
+    test = TR.featurize_text(domain_rows(spark, sf).filter(~F.col("is_train")), "utterance", DOMAIN_FEATURES)
 
     def rows_by_key(tm):
-        return rows.withColumn("strLabel", F.when(F.col("strLabel") == tm.classifier, F.col("strLabel"))
+        return test.withColumn("strLabel", F.when(F.col("strLabel") == tm.classifier, F.col("strLabel"))
                                .otherwise(F.lit(LB.OTHER)))
     return _key_summaries(models, rows_by_key)
 
