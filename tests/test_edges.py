@@ -139,3 +139,15 @@ def test_metrics_equal_mllib(spark):
         assert abs(r["precision"] - m.precision(r["label"])) < 1e-9
         assert abs(r["recall"] - m.recall(r["label"])) < 1e-9
         assert abs(r["fpr"] - m.falsePositiveRate(r["label"])) < 1e-9
+
+
+def test_lemma_join_path_equals_map_path(spark):
+    from parlance.operators import nlp as NLP
+    lem = spark.createDataFrame([("was", "be"), ("is", "be"), ("were", "be"), ("cats", "cat")],
+                                "token string, lemma string")
+    df = _rows(spark, ["It was. Cats is here!", "", "WERE were?", "no match at all", "été était"])
+    a = {r["id"]: r["lemmas"] for r in NLP.lemmas(df, "id", "t", lem).collect()}
+    b = {r["id"]: r["lemmas"] for r in NLP.lemmas(df, "id", "t", lem, max_map_entries=0).collect()}
+    assert a[0] == ["it", "be", "cat", "be", "here"]
+    assert a[2] == ["be", "be"]
+    assert {k: v for k, v in a.items() if v} == {k: v for k, v in b.items() if v}
