@@ -162,3 +162,46 @@ def union_scores(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def lr_weight_table(spark, models: Sequence[TextModel]):
+    """Binary LR models as tables: weights {domain, classifier, bucket, weight}
+    (non-zero coefficients) and per model (intercept, positive-class flag).
+
+    The coefficients are model state the driver already holds; the table is
+    what the join-based scorer reads.
+    """
+    rows, heads = [], []
+    for tm in models:
+        _, rest = _split_stages(tm.model)
+        lr = rest[0]
+        if getattr(lr, "numClasses", 2) != 2 or not hasattr(lr, "coefficients"):
+            raise ValueError(f"{tm.classifier}: join scoring needs a binary logistic regression")
+        coef = lr.coefficients.toArray()
+        rows += [(tm.domain, tm.classifier, int(i), float(w)) for i, w in enumerate(coef) if w != 0.0]
+        pos = tm.labels.index(tm.classifier) == 1 if tm.classifier in tm.labels else None
+        heads.append((tm.domain, tm.classifier, float(lr.intercept), pos))
+    weights = spark.createDataFrame(rows, "domain string, classifier string, bucket int, weight double")
+    return weights, heads
+
+
+def score_lr_by_join(texts: DataFrame, tf: DataFrame, id_col: str, weights: DataFrame, heads) -> DataFrame:
+    """{id, domain, classifier, score}: P(classifier) of every binary LR model
+    for every row of ``texts``, from its long hashed term frequencies
+    {id, bucket, tf} (``features.hashed_tf`` with the models' width).
+
+    One join on bucket and one aggregation for any number of models (AQE:
+    broadcast of the weights when small, skew-split hot buckets otherwise).
+    Each text's K score rows come from a generate over the model list, so a
+    text without bigrams still gets sigmoid(intercept); no cross join.
+    """
+    dots = (tf.join(weights, "bucket")
+            .groupBy(id_col, "domain", "classifier")
+            .agg(F.sum(F.col("tf") * F.col("weight")).alias("_dot")))
+    per_model = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("classifier"),
+                                   F.lit(b).alias("_b"), F.lit(p).alias("_pos")) for d, c, b, p in heads])
+    frame = texts.select(id_col, F.inline_outer(per_model))
+    j = frame.join(dots, [id_col, "domain", "classifier"], "left")
+    p1 = 1.0 / (1.0 + F.exp(-(F.col("_b") + F.coalesce(F.col("_dot"), F.lit(0.0)))))
+    score = F.when(F.col("_pos").isNull(), F.lit(0.0)).when(F.col("_pos"), p1).otherwise(1.0 - p1)
+    return j.select(id_col, "domain", "classifier", score.alias("score"))

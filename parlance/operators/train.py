@@ -62,8 +62,10 @@ def text_feature_stages(text_col: str = "utterance", num_features: int = DOMAIN_
 
 def label_indexer(df: DataFrame, label_col: str = "strLabel", out_col: str = "label"):
     """StringIndexer fitted on every row (frequency order, ties alphabetical)."""
+    # handleInvalid stays "error": "keep" adds an unknown class to the label
+    # metadata, which turns a binary LR into a 3-class multinomial one.
     return StringIndexer(inputCol=label_col, outputCol=out_col,
-                         stringOrderType="frequencyDesc", handleInvalid="keep").fit(df)
+                         stringOrderType="frequencyDesc", handleInvalid="error").fit(df)
 
 
 def make_classifier(algo: str, seed: int = 1, num_trees: int | None = None, parallelism: int = 4, **params):
@@ -177,7 +179,7 @@ def train_task_model(features: DataFrame, num_trees: int = TASK_TREES, seed: int
     width = df.select(F.size(vector_col)).first()[0]
     hint = VectorSizeHint(inputCol="_cf", size=int(width), handleInvalid="error")
     task_idx = StringIndexer(inputCol="previousTask", outputCol="indexedPreviousTask", handleInvalid="keep").fit(df)
-    lab_idx = StringIndexer(inputCol="strLabel", outputCol="label", handleInvalid="keep").fit(df)
+    lab_idx = StringIndexer(inputCol="strLabel", outputCol="label").fit(df)
     enc = OneHotEncoder(inputCol="indexedPreviousTask", outputCol="taskEncoded", handleInvalid="keep")
     asm = VectorAssembler(inputCols=["_cf", "taskEncoded"], outputCol="features")
     ovr = OneVsRest(classifier=RandomForestClassifier(numTrees=num_trees, seed=seed))

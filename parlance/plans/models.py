@@ -281,6 +281,18 @@ def q_multi_classify(spark, sf):
     return SC.classify_all(benchmark_texts(spark, sf), one_vs_rest_models(spark, sf), "item_id")
 
 
+@job("q_multi_classify_join")
+def q_multi_classify_join(spark, sf):
+    """C6 for many models: language-vs-rest LRs scored by joining hashed TF
+    with the coefficient table (one shuffle for any number of models)."""
+    from parlance.operators.features import hashed_tf
+    models = one_vs_rest_models(spark, sf)
+    texts = benchmark_texts(spark, sf)
+    tf = hashed_tf(texts, "item_id", "utterance", DOMAIN_FEATURES)
+    weights, heads = SC.lr_weight_table(spark, models)
+    return SC.score_lr_by_join(texts, tf, "item_id", weights, heads)
+
+
 def task_features(spark, sf, turns: DataFrame) -> DataFrame:
     """C4 training form: intent scores ‖ running domain prior, per turn."""
     pri = CX.domain_prior(turns, ["conv_id", "turn"])

@@ -93,3 +93,10 @@ def test_classify_all_respects_requested_domain(spark):
     for r in out.collect():
         if r["item_id"] % 2 == 0:
             assert r["domain"] == "nba"
+
+
+def test_lr_join_scoring_equals_transform(spark):
+    a = {(r["item_id"], r["classifier"]): r["score"] for r in M.q_multi_classify(spark, SF0001).collect()}
+    b = {(r["item_id"], r["classifier"]): r["score"] for r in M.q_multi_classify_join(spark, SF0001).collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
