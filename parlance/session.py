@@ -17,7 +17,14 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "parlance") -> SparkSession:
+                app_name: str = "parlance", max_partition_bytes: str = "64m") -> SparkSession:
+    """Session for the jobs.
+
+    ``shuffle_partitions`` is the starting point AQE coalesces from; size it
+    to the cluster (e.g. 2-3x the task slots at 100 TB).  Text featurisation
+    is CPU-heavy per byte, so scan splits are smaller than the 128 MB default
+    (``max_partition_bytes``), spreading a large text scan over more tasks.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -27,6 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", max_partition_bytes)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
