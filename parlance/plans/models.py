@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -300,22 +301,27 @@ def task_features(spark, sf, turns: DataFrame) -> DataFrame:
     return st.withColumn("classifierFeatures", F.concat("scores", "prior"))
 
 
-def task_model(spark, sf) -> PipelineModel:
+def task_frame(spark, sf) -> DataFrame:
+    """Stacked features of every turn of the dialogue file (prior in file
+    order, as the reference computes it), with the conversation-level split.
+    Persisted once: the task model trains on it and is evaluated on it."""
     def build():
         t = SP.hash_split(S.turns(spark, sf), "conv_id")
-        f = task_features(spark, sf, t).persist()
-        m = TR.train_task_model(f.filter("is_train"))
-        f.unpersist()
-        return m
-    return _memo(spark, ("task", sf), build)
+        f = task_features(spark, sf, t).persist(StorageLevel.MEMORY_AND_DISK)
+        f.count()
+        return f
+    return _memo(spark, ("task_frame", sf), build)
+
+
+def task_model(spark, sf) -> PipelineModel:
+    return _memo(spark, ("task", sf), lambda: TR.train_task_model(task_frame(spark, sf).filter("is_train")))
 
 
 @job("q_train_task")
 def q_train_task(spark, sf):
     """Dialogue-task model, evaluated per label on held-out conversations."""
     m = task_model(spark, sf)
-    t = SP.hash_split(S.turns(spark, sf), "conv_id").filter(~F.col("is_train"))
-    out = m.transform(TR.task_input(task_features(spark, sf, t)))
+    out = m.transform(TR.task_input(task_frame(spark, sf).filter(~F.col("is_train"))))
     return EV.metrics_by_label(out)
 
 
