@@ -37,9 +37,13 @@ def label_index(df: DataFrame, label_col: str = "strLabel") -> DataFrame:
 
 def index_to_label(df: DataFrame, index: DataFrame, idx_col: str = "prediction",
                    out_col: str = "predictedLabel") -> DataFrame:
-    """IndexToString as a join with the label index (broadcast: one row per class)."""
+    """IndexToString as a join with the label index (one row per class).
+
+    No broadcast hint: AQE broadcasts the index from its runtime size and
+    falls back to a shuffle join for an unexpectedly large label set.
+    """
     lut = index.select(F.col("idx").alias("_idx"), F.col("value").alias(out_col))
-    return (df.join(F.broadcast(lut), F.col(idx_col) == F.col("_idx"), "left").drop("_idx"))
+    return df.join(lut, F.col(idx_col) == F.col("_idx"), "left").drop("_idx")
 
 
 def _key_array(keys: DataFrame, max_keys: int = MAX_KEYS):

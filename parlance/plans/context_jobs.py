@@ -129,9 +129,9 @@ def _task_encoded(spark, sf):
     t = S.turns(spark, sf)
     idx = LB.label_index(t, "previousTask")
     # k = number of distinct previous tasks, carried on every index row (the
-    # index has one row per task, so the window and the broadcast are small).
+    # index has one row per task, so the window is small; AQE picks the join).
     lut = idx.withColumn("k", F.count("*").over(Window.partitionBy()))
-    j = t.join(F.broadcast(lut.select(F.col("value").alias("previousTask"), "idx", "k")), "previousTask")
+    j = t.join(lut.select(F.col("value").alias("previousTask"), "idx", "k"), "previousTask")
     return j.withColumn("taskEncoded", FE.one_hot(F.col("idx").cast("int"), F.col("k").cast("int")))
 
 

@@ -277,8 +277,8 @@ def _predictions(spark, sf):
     g = docs.select("doc_id", "lang", S.rule_language(F.col("text")).alias("guess"))
     a = idx.select(F.col("value").alias("lang"), F.col("idx").alias("label"))
     b = idx.select(F.col("value").alias("guess"), F.col("idx").alias("_pidx"))
-    # the label index has one row per class: broadcast is size-bounded.
-    j = g.join(F.broadcast(a), "lang").join(F.broadcast(b), "guess", "left")
+    # the label index has one row per class; AQE broadcasts it from its runtime size
+    j = g.join(a, "lang").join(b, "guess", "left")
     return j.select("doc_id", "label", F.coalesce("_pidx", F.lit(-1.0)).alias("prediction"), "guess")
 
 
