@@ -116,6 +116,18 @@ def train_text_model(train: DataFrame, all_rows: DataFrame | None = None, algo:
     return PipelineModel(stages=[idx, *feat_stages, fitted, conv])
 
 
+def train_on_features(feats: DataFrame, all_rows: DataFrame | None = None, algo: str = "lr",
+                      num_features: int = DOMAIN_FEATURES, text_col: str = "utterance",
+                      label_col: str = "strLabel", **params) -> PipelineModel:
+    """``train_text_model`` for rows that already carry the ``features``
+    vector (e.g. one persisted frame shared by several models).  The result
+    is the same self-contained pipeline that scores raw text."""
+    idx = label_indexer(all_rows if all_rows is not None else feats, label_col)
+    fitted = make_classifier(algo, **params).fit(idx.transform(feats).select("label", "features"))
+    conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=idx.labels)
+    return PipelineModel(stages=[idx, *text_feature_stages(text_col, num_features), fitted, conv])
+
+
 def model_labels(model: PipelineModel) -> list[str]:
     for st in model.stages:
         if isinstance(st, IndexToString):

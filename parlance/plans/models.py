@@ -66,11 +66,22 @@ def _text_for(domain_slots: bool = True):
 
 
 # ---------------------------------------------------------------- fitted models
+def domain_frame(spark, sf) -> DataFrame:
+    """{line_id, strLabel, is_train, features}: the documents featurised once
+    (hashed bigrams, width 5000) and persisted; the domain LR, OneVsRest,
+    forest and language-vs-rest models train and evaluate from it."""
+    def build():
+        f = TR.featurize_text(domain_rows(spark, sf), "utterance", DOMAIN_FEATURES)
+        f = f.select("line_id", "strLabel", "is_train", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        f.count()
+        return f
+    return _memo(spark, ("domain_frame", sf), build)
+
+
 def domain_model(spark, sf, algo: str = "lr", **params) -> TR.TextModel:
     def build():
-        rows = domain_rows(spark, sf).persist()
-        m = TR.train_text_model(rows.filter("is_train"), rows, algo=algo, num_features=DOMAIN_FEATURES, **params)
-        rows.unpersist()
+        f = domain_frame(spark, sf)
+        m = TR.train_on_features(f.filter("is_train"), f, algo=algo, num_features=DOMAIN_FEATURES, **params)
         return TR.TextModel("lang", "langDomain", "domain", m, TR.model_labels(m), DOMAIN_FEATURES)
     return _memo(spark, ("domain", sf, algo, tuple(sorted(params.items()))), build)
 
@@ -96,10 +107,9 @@ def intent_models(spark, sf) -> list[TR.TextModel]:
 def one_vs_rest_models(spark, sf) -> list[TR.TextModel]:
     """M3: one binary LR per language vs all the rest."""
     def build():
-        rows = domain_rows(spark, sf)
-        keys = sorted(r[0] for r in LB.label_keys(rows).collect())
-        feats = TR.featurize_text(rows, "utterance", DOMAIN_FEATURES).drop("utterance")
-        per_key = LB.one_vs_rest(feats, LB.label_keys(rows))
+        feats = domain_frame(spark, sf)
+        keys = sorted(r[0] for r in LB.label_keys(feats).collect())
+        per_key = LB.one_vs_rest(feats, LB.label_keys(feats))
         return TR.train_intent_set(per_key, keys, "lang", DOMAIN_FEATURES, featurized=True)
     return _memo(spark, ("ovr_set", sf), build)
 
@@ -134,24 +144,21 @@ def _key_summaries(models, test_feats_by_key) -> DataFrame:
 def q_train_domain(spark, sf):
     """M1: LR on hashed bigrams, evaluated per label on the test split."""
     tm = domain_model(spark, sf)
-    test = domain_rows(spark, sf).filter(~F.col("is_train"))
-    return EV.metrics_by_label(_eval_rows(tm, test))
+    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
 
 
 @job("q_train_ovr_lr")
 def q_train_ovr_lr(spark, sf):
     """M4: OneVsRest(LR), evaluated per label on the test split."""
     tm = domain_model(spark, sf, algo="ovr_lr")
-    test = domain_rows(spark, sf).filter(~F.col("is_train"))
-    return EV.metrics_by_label(_eval_rows(tm, test))
+    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
 
 
 @job("q_train_forest")
 def q_train_forest(spark, sf):
     """M7: random forest (500 trees, depth 5) on hashed bigrams."""
     tm = domain_model(spark, sf, algo="rf", num_trees=TR.FOREST_TREES, maxDepth=TR.FOREST_DEPTH)
-    test = domain_rows(spark, sf).filter(~F.col("is_train"))
-    return EV.metrics_by_label(_eval_rows(tm, test))
+    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
 
 
 @job("q_train_intents")
@@ -172,7 +179,7 @@ def q_train_intents(spark, sf):
 def q_train_one_vs_rest(spark, sf):
     """M3: one row of test metrics per language-vs-rest model."""
     models = one_vs_rest_models(spark, sf)
-    test = TR.featurize_text(domain_rows(spark, sf).filter(~F.col("is_train")), "utterance", DOMAIN_FEATURES)
+    test = domain_frame(spark, sf).filter(~F.col("is_train"))
 
     def rows_by_key(tm):
         return test.withColumn("strLabel", F.when(F.col("strLabel") == tm.classifier, F.col("strLabel"))
