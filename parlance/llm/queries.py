@@ -6,10 +6,11 @@ table; ``SQL`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import quality
+from parlance.llm import bpe, quality
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -30,3 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(counted, "quality")  # counts only; texts are read once
     judged = quality.judge(counted, quality.language_references(counted, rules), rules)
     return judged.select("doc_id", *quality.RESULT)
+
+
+@_job
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and their bytes decoded again, as digests."""
+    return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                       public_tokenizers.PATTERN, keep=["doc_id"])
