@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, quality
+from parlance.llm import bpe, quality, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -38,3 +38,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, and their bytes decoded again, as digests."""
     return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                        public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@_job
+def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in document order, written and read back: place, length and digest of each."""
+    manifest = simple8b.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.PATTERN, end_id=2)
+    return simple8b.read_tokens(manifest)
