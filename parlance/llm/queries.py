@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, quality, simple8b
+from parlance.llm import bpe, mixing, quality, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -46,3 +46,12 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = simple8b.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                                      public_tokenizers.PATTERN, end_id=2)
     return simple8b.read_tokens(manifest)
+
+
+@_job
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    docs = stored(mixing.sized(documents(spark, sf_dir)), "sizes")  # ids, sources and sizes; texts are read once
+    mixed = mixing.with_copies(docs, weights=(5, 2, 1), share=1.5, limit=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                        "copies", "rate")
