@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, mixing, quality, simple8b
+from parlance.llm import bpe, mixing, quality, secrets, simhash, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -55,3 +55,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(docs, weights=(5, 2, 1), share=1.5, limit=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                         "copies", "rate")
+
+
+@_job
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: base pattern counts and digest, all spans."""
+    return secrets.scanned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@_job
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=3, seed=42)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
