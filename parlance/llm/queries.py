@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, mixing, quality, secrets, simhash, simple8b
+from parlance.llm import bpe, mixing, quality, secrets, sharding, simhash, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -69,3 +69,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=3, seed=42)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_job
+def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document: equal texts together where they fit, row counts at most one apart."""
+    nodes = sharding.documents_as_nodes(documents(spark, sf_dir))
+    placed = sharding.balanced_shards(nodes, shards=16, rounds=4)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
