@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, mixing, quality, secrets, sharding, simhash, simple8b
+from parlance.llm import bpe, graph_search, mixing, quality, secrets, sharding, simhash, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -78,3 +78,10 @@ def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(nodes, shards=16, rounds=4)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_job
+def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of every vector whose id is divisible by 100."""
+    vectors = stored(graph_search.valid_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
+    return graph_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
