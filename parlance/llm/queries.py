@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, graph_search, mixing, quality, secrets, sharding, simhash, simple8b
+from parlance.llm import bpe, graph_search, langid, mixing, quality, secrets, sharding, simhash, simple8b
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -85,3 +85,13 @@ def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest other vectors of every vector whose id is divisible by 100."""
     vectors = stored(graph_search.valid_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     return graph_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@_job
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text; documents with crc32(doc_id) mod 4 = 2 are held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    params = langid.LangParams()
+    may_learn = ~F.col("held_out") & F.col("doc_id").isNotNull()
+    model = langid.train(langid.labelled_sample(docs, may_learn, params), params)
+    return langid.predicted(docs, model, keep=["doc_id", "held_out"])
