@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, graph_search, langid, mixing, quality, secrets, sharding, simhash, simple8b
+from parlance.llm import bpe, graph_search, langid, mixing, quality, secrets, sharding, simhash, simple8b, toxicity
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -95,3 +95,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     may_learn = ~F.col("held_out") & F.col("doc_id").isNotNull()
     model = langid.train(langid.labelled_sample(docs, may_learn, params), params)
     return langid.predicted(docs, model, keep=["doc_id", "held_out"])
+
+
+@_job
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text; documents with crc32(doc_id) mod 3 = 1 are held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    params = toxicity.ToxicityParams()
+    sample = toxicity.labelled_sample(docs, labels, ~langid.held_out(F.col("doc_id"), 3, 1), params)
+    return toxicity.scored(docs, toxicity.train(sample, params), keep=["doc_id", "held_out"], threshold=0.7)
