@@ -82,7 +82,7 @@ def _segment(fp: Column, which: int) -> Column:
 
 def forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """(fingerprint, least of its component) for all but the least, by distance within these."""
-    rest = np.unique(fps)
+    rest = np.unique(fps).view("u8")  # bits of signed numbers would be counted in their absolute values
     nodes, roots = [], []
     while len(rest):
         root, rest = rest[0], rest[1:]
@@ -90,10 +90,10 @@ def forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
         while queue and len(rest):
             near = np.bitwise_count(rest ^ queue.pop()) <= distance
             if near.any():
-                found = rest[near].tolist()
-                queue += found
-                nodes += found
-                roots += [int(root)] * len(found)
+                found = rest[near]
+                queue += list(found)
+                nodes += found.view("i8").tolist()
+                roots += [int(root.astype("i8"))] * len(found)
                 rest = rest[~near]
     return nodes, roots
 
