@@ -75,7 +75,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document: equal texts together where they fit, row counts at most one apart."""
     nodes = sharding.documents_as_nodes(documents(spark, sf_dir))
-    placed = sharding.balanced_shards(nodes, shards=16, rounds=4)
+    placed = sharding.balanced_shards(nodes, shards=16, rounds=6)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 

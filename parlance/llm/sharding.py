@@ -5,10 +5,12 @@ neighbours (here a hub is an equal text).  A hub stands for the edges between
 its rows, so no edge list of a group's pairs is ever made.  Labels are shards.
 Every row starts in a shard hashed from its id; in each round the rows of a
 hub learn from one join how many of their neighbours are in each shard and ask
-to move to the shard that has most (a hub larger than a shard's quota asks for
-as many shards as it needs).  A shard grants requests up to its quota of rows,
-large hubs first, so that hubs move as a whole; a request that no longer fits
-is granted for the share that does.  Rows without neighbours make room.
+to move to the shard that has most (a hub too large to move as a whole asks
+for as many shards as have room for it).  From the number of requests between each pair of
+shards the flows are found that leave no shard above its quota, rows that leave
+making room for rows that come.  A flow grants requests large hubs first, so
+that hubs move as a whole; a request that no longer fits is granted for the
+share that does.  Rows without neighbours make room.
 
 At the end row counts are made equal exactly (law ``rows``): rows are numbered
 within their shard, linked rows first, and those beyond the quota fill the
@@ -16,7 +18,7 @@ shards below theirs.  Numbers are found by blocks: counts per (shard, block),
 a running sum over the blocks, and a row number within a block, so no shard's
 rows meet in one task.
 
-What reaches the driver is one number per shard.  Hot hubs (more than a
+What reaches the driver is one number per pair of shards.  Hot hubs (more than a
 thousandth of all rows, so less than a thousand of them) are joined by
 broadcast, all others by shuffle.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import hash_unit, join_by_key, stored
 
-CLASSES = 64  # parts into which requests of hubs of like size are cut, so that quotas are used up finely
+CLASSES = 16  # parts into which requests of hubs of like size are cut, so that quotas are used up finely
 
 
 def documents_as_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,6 +57,25 @@ def _at(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
+def balanced_flows(asked: list[list[float]], room: list[int]) -> list[list[float]]:
+    """Flows of at most the asked ones with (in - out) of each shard within its room.
+
+    Starts from all requests and scales the inflow of every shard that would
+    overflow, until none does; what leaves a shard counts as room.
+    """
+    shards = range(len(room))
+    flow = [row[:] for row in asked]
+    for _ in range(200):
+        factor = []
+        for t in shards:
+            come = sum(flow[s][t] for s in shards)
+            factor.append(min(1.0, (room[t] + sum(flow[t])) / come) if come else 1.0)
+        if min(factor) > 1 - 1e-6:
+            break
+        flow = [[flow[s][t] * factor[t] for t in shards] for s in shards]
+    return flow
+
+
 def propagate(linked: DataFrame, sizes: DataFrame, total: int, shards: int, rounds: int, seed: int) -> DataFrame:
     """``linked`` (doc_id, size, text_crc32, hub, shard) with shards moved towards the neighbours'.
 
@@ -66,28 +87,38 @@ def propagate(linked: DataFrame, sizes: DataFrame, total: int, shards: int, roun
     for turn in range(rounds):
         loads = _counts(linked, shards)
         room = [max(q - n, 0) for q, n in zip(quotas, loads, strict=True)]
-        # one row per hub: its shards by falling count; ties by a hash of hub and shard, the same for all neighbours
-        per = linked.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        ranked = per.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct(
-            F.col("n"), F.xxhash64("hub", "shard", F.lit(seed)).alias("tie"), F.col("shard"))), asc=False).alias("order"))
-        profile = sizes.join(ranked, "hub").select(
-            "hub", "rows", F.col("order.shard").alias("order"),
-            F.ceil(F.col("rows") / F.lit(max(quotas[0], 1))).cast("int").alias("wanted"))
+        # homes of a hub: its shards by falling count (ties by a hash of hub and shard, the same for all its rows),
+        # one if the hub can move as a whole, else as many as have room for it
+        per = linked.groupBy("hub", "shard").agg(F.count("*").alias("n")).join(sizes, "hub")
+        falling = Window.partitionBy("hub").orderBy(F.desc("n"), F.xxhash64("hub", "shard", F.lit(seed)))
+        before = F.sum(F.col("n") + _at(room, F.col("shard"))).over(falling.rowsBetween(Window.unboundedPreceding, -1))
+        per = per.withColumn("place", F.row_number().over(falling)).withColumn("before", F.coalesce(before, F.lit(0)))
+        splits = F.col("rows") > max(quotas[0] // 4, 1)
+        homes = per.where((F.col("place") == 1) | (splits & (F.col("before") < F.col("rows"))))
+        profile = homes.groupBy("hub").agg(
+            F.first("rows").alias("rows"), F.array_sort(F.collect_list("shard")).alias("homes"))  # a row per hub
         asked = join_by_key(linked, profile, "hub", heavy, "rows")
-        homes = F.slice("order", 1, F.col("wanted"))
+        homes = F.col("homes")
         pick = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed + turn)), F.size(homes)).cast("int")
         asked = asked.withColumn("to", F.when(~F.array_contains(homes, F.col("shard")), F.get(homes, pick)))
         # priority: larger hubs first, hubs of like size in parts
         asked = asked.withColumn("class", -F.floor(F.log2("rows")) * CLASSES
                                  + F.pmod(F.xxhash64("hub", F.lit(seed + turn)), F.lit(CLASSES)))
-        asked = stored(asked.drop("order", "wanted"), "asked")
-        wish = asked.where(F.col("to").isNotNull()).groupBy("to", "class").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("to").orderBy("class")
-                                 .rowsBetween(Window.unboundedPreceding, -1))  # a few thousand rows in all
-        grant = wish.select("to", "class", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
-            _at(room, F.col("to")) - F.coalesce(before, F.lit(0))) / F.col("n"))).alias("share"))
-        granted = asked.join(F.broadcast(grant), ["to", "class"], "left")  # shards x size classes at most
-        moves = F.coalesce(hash_unit(F.col("doc_id"), F.col("text_crc32"), F.lit(seed)) < F.col("share"), F.lit(False))
+        asked = stored(asked.drop("homes"), "asked")
+        wish = stored(asked.where(F.col("to").isNotNull()).groupBy("shard", "to", "class")
+                      .agg(F.count("*").alias("n")), "wishes")
+        flows = [[0.0] * shards for _ in range(shards)]
+        for r in wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():  # a number per pair of shards
+            flows[r["shard"]][r["to"]] = float(r["n"])
+        flows = balanced_flows(flows, room)
+        before = F.sum("n").over(Window.partitionBy("shard", "to").orderBy("class")
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+        most = _at([f for row in flows for f in row], F.col("shard") * shards + F.col("to"))
+        grant = wish.select("shard", "to", "class", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
+            most - F.coalesce(before, F.lit(0))) / F.col("n"))).alias("share"))
+        granted = asked.join(F.broadcast(grant), ["shard", "to", "class"], "left")  # pairs of shards x classes
+        draw = hash_unit(F.col("doc_id"), F.col("text_crc32"), F.lit(seed + turn), F.lit("draw"))
+        moves = F.coalesce(draw < F.col("share"), F.lit(False))
         linked = stored(granted.select("doc_id", "size", "text_crc32", "hub",
                                        F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"),
                                        moves.alias("moved")), "labels")
@@ -127,7 +158,7 @@ def equalise(labelled: DataFrame, total: int, shards: int, block_rows: int) -> D
                            "shard": F.when(stays, F.col("shard")).otherwise(shard).cast("int")})
 
 
-def balanced_shards(nodes: DataFrame, shards: int = 16, rounds: int = 4, seed: int = 7,
+def balanced_shards(nodes: DataFrame, shards: int = 16, rounds: int = 6, seed: int = 7,
                     block_rows: int = 2000) -> DataFrame:
     """Adds shard and slot to ``nodes`` (doc_id, size, text_crc32, hub)."""
     nodes = stored(nodes, "nodes")
