@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, graph_search, langid, mixing, quality, secrets, sharding, simhash, simple8b, toxicity
+from parlance.llm import bpe, graph_search, langid, mixing, oracle, quality, secrets, sharding, simhash, simple8b, toxicity
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -30,7 +30,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality.base_counts(quality.histograms(docs, rules)).drop("_words", "text")
     counted = stored(counted, "quality")  # counts only; texts are read once
     judged = quality.judge(counted, quality.language_references(counted, rules), rules)
-    return judged.select("doc_id", *quality.RESULT)
+    return judged.select("doc_id", *quality.RESULT).withColumns(
+        {c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+SQL["op1_quality_rules"] = oracle.quality_sql(quality.QualityRules())
 
 
 @_job

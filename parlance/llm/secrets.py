@@ -152,9 +152,12 @@ def redacted_documents(docs: DataFrame, vocabulary_path: str, pattern: str,
 
     A document without a secret, or with a null text, stays as it is.
     """
-    found = scanned(docs, vocabulary_path, pattern, keep=docs.columns, rules=rules, redacted=True)
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # names of its own, whatever the documents' are
+    rows = docs.select(*[F.col(c).alias(p) for c, p in place.items()])
+    found = scanned(rows, vocabulary_path, pattern, list(place.values()), place["text"], rules, redacted=True)
     hit = F.col("spans") != ""
-    changed = {"text": F.when(hit, F.col("_redacted")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+    value = {c: F.col(p) for c, p in place.items()}
+    value["text"] = F.when(hit, F.col("_redacted")).otherwise(value["text"])
+    if "n_chars" in value:
+        value["n_chars"] = F.when(hit, F.length("_redacted").cast("long")).otherwise(value["n_chars"])
+    return found.select(*[v.alias(c) for c, v in value.items()])
