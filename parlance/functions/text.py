@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Java's String.trim removes every char <= U+0020; Java's "\s" is
 # [ \t\n\x0B\f\r]; NGram default n = 2 joined by one space; request defaults
 # text "Dummy", type "text", prevTask "na", domainBias "".
-JAVA_TRIM_PATTERN = r"^[\x00-\x20]+|[\x00-\x20]+$"
+JAVA_TRIM_PATTERN = r"\A[\x00-\x20]+|[\x00-\x20]+\z"  # \z: "$" also matches before a final line separator
 JAVA_WS = r"[ \t\n\x0B\f\r]"
 DEFAULT_TEXT = "Dummy"
 DEFAULT_TYPE = "text"
@@ -38,23 +38,29 @@ def split_fields(c, sep: str = "\t") -> Column:
     c = _c(c)
     esc = sep.replace("\\", "\\\\")
     sep_re = "\\t" if sep == "\t" else esc
-    stripped = F.regexp_replace(c, f"(?:{sep_re})+$", "")
+    stripped = F.regexp_replace(c, f"(?:{sep_re})+\\z", "")
     return (F.when(c == "", F.array(F.lit("")))
             .when(stripped == "", F.array().cast("array<string>"))
             .otherwise(F.split(stripped, sep_re)))
 
 
-def tokenize(c) -> Column:
+def tokenize_sql(text: str) -> str:
+    """``tokenize`` as SQL over a string expression."""
+    ws = JAVA_WS.replace("\\", "\\\\")
+    low = f"lower({text})"
+    stripped = f"regexp_replace({low}, '{ws}+\\\\z', '')"
+    return (f"CASE WHEN {low} = '' THEN array('') WHEN {stripped} = '' THEN cast(array() AS array<string>) "
+            f"WHEN {low} IS NOT NULL THEN split({stripped}, '{ws}') END")
+
+
+def tokenize(c: str) -> Column:
     """ML ``Tokenizer``: lower-case, split on one Java whitespace char.
 
     Leading and inner empty tokens stay, trailing ones go; ``""`` -> ``[""]``
-    and a whitespace-only text -> ``[]`` (Java split rules).
+    and a whitespace-only text -> ``[]`` (Java split rules).  The one
+    definition serves the table operators and the model pipelines.
     """
-    low = F.lower(_c(c))
-    stripped = F.regexp_replace(low, JAVA_WS + "+$", "")
-    return (F.when(low == "", F.array(F.lit("")))
-            .when(stripped == "", F.array().cast("array<string>"))
-            .otherwise(F.split(stripped, JAVA_WS)))
+    return F.expr(tokenize_sql(f"`{c}`"))
 
 
 def ngrams(words, n: int = 2) -> Column:
@@ -105,21 +111,31 @@ def run_lengths(sorted_col, flags_col) -> Column:
 
 def last_segment(c) -> Column:
     """``s.split("\\.").last``: last dotted segment, trailing dots ignored."""
-    return F.element_at(F.split(F.regexp_replace(_c(c), r"\.+$", ""), r"\."), -1)
+    return F.element_at(F.split(F.regexp_replace(_c(c), r"\.+\z", ""), r"\."), -1)
+
+
+def _bias_weights(c) -> Column:
+    """Weights ordered by lower-cased pair text; null where a pair has no number."""
+    keyed = F.transform(F.split(_c(c), ","), lambda p: F.struct(F.lower(p).alias("k"), p.alias("p")))
+    return F.transform(F.array_sort(keyed), lambda s: F.get(F.split(s["p"], ":"), F.lit(1)).try_cast("double"))
+
+
+def bias_error(c, n_domains: int = 2) -> Column:
+    """Is a non-empty bias malformed (wrong number of pairs, or a weight that is no number)?"""
+    c, weights = _c(c), _bias_weights(c)
+    bad = (F.size(weights) != n_domains) | F.exists(weights, lambda w: w.isNull())
+    return F.coalesce(c.isNotNull() & (c != "") & bad, F.lit(False))
 
 
 def parse_bias(c, default: float = 0.5, n_domains: int = 2) -> Column:
     """``"nba:0.5,weather:0.5"`` -> weights ordered by lower-cased pair text.
 
-    Empty or missing -> ``[default] * n_domains``.
+    Empty, missing or malformed (``bias_error``) -> ``[default] * n_domains``,
+    so one bad request does not fail its batch.
     """
     c = _c(c)
-    pairs = F.split(c, ",")
-    keyed = F.transform(pairs, lambda p: F.struct(F.lower(p).alias("k"), p.alias("p")))
-    ordered = F.array_sort(keyed)
-    weights = F.transform(ordered, lambda s: F.split(s["p"], ":").getItem(1).cast("double"))
     dflt = F.array(*[F.lit(float(default)) for _ in range(n_domains)])
-    return F.when(c.isNull() | (c == ""), dflt).otherwise(weights)
+    return F.when(c.isNull() | (c == "") | bias_error(c, n_domains), dflt).otherwise(_bias_weights(c))
 
 
 def sentence_split(c) -> Column:

@@ -85,7 +85,8 @@ def ranged_prefix(df: DataFrame, key: str, values: Mapping[str, Column], inclusi
     spark = df.sparkSession
     n_ranges = num_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     qs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = sorted(set(df.approxQuantile(key, qs, 0.001))) if qs else []
+    # an error of a quarter range keeps every range below twice its share, however many ranges there are
+    cuts = sorted(set(df.approxQuantile(key, qs, 1 / (4 * n_ranges)))) if qs else []
     splits = [-float("inf")] + [float(c) for c in cuts] + [float("inf")]
     tmp_key = "_order_key_d"
     ranged = Bucketizer(splits=splits, inputCol=tmp_key, outputCol="_range").transform(

@@ -2,9 +2,9 @@
 
 The reference collects all (prediction, label) pairs to the driver.  Here
 one aggregation builds the (label, prediction) count table -- partial
-aggregation makes its shuffle one row per pair per map task -- and all
-metrics are computed from that table gathered into one row (at most
-#classes^2 pairs), so the scored input is read once and never self-joined.
+aggregation makes its shuffle one row per pair per map task -- and a second
+one by class gives all counts, so the scored input is read once and never
+self-joined, and the work is linear in the pairs.
 
 Rules: the classes are the *actual* labels; a class only predicted is
 missing from the matrix; precision of a never-predicted class is 0; F1 is 0
@@ -13,54 +13,55 @@ when precision + recall is 0; FPR is NaN when there is one actual class.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 10  # output rounding of the metric columns
 
 
-def pair_counts(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    return (df.groupBy(F.col(label_col).cast("double").alias("label"),
+def pair_counts(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
+                by: Sequence[str] = ()) -> DataFrame:
+    return (df.groupBy(*by, F.col(label_col).cast("double").alias("label"),
                        F.col(pred_col).cast("double").alias("prediction"))
             .agg(F.count("*").alias("n")))
 
 
-def _pairs_row(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
-    """One row holding every (label, prediction, n) pair and the class list.
+def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
+    """{label, prediction, n} over actual labels x actual labels (zeros kept).
 
-    The pair table has at most (#classes)^2 entries; gathering it into one
-    row lets the metrics be computed from a single lineage of the input --
-    no self-join of the (possibly large) scored plan.
+    Each label's row takes the list of all labels from a window over the label
+    table (one row per class) and adds a zero cell for each, so the pair table
+    is read once and the grid is what the result has anyway.
     """
-    pc = pair_counts(df, label_col, pred_col)
-    return (pc.agg(F.collect_list(F.struct("label", "prediction", "n")).alias("_pairs"))
-            .withColumn("_classes", F.array_sort(F.array_distinct(F.transform("_pairs", lambda p: p["label"])))))
-
-
-def _sum_pairs(pairs, cond):
-    return F.aggregate(F.filter(pairs, cond), F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-
-
-def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    """{label, prediction, n} over actual labels x actual labels (zeros kept)."""
-    row = _pairs_row(df, label_col, pred_col)
-    grid = F.flatten(F.transform("_classes", lambda a: F.transform("_classes", lambda b: F.struct(
-        a.alias("label"), b.alias("prediction"),
-        _sum_pairs(F.col("_pairs"), lambda p: (p["label"] == a) & (p["prediction"] == b)).alias("n")))))
-    return row.select(F.inline_outer(grid)).filter(F.col("label").isNotNull())
+    per = (pair_counts(df, label_col, pred_col).where(F.col("label").isNotNull()).groupBy("label")
+           .agg(F.collect_list(F.struct("prediction", "n", F.lit(False).alias("cell"))).alias("cells")))
+    per = per.withColumn("classes", F.collect_list("label").over(Window.partitionBy()))
+    zeros = F.transform("classes", lambda c: F.struct(
+        c.alias("prediction"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("cell")))
+    return (per.select("label", F.inline(F.concat("cells", zeros))).groupBy("label", "prediction")
+            .agg(F.sum("n").alias("n"), F.max("cell").alias("cell")).where("cell").drop("cell"))
 
 
 def metrics_by_label(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
-                     digits: int = DIGITS) -> DataFrame:
-    """{label, n_label, tp, fp, precision, recall, fpr, f1} per actual label."""
-    row = _pairs_row(df, label_col, pred_col)
-    per = F.transform("_classes", lambda c: F.struct(
-        c.alias("label"),
-        _sum_pairs(F.col("_pairs"), lambda p: p["label"] == c).alias("n_label"),
-        _sum_pairs(F.col("_pairs"), lambda p: (p["label"] == c) & (p["prediction"] == c)).alias("tp"),
-        _sum_pairs(F.col("_pairs"), lambda p: p["prediction"] == c).alias("n_pred")))
-    t = (row.select(_sum_pairs(F.col("_pairs"), lambda p: F.lit(True)).alias("total"), F.inline_outer(per))
-         .filter(F.col("label").isNotNull()))
+                     digits: int = DIGITS, by: Sequence[str] = ()) -> DataFrame:
+    """{label, n_label, tp, fp, precision, recall, fpr, f1} per actual label (and ``by``, e.g. a model's key).
+
+    Every pair adds to its label's row and to its prediction's row; one
+    aggregation by class gives all counts.
+    """
+    same = F.col("label") == F.col("prediction")
+    zero = F.lit(0).cast("long")
+    as_label = F.struct(F.col("label").alias("class"), F.col("n").alias("n_label"),
+                        F.when(same, F.col("n")).otherwise(zero).alias("tp"), zero.alias("n_pred"))
+    as_pred = F.struct(F.col("prediction").alias("class"), zero.alias("n_label"), zero.alias("tp"),
+                       F.col("n").alias("n_pred"))
+    t = (pair_counts(df, label_col, pred_col, by).select(*by, F.inline(F.array(as_label, as_pred))).groupBy(*by, "class")
+         .agg(*[F.sum(c).alias(c) for c in ("n_label", "tp", "n_pred")]))
+    # a row per class; all rows count in the total, those of classes that are only predicted with 0
+    t = (t.withColumn("total", F.sum("n_label").over(Window.partitionBy(*by)))
+         .where((F.col("n_label") > 0) & F.col("class").isNotNull()).withColumnRenamed("class", "label"))
     fp = F.col("n_pred") - F.col("tp")
     precision = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("tp") / F.col("n_pred"))
     recall = F.col("tp") / F.col("n_label")
@@ -71,16 +72,16 @@ def metrics_by_label(df: DataFrame, label_col: str = "label", pred_col: str = "p
     f1 = F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(
         2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
     t = t.withColumn("f1", f1)
-    return t.select("label", F.col("n_label").cast("long").alias("n_label"), F.col("tp").cast("long").alias("tp"), "fp",
+    return t.select(*by, "label", F.col("n_label").cast("long").alias("n_label"), F.col("tp").cast("long").alias("tp"), "fp",
                     *[F.round(c, digits).alias(c) for c in ("precision", "recall", "fpr", "f1")])
 
 
 def metrics_summary(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
-                    digits: int = DIGITS) -> DataFrame:
-    """One row: n, accuracy, test_error and label-weighted precision/recall/F1/FPR."""
-    per = metrics_by_label(df, label_col, pred_col, digits=17)
+                    digits: int = DIGITS, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by``): n, accuracy, test_error and label-weighted precision/recall/F1/FPR."""
+    per = metrics_by_label(df, label_col, pred_col, digits=17, by=by)
     w = F.col("n_label")
-    agg = per.agg(
+    agg = per.groupBy(*by).agg(
         F.sum("n_label").alias("n"),
         F.sum("tp").alias("_tp"),
         F.sum(F.col("precision") * w).alias("_wp"),
@@ -89,7 +90,7 @@ def metrics_summary(df: DataFrame, label_col: str = "label", pred_col: str = "pr
         F.sum(F.col("fpr") * w).alias("_wfpr"))
     acc = F.col("_tp") / F.col("n")
     return agg.select(
-        F.col("n").cast("long").alias("n"),
+        *by, F.col("n").cast("long").alias("n"),
         F.round(acc, digits).alias("accuracy"),
         F.round(1 - acc, digits).alias("test_error"),
         F.round(F.col("_wp") / F.col("n"), digits).alias("weighted_precision"),

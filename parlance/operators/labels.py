@@ -7,14 +7,13 @@ with the data is a projection or a generate, never a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import java_trim
 
 # Fixed value of the reference: the negative class name.
 OTHER = "Other"
-MAX_KEYS = 10_000
 
 
 def label_keys(df: DataFrame, label_col: str = "strLabel", exclude: tuple[str, ...] = (OTHER,)) -> DataFrame:
@@ -46,11 +45,9 @@ def index_to_label(df: DataFrame, index: DataFrame, idx_col: str = "prediction",
     return df.join(lut, F.col(idx_col) == F.col("_idx"), "left").drop("_idx")
 
 
-def _key_array(keys: DataFrame, max_keys: int = MAX_KEYS):
-    vals = sorted(r[0] for r in keys.limit(max_keys + 1).collect())
-    if len(vals) > max_keys:
-        raise ValueError(f"more than {max_keys} label keys")
-    return vals
+def _all_keys(keys: DataFrame) -> Column:
+    """All keys as one array, from the key table (a scalar subquery: one row per class)."""
+    return keys.agg(F.array_sort(F.collect_set("key")).alias("keys")).scalar()
 
 
 def one_vs_other(df: DataFrame, keys: DataFrame, label_col: str = "strLabel",
@@ -58,15 +55,14 @@ def one_vs_other(df: DataFrame, keys: DataFrame, label_col: str = "strLabel",
     """Rows of every key's training set: label == key, or label == Other.
 
     {key, ...}: a positive row goes to its own key, an ``Other`` row to every
-    key (a generate over the class list, which is bounded by MAX_KEYS).
+    key (a generate over the class list; the result has these rows).
     """
-    ks = _key_array(keys)
     lab = java_trim(F.col(label_col))
-    key_arr = F.array(*[F.lit(k) for k in ks]) if ks else F.array().cast("array<string>")
-    targets = (F.when(lab == other, key_arr)
-               .when(lab.isin(ks), F.array(lab))
+    keyed = df.withColumn("_all", _all_keys(keys))
+    targets = (F.when(lab == other, F.col("_all"))
+               .when(F.array_contains("_all", lab), F.array(lab))
                .otherwise(F.array().cast("array<string>")))
-    return (df.withColumn("_keys", targets)
+    return (keyed.withColumn("_keys", targets)
             .select(F.explode_outer("_keys").alias("key"), *[c for c in df.columns])
             .filter(F.col("key").isNotNull()))
 
@@ -74,11 +70,9 @@ def one_vs_other(df: DataFrame, keys: DataFrame, label_col: str = "strLabel",
 def one_vs_rest(df: DataFrame, keys: DataFrame, label_col: str = "strLabel",
                 other: str = OTHER) -> DataFrame:
     """Every row once per key, relabelled: label == key stays, else Other."""
-    ks = _key_array(keys)
-    key_arr = F.array(*[F.lit(k) for k in ks]) if ks else F.array().cast("array<string>")
     lab = java_trim(F.col(label_col))
-    out = (df.withColumn("_lab", lab)
-           .select(F.explode_outer(key_arr).alias("key"), *df.columns, "_lab")
+    out = (df.withColumn("_lab", lab).withColumn("_all", _all_keys(keys))
+           .select(F.explode_outer("_all").alias("key"), *df.columns, "_lab")
            .filter(F.col("key").isNotNull()))
     return (out.withColumn(label_col, F.when(F.col("_lab") == F.col("key"), F.col("_lab")).otherwise(F.lit(other)))
             .drop("_lab"))

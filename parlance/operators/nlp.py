@@ -2,8 +2,7 @@
 
 The reference calls an NLP library per text on the driver.  Here sentence
 splitting and word tokens are regex expressions, and the lemma table is a
-dictionary lookup: a map literal when the dictionary is small (no shuffle),
-a join on (token) otherwise.
+dictionary joined on the token.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 
-MAX_MAP_ENTRIES = 20_000
-
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """{id, sent_no, sentence}: split after ., ! or ? plus whitespace.
@@ -22,28 +19,25 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Trailing whitespace is dropped first (Java split drops the trailing empty
     sentence).
     """
-    stripped = F.regexp_replace(F.col(text_col), T.JAVA_WS + "+$", "")
+    stripped = F.regexp_replace(F.col(text_col), T.JAVA_WS + r"+\z", "")
     return (df.select(id_col, T.sentence_split(stripped).alias("_s"))
             .select(id_col, F.posexplode_outer("_s").alias("sent_no", "sentence"))
             .filter(F.col("sentence").isNotNull()))
 
 
 def lemmas(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
-           token_col: str = "token", lemma_col: str = "lemma",
-           max_map_entries: int = MAX_MAP_ENTRIES) -> DataFrame:
-    """{id, lemmas}: word tokens of the text in order, each replaced by its lemma."""
-    n = lemma_dict.count()
-    toks = df.select(id_col, T.word_tokens(text_col).alias("_tok"))
-    if n <= max_map_entries:
-        pairs = lemma_dict.select(token_col, lemma_col).collect()
-        if not pairs:
-            return toks.withColumnRenamed("_tok", "lemmas")
-        m = F.create_map(*[x for r in pairs for x in (F.lit(r[0]), F.lit(r[1]))])
-        return toks.select(id_col, F.transform("_tok", lambda t: F.coalesce(F.element_at(m, t), t)).alias("lemmas"))
-    # Large dictionary: explode tokens, join, reassemble in token order.
-    ex = toks.select(id_col, F.posexplode_outer("_tok").alias("_pos", "_t"))
-    d = lemma_dict.select(F.col(token_col).alias("_t"), F.col(lemma_col).alias("_l"))
-    j = ex.join(d, "_t", "left").select(id_col, "_pos", F.coalesce("_l", "_t").alias("_v"))
-    return (j.groupBy(id_col)
-            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_a"))
-            .select(id_col, F.filter(F.transform("_a", lambda s: s["_v"]), lambda v: v.isNotNull()).alias("lemmas")))
+           token_col: str = "token", lemma_col: str = "lemma") -> DataFrame:
+    """{id, lemmas}: word tokens of the text in order, each replaced by its lemma.
+
+    The dictionary is joined, whatever its size; a token listed twice has its
+    least lemma.  Works on distinct texts, so repeated rows keep their own
+    result; a null text gives null, a text without words an empty list.
+    """
+    rows = df.select(id_col, F.col(text_col).alias("_text"), F.sha2(F.col(text_col), 256).alias("_key"))
+    texts = rows.where(F.col("_key").isNotNull()).dropDuplicates(["_key"])
+    ex = texts.select("_key", F.posexplode_outer(T.word_tokens("_text")).alias("_pos", "_t"))
+    d = (lemma_dict.groupBy(F.col(token_col).alias("_t")).agg(F.min(lemma_col).alias("_l")))
+    j = ex.join(d, "_t", "left").select("_key", "_pos", F.coalesce("_l", "_t").alias("_v"))
+    per = (j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_a"))
+           .select("_key", F.filter(F.transform("_a", lambda s: s["_v"]), lambda v: v.isNotNull()).alias("lemmas")))
+    return rows.join(per, "_key", "left").select(id_col, "lemmas")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -64,13 +66,14 @@ def classify(df: DataFrame, tm: TextModel, mode: str = "calibrated") -> DataFram
 
 
 def apply_models(df: DataFrame, models: Sequence[TextModel], text_col: str | dict[str, str] = "utterance",
-                 mode: str = "calibrated"):
+                 mode: str = "calibrated", features: str | None = None):
     """Apply every model to the same rows in one pass.
 
     Returns (frame, entries) where entries are (model, predictedLabel column,
     score column), in (domain, classifier) order.  Features are computed once
     per (text column, feature width); ``text_col`` may map a domain to its
-    own (e.g. slot-replaced) text column.
+    own (e.g. slot-replaced) text column.  ``features`` names a vector column
+    that the rows already have; no text is read then.
     """
     col_of = (lambda d: text_col.get(d, "utterance")) if isinstance(text_col, dict) else (lambda d: text_col)
     groups: dict[tuple[str, int], list[TextModel]] = {}
@@ -80,9 +83,11 @@ def apply_models(df: DataFrame, models: Sequence[TextModel], text_col: str | dic
     entries = []
     for gi, ((tcol, width), group) in enumerate(sorted(groups.items())):
         fcol = f"_features_{gi}"
-        # same feature stages as at training time, reading this group's text column
-        tmp = PipelineModel(stages=text_feature_stages(tcol, width)).transform(cur)
-        cur = tmp.withColumnRenamed("features", fcol).drop("words", "ngrams", "_bucket_terms")
+        if features:
+            fcol = features
+        else:  # same feature stages as at training time, reading this group's text column
+            tmp = PipelineModel(stages=text_feature_stages(tcol, width)).transform(cur)
+            cur = tmp.withColumnRenamed("features", fcol).drop("words", "ngrams", "_bucket_terms")
         for i, tm in enumerate(group):
             _, rest = _split_stages(tm.model)
             tag = f"_{gi}_{i}"
@@ -165,24 +170,27 @@ def union_scores(*frames: DataFrame) -> DataFrame:
 
 
 def lr_weight_table(spark, models: Sequence[TextModel]):
-    """Binary LR models as tables: weights {domain, classifier, bucket, weight}
-    (non-zero coefficients) and per model (intercept, positive-class flag).
+    """Binary LR models as a table {bucket, weights} -- one row per bucket with
+    an array of one weight per model -- and per model (domain, classifier,
+    intercept, positive-class flag), in the array's order.
 
-    The coefficients are model state the driver already holds; the table is
-    what the join-based scorer reads.
+    The coefficients are model state that the driver already holds (an array
+    of models x width numbers); rows of it become the table's rows.
     """
-    rows, heads = [], []
+    columns, heads = [], []
     for tm in models:
         _, rest = _split_stages(tm.model)
         lr = rest[0]
         if getattr(lr, "numClasses", 2) != 2 or not hasattr(lr, "coefficients"):
             raise ValueError(f"{tm.classifier}: join scoring needs a binary logistic regression")
         coef = lr.coefficients.toArray()
-        rows += [(tm.domain, tm.classifier, int(i), float(w)) for i, w in enumerate(coef) if w != 0.0]
+        columns.append(coef)
         pos = tm.labels.index(tm.classifier) == 1 if tm.classifier in tm.labels else None
         heads.append((tm.domain, tm.classifier, float(lr.intercept), pos))
-    weights = spark.createDataFrame(rows, "domain string, classifier string, bucket int, weight double")
-    return weights, heads
+    matrix = np.stack(columns, 1)
+    used = np.flatnonzero(matrix.any(1))
+    table = pa.table({"bucket": pa.array(used, pa.int32()), "weights": pa.array(list(matrix[used]), pa.list_(pa.float64()))})
+    return spark.createDataFrame(table), heads
 
 
 def score_lr_by_join(texts: DataFrame, tf: DataFrame, id_col: str, weights: DataFrame, heads) -> DataFrame:
@@ -190,18 +198,19 @@ def score_lr_by_join(texts: DataFrame, tf: DataFrame, id_col: str, weights: Data
     for every row of ``texts``, from its long hashed term frequencies
     {id, bucket, tf} (``features.hashed_tf`` with the models' width).
 
-    One join on bucket and one aggregation for any number of models (AQE:
-    broadcast of the weights when small, skew-split hot buckets otherwise).
-    Each text's K score rows come from a generate over the model list, so a
-    text without bigrams still gets sigmoid(intercept); no cross join.
+    One join on bucket (at most one row per bucket on the model side; AQE:
+    broadcast when small, hot buckets split otherwise) and one aggregation
+    with a partial sum per model, for any number of models.  Each text's score
+    rows come from a generate over the model list, so a text without bigrams
+    still gets sigmoid(intercept); no cross join.
     """
-    dots = (tf.join(weights, "bucket")
-            .groupBy(id_col, "domain", "classifier")
-            .agg(F.sum(F.col("tf") * F.col("weight")).alias("_dot")))
-    per_model = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("classifier"),
-                                   F.lit(b).alias("_b"), F.lit(p).alias("_pos")) for d, c, b, p in heads])
-    frame = texts.select(id_col, F.inline_outer(per_model))
-    j = frame.join(dots, [id_col, "domain", "classifier"], "left")
-    p1 = 1.0 / (1.0 + F.exp(-(F.col("_b") + F.coalesce(F.col("_dot"), F.lit(0.0)))))
-    score = F.when(F.col("_pos").isNull(), F.lit(0.0)).when(F.col("_pos"), p1).otherwise(1.0 - p1)
-    return j.select(id_col, "domain", "classifier", score.alias("score"))
+    dots = (tf.join(weights, "bucket").groupBy(id_col)
+            .agg(*[F.sum(F.col("tf") * F.col("weights")[k]).alias(f"_dot{k}") for k in range(len(heads))]))
+    j = texts.select(id_col).join(dots, id_col, "left")
+    entries = []
+    for k, (domain, classifier, intercept, positive) in enumerate(heads):
+        p1 = 1.0 / (1.0 + F.exp(-(F.lit(intercept) + F.coalesce(F.col(f"_dot{k}"), F.lit(0.0)))))
+        score = F.lit(0.0) if positive is None else p1 if positive else 1.0 - p1
+        entries.append(F.struct(F.lit(domain).alias("domain"), F.lit(classifier).alias("classifier"),
+                                score.alias("score")))
+    return j.select(id_col, F.inline_outer(F.array(*entries)))

@@ -5,11 +5,12 @@ dictionary is applied in ``slot_order`` and sees the output of the previous
 one; matches are whole words (no letter, digit or ``_`` on either side),
 leftmost-longest and non-overlapping; a text with no dictionary stays as is.
 
-A slot dictionary becomes one regular expression (longest alias first, so
-the alternation is leftmost-longest) evaluated by Spark's JVM regex engine
-inside the projection: no join, no shuffle, no Python.  The alias list
-reaches the driver to build the pattern, so its size is checked
-(``max_aliases``); the dictionary is a parameter table, not a data table.
+Two forms with the same results, chosen by what the dictionary is, not by its
+size: a dictionary given as a parameter (inline) becomes one regular expression
+per slot (longest alias first, so the alternation is leftmost-longest),
+evaluated by Spark's JVM regex engine inside the projection -- no join, no
+shuffle; a dictionary that is a table is joined (``replace_slots_join``) and
+never gathered.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ from pyspark.sql import functions as F
 
 # Word characters for whole-word matching.
 WORD = r"\p{L}\p{N}_"
-MAX_ALIASES = 50_000
 
 
 def slot_patterns(dictionary: DataFrame, slot_col: str = "slot", order_col: str = "slot_order",
-                  alias_col: str = "alias", max_aliases: int = MAX_ALIASES) -> list[tuple[str, str]]:
-    """[(slot, pattern)] in application order; aliases sorted longest first."""
-    n = dictionary.count()
-    if n > max_aliases:
-        raise ValueError(f"slot dictionary has {n} aliases (> {max_aliases}); "
-                         "split it into several slots or raise max_aliases")
+                  alias_col: str = "alias") -> list[tuple[str, str]]:
+    """[(slot, pattern)] in application order; aliases sorted longest first.
+
+    For inline dictionaries, whose rows come from the driver anyway.
+    """
     rows = (dictionary.groupBy(slot_col, order_col)
             .agg(F.collect_set(alias_col).alias("aliases"))
             .orderBy(order_col, slot_col).collect())
@@ -110,98 +109,79 @@ def find_entities(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     return exploded.join(d, [slot_col, alias_col], "left")
 
 
-# ---------------------------------------------------------------- large dictionaries
-_RUNS = rf"([{WORD}]+|[^{WORD}]+)"
+# ---------------------------------------------------------------- dictionary tables
+_TOKENS = rf"([{WORD}]+|[^{WORD}])"  # a whole word, or one other character
 _IS_WORD = rf"^[{WORD}]"
+_AHEAD = 8  # tokens compared within the join; the rest is compared after it
+
+
+def _tokens(c: str) -> Column:
+    return F.regexp_extract_all(F.col(c), F.lit(_TOKENS), 1)
+
+
+def _replace_one_slot(texts: DataFrame, slot: str, aliases: DataFrame) -> DataFrame:
+    """One slot over {_key, _low, _count}: join on the first token -> verify -> greedy pick -> rebuild."""
+    cut = texts.withColumn("_t", _tokens("_low"))
+    alias = (aliases.where(F.col("alias") != "").distinct().select(_tokens("alias").alias("_a"))
+             .withColumn("_first", F.col("_a")[0]).withColumn("_begin", F.array_join(F.slice("_a", 1, _AHEAD), "")))
+    spots = (cut.select("_key", F.inline_outer(F.transform("_t", lambda t, i: F.struct(
+        (i + 1).alias("j"), t.alias("_first"), F.array_join(F.slice("_t", i + 1, _AHEAD), "").alias("_ahead")))))
+        .where(F.col("j").isNotNull()))
+    maybe = (spots.join(alias, (spots["_first"] == alias["_first"]) & F.col("_ahead").startswith(F.col("_begin")))
+             .groupBy("_key").agg(F.collect_list(F.struct("j", F.size("_a").alias("len"), "_a")).alias("_m")))
+    j = cut.join(maybe, "_key", "left")
+    tok = F.col("_t")
+
+    def word_at(i: Column) -> Column:
+        return F.coalesce(F.get(tok, i - 1).rlike(_IS_WORD), F.lit(False))
 
+    def fits(m: Column) -> Column:
+        """The same tokens, and no word directly before a word or after one: as whole-word matching has it."""
+        end = m["j"] + m["len"]
+        return (F.slice(tok, m["j"], m["len"]) == m["_a"]) & ~word_at(m["j"] - 1) & ~word_at(end)
 
-def _alias_words(alias_col: str) -> Column:
-    return F.size(F.regexp_extract_all(F.col(alias_col), F.lit(rf"([{WORD}]+)"), 1))
-
-
-def _replace_one_slot_join(df: DataFrame, id_col: str, runs_col: str, slot: str, aliases: DataFrame,
-                           max_words: int) -> DataFrame:
-    """One slot over the run arrays: candidates -> join -> greedy pick -> rebuild."""
-    r = F.col(runs_col)
-    n = F.size(r)
-    cands = []
-    for k in range(1, max_words + 1):
-        span = 2 * k - 1
-        acc = r
-        for s in range(2, span + 1):
-            acc = F.zip_with(acc, F.slice(r, s, F.greatest(n - s + 1, F.lit(0))), lambda a, b: F.concat(a, b))
-        # acc[i] = runs[i] + ... + runs[i + span - 1]; null where the span runs past the end
-        cands.append(F.transform(acc, lambda s, i: F.struct((i + 1).alias("j"), F.lit(span).alias("len"),
-                                                            s.alias("s"))))
-    starts_word = F.transform(r, lambda x: x.rlike(_IS_WORD))
-    c = (df.select(id_col, runs_col, F.flatten(F.array(*cands)).alias("_c"), starts_word.alias("_w"))
-         .select(id_col, F.inline_outer(F.filter("_c", lambda x: x["s"].isNotNull())),
-                 F.col("_w")))
-    c = (c.filter(F.col("s").isNotNull() & F.element_at("_w", F.col("j")) & F.element_at("_w", F.col("j") + F.col("len") - 1))
-         .select(id_col, "j", "len", "s"))
-    hits = c.join(aliases.select(F.col("alias").alias("s")).distinct(), "s")
+    hits = F.array_distinct(F.transform(F.filter("_m", fits), lambda m: F.struct(
+        m["j"].alias("j"), (-m["len"]).alias("neg_len"))))
     # leftmost, then longest; greedy non-overlapping pick in one pass over the sorted matches
-    per_doc = hits.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("j", (-F.col("len")).alias("neg_len")))).alias("_m"))
     init = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<j:int,len:int>>").alias("picked"))
     picked = F.aggregate(
-        "_m", init,
+        F.sort_array(hits), init,
         lambda acc, m: F.when(m["j"] > acc["end"], F.struct(
             (m["j"] - m["neg_len"] - 1).alias("end"),
             F.concat(acc["picked"], F.array(F.struct(m["j"].alias("j"), (-m["neg_len"]).alias("len")))).alias("picked")))
         .otherwise(acc),
         lambda acc: acc["picked"])
-    per_doc = per_doc.select(id_col, picked.alias("_p"))
-    j = df.join(per_doc, id_col, "left")
-    p = F.coalesce(F.col("_p"), F.array().cast("array<struct<j:int,len:int>>"))
+    j = j.withColumn("_p", F.coalesce(picked, F.array().cast("array<struct<j:int,len:int>>")))
+    p, n = F.col("_p"), F.size(tok)
     prev_end = F.concat(F.array(F.lit(0)), F.transform(p, lambda x: x["j"] + x["len"] - 1))
     # zip_with pads the shorter side with nulls: pair each span with its own gap start
     pieces = F.zip_with(p, F.slice(prev_end, 1, F.size(p)), lambda x, pe: F.concat(
-        F.array_join(F.slice(r, pe + 1, F.greatest(x["j"] - pe - 1, F.lit(0))), ""), F.lit(slot)))
+        F.array_join(F.slice(tok, pe + 1, F.greatest(x["j"] - pe - 1, F.lit(0))), ""), F.lit(slot)))
     last_end = F.element_at(prev_end, -1)
-    tail = F.array_join(F.slice(r, last_end + 1, F.greatest(n - last_end, F.lit(0))), "")
-    text = F.concat(F.array_join(pieces, ""), tail)
-    return j.select(*[c for c in df.columns if c != runs_col],
-                    F.when(r.isNull(), F.lit(None)).otherwise(text).alias("_text"),
-                    F.size(p).alias("_n"))
+    tail = F.array_join(F.slice(tok, last_end + 1, F.greatest(n - last_end, F.lit(0))), "")
+    return j.select("_key", F.concat(F.array_join(pieces, ""), tail).alias("_low"),
+                    (F.col("_count") + F.size(p)).alias("_count"))
 
 
-def replace_slots_join(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
+def replace_slots_join(df: DataFrame, text_col: str, dictionary: DataFrame,
                        slot_col: str = "slot", order_col: str = "slot_order", alias_col: str = "alias",
                        out_text: str = "utterance_slots", out_count: str = "n_slots") -> DataFrame:
-    """Slot replacement for dictionaries of any size (J2 join path).
-
-    Same result as ``replace_slots``: the lower-cased text is cut into
-    word / non-word runs; every span of k words (k up to the longest alias)
-    is a candidate, built in the row from shifted copies of the run array;
-    candidates are equi-joined with the aliases (AQE: broadcast when the
-    dictionary is small, shuffle join otherwise); per text the matches are
-    sorted (leftmost, then longest) and picked greedily without overlap;
-    the text is rebuilt from the runs.  Slots apply in ``slot_order``.
+    """Slot replacement by a dictionary table of any size (J2), equal to ``replace_slots``.
+
+    Works on the distinct lower-cased texts, so repeated rows and ids need no
+    key of their own.  A text is cut into words and single other characters;
+    its tokens are equi-joined with the aliases' first tokens (the next tokens
+    are compared within the join), matches are verified in the row, sorted
+    (leftmost, then longest), picked greedily without overlap, and the text is
+    rebuilt.  Slots apply in ``slot_order``; one row per slot reaches the driver.
     """
     slots = (dictionary.select(slot_col, order_col).distinct().orderBy(order_col, slot_col).collect())
-    out = df.withColumn("_runs", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_RUNS), 1))
-    out = out.withColumn("_count", F.lit(0))
+    low = F.lower(F.col(text_col))
+    rows = df.withColumn("_key", F.sha2(low, 256))
+    texts = (rows.where(F.col("_key").isNotNull()).select("_key", low.alias("_low")).dropDuplicates(["_key"])
+             .withColumn("_count", F.lit(0)))
     for row in slots:
-        slot = row[slot_col]
-        aliases = dictionary.filter(F.col(slot_col) == slot).select(F.col(alias_col).alias("alias"))
-        max_words = aliases.agg(F.max(_alias_words("alias"))).first()[0] or 1
-        step = _replace_one_slot_join(out, id_col, "_runs", slot, aliases, int(max_words))
-        out = (step.withColumn("_count", F.col("_count") + F.col("_n"))
-               .withColumn("_runs", F.regexp_extract_all(F.col("_text"), F.lit(_RUNS), 1))
-               .drop("_n", "_text"))
-    return (out.withColumn(out_text, F.when(F.col(text_col).isNull(), F.lit(None))
-                           .otherwise(F.array_join("_runs", "")))
-            .withColumn(out_count, F.when(F.col(text_col).isNull(), F.lit(None))
-                        .otherwise(F.col("_count")).cast("int"))
-            .drop("_runs", "_count"))
-
-
-def replace_slots_auto(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
-                       max_aliases: int = MAX_ALIASES, out_text: str = "utterance_slots",
-                       out_count: str = "n_slots") -> DataFrame:
-    """Regex path for dictionaries up to ``max_aliases`` aliases, join path beyond."""
-    if dictionary.limit(max_aliases + 1).count() <= max_aliases:
-        return replace_slots(df, text_col, slot_patterns(dictionary, max_aliases=max_aliases),
-                             out_text=out_text, out_count=out_count)
-    return replace_slots_join(df, id_col, text_col, dictionary, out_text=out_text, out_count=out_count)
+        aliases = dictionary.filter((F.col(slot_col) == row[slot_col]) & (F.col(order_col) == row[order_col]))
+        texts = _replace_one_slot(texts, row[slot_col], aliases.select(F.col(alias_col).alias("alias")))
+    texts = texts.select("_key", F.col("_low").alias(out_text), F.col("_count").cast("int").alias(out_count))
+    return rows.join(texts, "_key", "left").drop("_key")

@@ -18,14 +18,14 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (CountVectorizerModel, IndexToString, OneHotEncoder, SQLTransformer,
-                                StringIndexer, VectorAssembler, VectorSizeHint)
+                                StringIndexer, VectorAssembler, VectorSizeHint, VectorSlicer)
 from pyspark.ml.functions import array_to_vector
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import JAVA_WS
+from parlance.functions.text import tokenize_sql
 from parlance.operators.features import DOMAIN_FEATURES, INTENT_FEATURES
+from parlance.operators.labels import OTHER
 
 # Fixed values of the reference: LR maxIter 10, regParam 0.3; task forest
 # 10 trees; sample forest 500 trees, depth 5; perceptron lr 0.5, seed 12345.
@@ -41,11 +41,7 @@ MLP_SEED = 12345
 def text_feature_stages(text_col: str = "utterance", num_features: int = DOMAIN_FEATURES,
                         n: int = 2) -> list[Transformer]:
     """[SQLTransformer(words, ngrams, bucket terms), CountVectorizerModel(features)]."""
-    ws = JAVA_WS.replace("\\", "\\\\")
-    low = f"lower(`{text_col}`)"
-    stripped = f"regexp_replace({low}, '{ws}+$', '')"
-    words = (f"CASE WHEN {low} = '' THEN array('') WHEN {stripped} = '' THEN cast(array() AS array<string>) "
-             f"ELSE split({stripped}, '{ws}') END")
+    words = tokenize_sql(f"`{text_col}`")
     # n-grams from shifted copies zipped together (no lambda reads the array)
     acc = "words"
     for k in range(2, n + 1):
@@ -91,37 +87,12 @@ class TextModel:
     num_features: int = DOMAIN_FEATURES
 
 
-def train_text_model(train: DataFrame, all_rows: DataFrame | None = None, algo: str = "lr",
-                     num_features: int = DOMAIN_FEATURES, text_col: str = "utterance",
-                     label_col: str = "strLabel", **params) -> PipelineModel:
-    """[indexer, words/ngrams/buckets, counts, classifier, IndexToString].
-
-    The training rows are featurised once and persisted (memory, spilling to
-    disk; a lost block is recomputed from the short scan -> featurise
-    lineage): iterative fits (L-BFGS, one-vs-rest, forests) then read the
-    vectors instead of re-tokenising the text on every pass.
-    """
-    idx = label_indexer(all_rows if all_rows is not None else train, label_col)
-    feat_stages = text_feature_stages(text_col, num_features)
-    feats = train
-    for st in feat_stages:
-        feats = st.transform(feats)
-    feats = idx.transform(feats).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    feats.count()  # materialise once: concurrent one-vs-rest fits then share the blocks
-    try:
-        fitted = make_classifier(algo, **params).fit(feats)
-    finally:
-        feats.unpersist()
-    conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=idx.labels)
-    return PipelineModel(stages=[idx, *feat_stages, fitted, conv])
-
-
 def train_on_features(feats: DataFrame, all_rows: DataFrame | None = None, algo: str = "lr",
                       num_features: int = DOMAIN_FEATURES, text_col: str = "utterance",
                       label_col: str = "strLabel", **params) -> PipelineModel:
-    """``train_text_model`` for rows that already carry the ``features``
-    vector (e.g. one persisted frame shared by several models).  The result
-    is the same self-contained pipeline that scores raw text."""
+    """[indexer, words/ngrams/buckets, counts, classifier, IndexToString] from
+    rows that already carry the ``features`` vector (e.g. one stored frame
+    shared by several models).  The result scores raw text by itself."""
     idx = label_indexer(all_rows if all_rows is not None else feats, label_col)
     fitted = make_classifier(algo, **params).fit(idx.transform(feats).select("label", "features"))
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=idx.labels)
@@ -143,24 +114,21 @@ def featurize_text(df: DataFrame, text_col: str = "utterance", num_features: int
     return out.drop("words", "ngrams", "_bucket_terms")
 
 
-def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_features: int = INTENT_FEATURES,
-                     key_col: str = "key", text_col: str = "utterance", label_col: str = "strLabel",
-                     split_col: str = "is_train", threads: int = 4, featurized: bool = False,
-                     **params) -> list[TextModel]:
-    """One binary LR per key on that key's rows (M2 / M3).
+def train_intent_set(feats: DataFrame, keys: Sequence[str], domain: str, num_features: int = INTENT_FEATURES,
+                     negatives: str | None = None, text_col: str = "utterance", label_col: str = "strLabel",
+                     split_col: str = "is_train", threads: int = 4, **params) -> list[TextModel]:
+    """One binary LR per key (M2 / M3), all from the same N feature rows.
 
-    ``rows`` holds every key's training set ({key, text or features, label,
-    is_train}), e.g. from ``one_vs_other`` or ``one_vs_rest``.  Best fanned
-    out after ``featurize_text`` (``featurized=True``): the text is then
-    tokenised once, not once per key.  The rows are persisted and the K fits
-    run concurrently as separate Spark jobs.
+    A key's rows are a filter and a label projection of ``feats`` {features,
+    label, is_train}: with ``negatives`` (e.g. ``Other``) the rows of the key
+    and of that label, without it all rows, those of other labels as
+    ``Other``.  Nothing is copied per key; the K fits run concurrently.
     """
-    feats = rows if featurized else featurize_text(rows, text_col, num_features)
-    feats = feats.select(key_col, label_col, split_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    feats.count()  # materialise once before the concurrent fits
-
     def fit(key: str) -> TextModel:
-        kr = feats.filter(F.col(key_col) == key)
+        label = F.col(label_col)
+        kr = feats.filter(label.isin(key, negatives)) if negatives else feats
+        kr = kr.select(F.when(label == key, label).otherwise(F.lit(negatives or OTHER)).alias(label_col),
+                       split_col, "features")
         idx = label_indexer(kr, label_col)
         lr = make_classifier("lr", **params)
         conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=idx.labels)
@@ -168,11 +136,8 @@ def train_intent_set(rows: DataFrame, keys: Sequence[str], domain: str, num_feat
         full = PipelineModel(stages=[*text_feature_stages(text_col, num_features), *fitted.stages])
         return TextModel(domain, key, "intent", full, list(idx.labels), num_features)
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-            return list(ex.map(fit, list(keys)))
-    finally:
-        feats.unpersist()
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
+        return list(ex.map(fit, list(keys)))
 
 
 def with_vector(df: DataFrame, array_col: str, out_col: str) -> DataFrame:
@@ -180,23 +145,29 @@ def with_vector(df: DataFrame, array_col: str, out_col: str) -> DataFrame:
     return df.withColumn(out_col, array_to_vector(F.col(array_col)))
 
 
-def train_task_model(features: DataFrame, num_trees: int = TASK_TREES, seed: int = 1,
+def train_task_model(features: DataFrame, all_rows: DataFrame | None = None, num_trees: int = TASK_TREES, seed: int = 1,
                      vector_col: str = "classifierFeatures") -> PipelineModel:
     """Dialogue-task model (E4/M5): indexers, one-hot(previousTask), assembler,
     OneVsRest(RandomForest), IndexToString.  Input rows carry the stacked
-    scores as an array; ``task_input`` turns it into the ``_cf`` vector."""
+    scores as an array; ``task_input`` turns it into the ``_cf`` vector.
+    The indexers see all rows, so labels and tasks that only held-out rows
+    have are known (decision Q7); the forest is fitted on the training rows."""
     df = task_input(features, vector_col)
+    every = task_input(all_rows, vector_col) if all_rows is not None else df
     # The vector width is fixed by the model set; declaring it lets the
     # assembler run on streaming frames (no peek at the first row).
     width = df.select(F.size(vector_col)).first()[0]
     hint = VectorSizeHint(inputCol="_cf", size=int(width), handleInvalid="error")
-    task_idx = StringIndexer(inputCol="previousTask", outputCol="indexedPreviousTask", handleInvalid="keep").fit(df)
-    lab_idx = StringIndexer(inputCol="strLabel", outputCol="label").fit(df)
-    enc = OneHotEncoder(inputCol="indexedPreviousTask", outputCol="taskEncoded", handleInvalid="keep")
-    asm = VectorAssembler(inputCols=["_cf", "taskEncoded"], outputCol="features")
+    task_idx = StringIndexer(inputCol="previousTask", outputCol="indexedPreviousTask", handleInvalid="keep").fit(every)
+    lab_idx = StringIndexer(inputCol="strLabel", outputCol="label").fit(every)
+    # as the one-hot operator: a slot per task but the last; that one, and a task never seen, is all zeros
+    enc = OneHotEncoder(inputCol="indexedPreviousTask", outputCol="_taskSlots", handleInvalid="error")
+    known = len(task_idx.labels)
+    cut = [VectorSlicer(inputCol="_taskSlots", outputCol="taskEncoded", indices=list(range(known - 1)))] if known > 1 else []
+    asm = VectorAssembler(inputCols=["_cf", *(["taskEncoded"] if cut else [])], outputCol="features")
     ovr = OneVsRest(classifier=RandomForestClassifier(numTrees=num_trees, seed=seed))
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=lab_idx.labels)
-    return Pipeline(stages=[hint, task_idx, lab_idx, enc, asm, ovr, conv]).fit(df)
+    return Pipeline(stages=[hint, task_idx, lab_idx, enc, *cut, asm, ovr, conv]).fit(df)
 
 
 def task_input(features: DataFrame, vector_col: str = "classifierFeatures") -> DataFrame:
@@ -204,12 +175,19 @@ def task_input(features: DataFrame, vector_col: str = "classifierFeatures") -> D
 
 
 def train_mlp(df: DataFrame, features_col: str = "embedding", label_col: str = "label",
-              hidden: Sequence[int] = (3, 2), solver: str = "gd", step_size: float = MLP_STEP,
+              hidden: Sequence[int] | None = None, solver: str = "l-bfgs", step_size: float = MLP_STEP,
               max_iter: int = 100, seed: int = MLP_SEED, n_classes: int | None = None) -> PipelineModel:
-    """Perceptron (M6) on a dense array column (``mlp_input`` makes the vector)."""
+    """Perceptron (M6) on a dense array column (``mlp_input`` makes the vector).
+
+    One hidden layer of the larger of the input's half and twice the classes,
+    unless ``hidden`` says otherwise; the reference's own (3, 2) with
+    ``solver="gd"`` stays possible, but does not fit.  Classes are counted
+    from the labels.
+    """
     first = df.select(F.size(features_col).alias("d")).first()
     d = int(first["d"]) if first else 0
     k = n_classes or int(df.agg(F.max(label_col)).first()[0]) + 1
+    hidden = hidden if hidden is not None else (max(d // 2, 2 * k, 2),)
     mlp = MultilayerPerceptronClassifier(layers=[d, *hidden, k], solver=solver, stepSize=step_size,
                                          maxIter=max_iter, seed=seed, labelCol="_label")
     return Pipeline(stages=[mlp]).fit(mlp_input(df, features_col, label_col))

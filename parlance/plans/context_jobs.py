@@ -40,12 +40,12 @@ def _prior_cols(df):
 @job("q_domain_prior", _prior_sql("ORDER BY conv_id, turn"))
 def q_domain_prior(spark, sf):
     """Running prior over the whole dialogue file (ungrouped, two-pass)."""
-    return _prior_cols(CX.domain_prior(S.turns(spark, sf), ["conv_id", "turn"]))
+    return _prior_cols(CX.domain_prior(S.turn_labels(spark, sf).drop("previousTask"), ["conv_id", "turn"]))
 
 
 @job("q_domain_prior_by_conv", _prior_sql("PARTITION BY conv_id ORDER BY turn"))
 def q_domain_prior_by_conv(spark, sf):
-    return _prior_cols(CX.domain_prior(S.turns(spark, sf), ["turn"], partition_cols=["conv_id"]))
+    return _prior_cols(CX.domain_prior(S.turn_labels(spark, sf).drop("previousTask"), ["turn"], partition_cols=["conv_id"]))
 
 
 @job("q_previous_task", """
@@ -126,7 +126,7 @@ FROM t JOIN ti ON ti.value = t.previousTask"""
 
 
 def _task_encoded(spark, sf):
-    t = S.turns(spark, sf)
+    t = S.turn_labels(spark, sf)
     idx = LB.label_index(t, "previousTask")
     # k = number of distinct previous tasks, carried on every index row (the
     # index has one row per task, so the window is small; AQE picks the join).
@@ -143,8 +143,8 @@ def q_one_hot(spark, sf):
 
 
 def _pseudo_scores_sql(id_col: str, text_col: str, table: str) -> str:
-    specs = [("nba", "comparePlayers", 13), ("nba", "playerStats", 29),
-             ("weather", "isWeatherCondition", 41), ("weather", "forecast", 53)]
+    specs = [("nba", "intentA", 13), ("nba", "intentB", 29),
+             ("weather", "intentC", 41), ("weather", "intentD", 53)]
     parts = [f"SELECT {id_col} AS doc_id, '{d}' AS domain, '{c}' AS classifier, "
              f"round(((length({text_col}) * {m} + {id_col}) % 997) / 996.0, 3) AS score FROM {table}"
              for d, c, m in specs]

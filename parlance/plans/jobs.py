@@ -133,7 +133,7 @@ def _intent_rows(spark, sf):
 _TURN_LINES = f"""
 SELECT conv_id, turn, concat_ws(chr(9), {_ONE_LINE.format(x='text')},
   coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'na'), role,
-  CASE role WHEN 'user' THEN 'nba' WHEN 'assistant' THEN 'weather' END) AS value
+  CASE conv_id % 3 WHEN 0 THEN 'nba' WHEN 1 THEN 'weather' END) AS value
 FROM conversations"""
 
 _TURNS = f"""
@@ -193,8 +193,8 @@ def q_replace_slots(spark, sf):
 
 @job("q_replace_slots_join", f"SELECT doc_id, utterance_slots, n_slots FROM ({_slots_sql()})")
 def q_replace_slots_join(spark, sf):
-    """The large-dictionary path (candidate spans joined to the aliases) on the same input."""
-    d = SL.replace_slots_join(S.documents(spark, sf, ("doc_id", "text")), "doc_id", "text", S.slot_dictionary(spark))
+    """The form for dictionary tables (tokens joined to the aliases) on the same input."""
+    d = SL.replace_slots_join(S.documents(spark, sf, ("doc_id", "text")), "text", S.slot_dictionary(spark))
     return d.select("doc_id", "utterance_slots", "n_slots")
 
 
@@ -242,7 +242,8 @@ def q_slot_entities(spark, sf):
 # ---------------------------------------------------------------- labels
 @job("q_label_keys", f"SELECT DISTINCT strLabel AS key FROM ({_INTENT_ROWS}) WHERE strLabel <> 'Other'")
 def q_label_keys(spark, sf):
-    return LB.label_keys(_intent_rows(spark, sf))
+    rows = L.parse_utterances(S.intent_label_lines(spark, sf), min_fields=2, keep=("line_id", "domain"))
+    return LB.label_keys(rows)
 
 
 _LABEL_INDEX = """

@@ -1,16 +1,19 @@
-"""Model jobs: training (M1-M7), save/load (K1, S9), registry (S10) and
-scoring (C1-C7).  Fitted floats cannot be matched by SQL, so apart from the
-registry these are rows-checked; their row counts are fixed by the data
-(one row per class, per key or per scored text).
+"""Model jobs: training (M1-M7), the model store (K1, S9, S10) and scoring
+(C1-C7).
+
+Training jobs fit anew on every call, save the models in the store and
+evaluate them; scoring and streaming jobs score with models loaded from the
+store, which are trained first only where the store has none for the tables
+as they are.  Fitted floats cannot be matched by SQL, so the registered jobs
+return what is fixed by the data -- labels, keys, row counts -- next to checks
+computed from the fitted results; the functions they call return the numbers.
 """
 
 from __future__ import annotations
 
-import threading
-
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -21,6 +24,7 @@ from parlance.operators import output as OUT
 from parlance.operators import scoring as SC
 from parlance.operators import slots as SL
 from parlance.operators import split as SP
+from parlance.operators import store as ST
 from parlance.operators import train as TR
 from parlance.operators.features import DOMAIN_FEATURES, INTENT_FEATURES
 from parlance.plans import sources as S
@@ -29,17 +33,50 @@ from parlance.session import scratch_path
 from parlance.sources import lines as L
 from parlance.sources import tables as TB
 
-_MEMO: dict = {}
-_LOCK = threading.RLock()
+# ---------------------------------------------------------------- store places
+MODEL_TABLES = ("documents", "labels", "conversations", "embeddings")
+
+
+def table_state(spark: SparkSession, sf: str) -> str:
+    """Digest of the model tables' files (path, size, time of change): a changed table is another state."""
+    total = 0
+    for name in MODEL_TABLES:
+        files = TB.read_table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size",
+                                                      "_metadata.file_modification_time").distinct()
+        total ^= files.agg(F.bit_xor(F.xxhash64(*files.columns))).first()[0] or 0
+    return f"{total & (1 << 64) - 1:016x}"
+
+
+def model_root(spark: SparkSession, sf: str, name: str) -> str:
+    return scratch_path(spark, "models", table_state(spark, sf), name, unique=False)
+
 
+def kept_table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A derived table that several fits read: written once per state of the tables, then read."""
+    path = scratch_path(spark, "frames", table_state(spark, sf), name, unique=False)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
-def _memo(spark: SparkSession, key, build):
-    """Fitted models are reused by the jobs of one application."""
-    k = (spark.sparkContext.applicationId, key)
-    with _LOCK:
-        if k not in _MEMO:
-            _MEMO[k] = build()
-        return _MEMO[k]
+
+def trained(spark: SparkSession, sf: str, name: str, train, domain: str | None = None,
+            kind: str | None = None) -> list[TR.TextModel]:
+    """The models of one set, loaded from the store; trained and saved first if it has none."""
+    root = model_root(spark, sf, name)
+    if ST.registry(spark, root) is None:
+        ST.save_models(spark, train(spark, sf), root)
+    return ST.load_models(spark, root, domain, kind)
+
+
+def train_and_save(spark: SparkSession, sf: str, name: str, train) -> list[TR.TextModel]:
+    """Fits the models anew and replaces the stored ones."""
+    models = train(spark, sf)
+    ST.save_models(spark, models, model_root(spark, sf, name))
+    return models
 
 
 # ---------------------------------------------------------------- inputs
@@ -51,7 +88,7 @@ def domain_rows(spark, sf) -> DataFrame:
 
 
 def slot_text(spark, df: DataFrame, text_col: str = "utterance", out_col: str = "utterance_slots") -> DataFrame:
-    pats = _memo(spark, ("slot_patterns",), lambda: SL.slot_patterns(S.slot_dictionary(spark)))
+    pats = SL.slot_patterns(S.slot_dictionary(spark))
     return SL.replace_slots(df, text_col, pats, out_text=out_col, out_count="_n_slots").drop("_n_slots")
 
 
@@ -61,153 +98,213 @@ def intent_rows(spark, sf) -> DataFrame:
     return slot_text(spark, rows)
 
 
-def _text_for(domain_slots: bool = True):
-    return {"nba": "utterance_slots", "weather": "utterance"} if domain_slots else "utterance"
+#: Which text a domain's models read: slot-replaced where the domain has dictionaries.
+TEXT_FOR = {"nba": "utterance_slots", "weather": "utterance"}
 
 
-# ---------------------------------------------------------------- fitted models
 def domain_frame(spark, sf) -> DataFrame:
-    """{line_id, strLabel, is_train, features}: the documents featurised once
-    (hashed bigrams, width 5000) and persisted; the domain LR, OneVsRest,
-    forest and language-vs-rest models train and evaluate from it."""
-    def build():
-        f = TR.featurize_text(domain_rows(spark, sf), "utterance", DOMAIN_FEATURES)
-        f = f.select("line_id", "strLabel", "is_train", "features").persist(StorageLevel.MEMORY_AND_DISK)
-        f.count()
-        return f
-    return _memo(spark, ("domain_frame", sf), build)
+    """{line_id, strLabel, is_train, features}: the documents featurised once (hashed bigrams, width 5000)."""
+    return kept_table(spark, sf, "domain", lambda: TR.featurize_text(
+        domain_rows(spark, sf), "utterance", DOMAIN_FEATURES).select("line_id", "strLabel", "is_train", "features"))
 
 
-def domain_model(spark, sf, algo: str = "lr", **params) -> TR.TextModel:
+def intent_frame(spark, sf) -> DataFrame:
+    """{line_id, domain, strLabel, is_train, features}: labelled texts of both domains featurised once."""
     def build():
+        rows = SP.hash_split(intent_rows(spark, sf), "line_id")
+        text = F.lit(None).cast("string")
+        for domain, col in TEXT_FOR.items():
+            text = F.when(F.col("domain") == domain, F.col(col)).otherwise(text)
+        rows = rows.select("line_id", "domain", "strLabel", "is_train", text.alias("utterance"))
+        return TR.featurize_text(rows, "utterance", INTENT_FEATURES).drop("utterance")
+    return kept_table(spark, sf, "intents", build)
+
+
+# ---------------------------------------------------------------- training
+def train_domain(algo: str = "lr", **params):
+    """M1 / M4 / M7: one language model over all documents."""
+    def train(spark, sf) -> list[TR.TextModel]:
         f = domain_frame(spark, sf)
         m = TR.train_on_features(f.filter("is_train"), f, algo=algo, num_features=DOMAIN_FEATURES, **params)
-        return TR.TextModel("lang", "langDomain", "domain", m, TR.model_labels(m), DOMAIN_FEATURES)
-    return _memo(spark, ("domain", sf, algo, tuple(sorted(params.items()))), build)
+        return [TR.TextModel("lang", "langDomain", "domain", m, TR.model_labels(m), DOMAIN_FEATURES)]
+    return train
 
 
-def intent_models(spark, sf) -> list[TR.TextModel]:
-    """M2: per domain, one binary LR per intent key vs ``Other`` (slot-replaced
-    text for the domain that has dictionaries)."""
-    def build():
-        rows = SP.hash_split(intent_rows(spark, sf), "line_id")
-        out = []
-        for domain in CX.DOMAINS:
-            d = rows.filter(F.col("domain") == domain)
-            keys = sorted(r[0] for r in LB.label_keys(d).collect())
-            tcol = _text_for()[domain]
-            feats = TR.featurize_text(d.select("line_id", F.col(tcol).alias("utterance"), "strLabel", "is_train"),
-                                      "utterance", INTENT_FEATURES).drop("utterance")
-            per_key = LB.one_vs_other(feats, LB.label_keys(d))
-            out += TR.train_intent_set(per_key, keys, domain, INTENT_FEATURES, featurized=True)
-        return out
-    return _memo(spark, ("intents", sf), build)
+def train_intents(spark, sf) -> list[TR.TextModel]:
+    """M2: per domain, one binary LR per intent key vs ``Other``."""
+    frame, out = intent_frame(spark, sf), []
+    for domain in CX.DOMAINS:
+        d = frame.filter(F.col("domain") == domain)
+        keys = sorted(r[0] for r in LB.label_keys(d).collect())  # one model each
+        out += TR.train_intent_set(d, keys, domain, INTENT_FEATURES, negatives=LB.OTHER)
+    return out
 
 
-def one_vs_rest_models(spark, sf) -> list[TR.TextModel]:
+def train_one_vs_rest(spark, sf) -> list[TR.TextModel]:
     """M3: one binary LR per language vs all the rest."""
-    def build():
-        feats = domain_frame(spark, sf)
-        keys = sorted(r[0] for r in LB.label_keys(feats).collect())
-        per_key = LB.one_vs_rest(feats, LB.label_keys(feats))
-        return TR.train_intent_set(per_key, keys, "lang", DOMAIN_FEATURES, featurized=True)
-    return _memo(spark, ("ovr_set", sf), build)
+    frame = domain_frame(spark, sf)
+    keys = sorted(r[0] for r in LB.label_keys(frame).collect())  # one model each
+    return TR.train_intent_set(frame, keys, "lang", DOMAIN_FEATURES)
+
+
+def domain_model(spark, sf) -> TR.TextModel:
+    return trained(spark, sf, "domain-lr", train_domain())[0]
+
+
+def intent_models(spark, sf, domain: str | None = None) -> list[TR.TextModel]:
+    return trained(spark, sf, "intents", train_intents, domain, "intent")
+
+
+def one_vs_rest_models(spark, sf) -> list[TR.TextModel]:
+    return trained(spark, sf, "one-vs-rest", train_one_vs_rest)
 
 
-def _eval_rows(tm: TR.TextModel, test: DataFrame, label_col: str = "strLabel") -> DataFrame:
-    """Score test rows with a model; label indexed with the model's labels."""
-    out = PipelineModel(stages=SC._classifier_stages(tm.model)).transform(test)
-    lab = F.array(*[F.lit(x) for x in tm.labels])
-    idx = F.array_position(lab, F.col(label_col)) - 1
-    return out.withColumn("label", idx.cast("double"))
+# ---------------------------------------------------------------- evaluation
+def _label_index(labels, col: str = "strLabel") -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(col)) - 1).cast("double")
 
 
-def _eval_featurized(tm: TR.TextModel, test: DataFrame, label_col: str = "strLabel") -> DataFrame:
-    """Like ``_eval_rows`` on rows that already carry the ``features`` vector."""
+def evaluate_model(tm: TR.TextModel, test: DataFrame) -> DataFrame:
+    """A4-A6 per label of a model on rows with ``features``; the label's name as ``value``."""
     _, rest = SC._split_stages(tm.model)
-    out = PipelineModel(stages=rest).transform(test)
-    lab = F.array(*[F.lit(x) for x in tm.labels])
-    return out.withColumn("label", (F.array_position(lab, F.col(label_col)) - 1).cast("double"))
+    out = PipelineModel(stages=rest).transform(test).withColumn("label", _label_index(tm.labels))
+    per = EV.metrics_by_label(out)
+    return per.withColumn("value", F.get(F.array(*[F.lit(x) for x in tm.labels]), F.col("label").cast("int")))
+
+
+def evaluate_keys(models: list[TR.TextModel], test: DataFrame, negatives: str | None) -> DataFrame:
+    """Metrics summary per (domain, classifier), all models applied to the test rows in one pass."""
+    cur, entries = SC.apply_models(test, models, features="features")
+    per_model = []
+    for tm, predicted, _ in entries:
+        label = F.col("strLabel")
+        mine = F.lit(True)
+        if negatives:
+            mine = (F.col("domain") == tm.domain) & label.isin(tm.classifier, negatives)
+        truth = F.when(label == tm.classifier, 1.0).otherwise(0.0)
+        per_model.append(F.when(mine, F.struct(
+            F.lit(tm.domain).alias("key_domain"), F.lit(tm.classifier).alias("classifier"), truth.alias("label"),
+            F.when(predicted == tm.classifier, 1.0).otherwise(0.0).alias("prediction"))))
+    rows = cur.select(F.inline_outer(F.array(*per_model))).where(F.col("classifier").isNotNull())
+    return EV.metrics_summary(rows, by=["key_domain", "classifier"]).withColumnRenamed("key_domain", "domain")
+
+
+def _metrics_ok() -> Column:
+    """Counts and rates of ``metrics_by_label`` hold together."""
+    return ((F.col("tp") >= 0) & (F.col("tp") <= F.col("n_label")) & (F.col("fp") >= 0)
+            & F.col("precision").between(0, 1) & F.col("f1").between(0, 1)
+            & (F.abs(F.col("recall") - F.col("tp") / F.col("n_label")) < 1e-9))
+
+
+def _summary_ok() -> Column:
+    return (F.col("accuracy").between(0, 1) & (F.abs(F.col("accuracy") + F.col("test_error") - 1) < 1e-9)
+            & F.col("weighted_precision").between(0, 1) & F.col("weighted_f1").between(0, 1))
+
+
+def evaluate_domain(spark, sf, name: str, train) -> DataFrame:
+    tm = train_and_save(spark, sf, name, train)[0]
+    return evaluate_model(tm, domain_frame(spark, sf).filter(~F.col("is_train")))
+
+
+_SPLIT = "((('0x' || substr(md5(CAST({k} AS VARCHAR) || ':11'), 1, 8))::BIGINT) % 100)"
+_DOMAIN_TEST = f"""
+SELECT lang AS label, count(*) AS n_label, true AS ok FROM documents
+WHERE {_SPLIT.format(k='doc_id')} >= 80 GROUP BY lang"""
 
 
-def _key_summaries(models, test_feats_by_key) -> DataFrame:
-    """One metrics row per model; test rows are featurised once per feature
-    set by the caller (not once per key)."""
-    parts = []
-    for tm in models:
-        s = EV.metrics_summary(_eval_featurized(tm, test_feats_by_key(tm)))
-        parts.append(s.select(F.lit(tm.domain).alias("domain"), F.lit(tm.classifier).alias("classifier"), "*"))
-    return SC.union_scores(*parts)
+def _domain_result(per: DataFrame) -> DataFrame:
+    return per.select(F.col("value").alias("label"), "n_label", _metrics_ok().alias("ok"))
 
 
-@job("q_train_domain")
+@job("q_train_domain", _DOMAIN_TEST)
 def q_train_domain(spark, sf):
     """M1: LR on hashed bigrams, evaluated per label on the test split."""
-    tm = domain_model(spark, sf)
-    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
+    return _domain_result(evaluate_domain(spark, sf, "domain-lr", train_domain()))
 
 
-@job("q_train_ovr_lr")
+@job("q_train_ovr_lr", _DOMAIN_TEST)
 def q_train_ovr_lr(spark, sf):
     """M4: OneVsRest(LR), evaluated per label on the test split."""
-    tm = domain_model(spark, sf, algo="ovr_lr")
-    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
+    return _domain_result(evaluate_domain(spark, sf, "domain-ovr", train_domain("ovr_lr")))
 
 
-@job("q_train_forest")
+@job("q_train_forest", _DOMAIN_TEST)
 def q_train_forest(spark, sf):
     """M7: random forest (500 trees, depth 5) on hashed bigrams."""
-    tm = domain_model(spark, sf, algo="rf", num_trees=TR.FOREST_TREES, maxDepth=TR.FOREST_DEPTH)
-    return EV.metrics_by_label(_eval_featurized(tm, domain_frame(spark, sf).filter(~F.col("is_train"))))
+    train = train_domain("rf", num_trees=TR.FOREST_TREES, maxDepth=TR.FOREST_DEPTH)
+    return _domain_result(evaluate_domain(spark, sf, "domain-forest", train))
+
+
+def evaluate_intents(spark, sf) -> DataFrame:
+    models = train_and_save(spark, sf, "intents", train_intents)
+    return evaluate_keys(models, intent_frame(spark, sf).filter(~F.col("is_train")), LB.OTHER)
 
 
-@job("q_train_intents")
+@job("q_train_intents", f"""
+WITH r AS ({_INTENT_ROWS}), k AS (SELECT DISTINCT domain, strLabel AS key FROM r WHERE strLabel <> 'Other')
+SELECT k.domain, k.key AS classifier, count(*) AS n, true AS ok
+FROM k JOIN r ON r.domain = k.domain AND r.strLabel IN (k.key, 'Other')
+WHERE {_SPLIT.format(k='line_id')} >= 80 GROUP BY k.domain, k.key""")
 def q_train_intents(spark, sf):
     """M2: one row of test metrics per (domain, intent) model."""
-    models = intent_models(spark, sf)
-    rows = SP.hash_split(intent_rows(spark, sf), "line_id").filter(~F.col("is_train"))
-    test = {d: TR.featurize_text(rows.filter(F.col("domain") == d)
-                                 .select("strLabel", F.col(_text_for()[d]).alias("utterance")),
-                                 "utterance", INTENT_FEATURES) for d in CX.DOMAINS}
+    return evaluate_intents(spark, sf).select("domain", "classifier", "n", _summary_ok().alias("ok"))
 
-    def rows_by_key(tm):
-        return test[tm.domain].filter(F.col("strLabel").isin(tm.classifier, LB.OTHER))
-    return _key_summaries(models, rows_by_key)
 
+def evaluate_one_vs_rest(spark, sf) -> DataFrame:
+    models = train_and_save(spark, sf, "one-vs-rest", train_one_vs_rest)
+    return evaluate_keys(models, domain_frame(spark, sf).filter(~F.col("is_train")), None)
 
-@job("q_train_one_vs_rest")
+
+@job("q_train_one_vs_rest", f"""
+WITH k AS (SELECT DISTINCT lang AS key FROM documents)
+SELECT 'lang' AS domain, k.key AS classifier, count(*) AS n, true AS ok FROM k, documents
+WHERE {_SPLIT.format(k='doc_id')} >= 80 GROUP BY k.key""")
 def q_train_one_vs_rest(spark, sf):
     """M3: one row of test metrics per language-vs-rest model."""
-    models = one_vs_rest_models(spark, sf)
-    test = domain_frame(spark, sf).filter(~F.col("is_train"))
+    return evaluate_one_vs_rest(spark, sf).select("domain", "classifier", "n", _summary_ok().alias("ok"))
 
-    def rows_by_key(tm):
-        return test.withColumn("strLabel", F.when(F.col("strLabel") == tm.classifier, F.col("strLabel"))
-                               .otherwise(F.lit(LB.OTHER)))
-    return _key_summaries(models, rows_by_key)
 
+def embeddings(spark, sf) -> DataFrame:
+    return SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id")
 
-def _mlp(spark, sf):
-    def build():
-        emb = SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id")
-        return TR.train_mlp(emb.filter("is_train"), n_classes=10)
-    return _memo(spark, ("mlp", sf), build)
+
+def train_perceptron(spark, sf) -> list[TR.TextModel]:
+    """M6, classes counted on all rows."""
+    emb = embeddings(spark, sf)
+    n = int(emb.agg(F.max("label")).first()[0]) + 1
+    m = TR.train_mlp(emb.filter("is_train"), n_classes=n)
+    return [TR.TextModel("embeddings", "perceptron", "vector", m, [str(i) for i in range(n)], 0)]
+
+
+def _perceptron_rows(tm: TR.TextModel, rows: DataFrame) -> DataFrame:
+    return tm.model.transform(TR.mlp_input(rows)).withColumn("label", F.col("label").cast("double"))
+
+
+def evaluate_perceptron(spark, sf) -> DataFrame:
+    tm = train_and_save(spark, sf, "perceptron", train_perceptron)[0]
+    return EV.metrics_summary(_perceptron_rows(tm, embeddings(spark, sf).filter(~F.col("is_train"))))
 
 
-@job("q_train_mlp")
+@job("q_train_mlp", f"SELECT count(*) AS n, true AS ok FROM embeddings WHERE {_SPLIT.format(k='vec_id')} >= 80")
 def q_train_mlp(spark, sf):
     """M6: perceptron on the embeddings, summary metrics on the test split."""
-    m = _mlp(spark, sf)
-    emb = SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id").filter(~F.col("is_train"))
-    return EV.metrics_summary(m.transform(TR.mlp_input(emb)).withColumn("label", F.col("label").cast("double")))
+    return evaluate_perceptron(spark, sf).select("n", _summary_ok().alias("ok"))
 
 
-@job("q_mlp_eval")
-def q_mlp_eval(spark, sf):
+def perceptron_statistics(spark, sf) -> DataFrame:
     """A10: per-label statistics of the network on its training rows (as the reference)."""
-    m = _mlp(spark, sf)
-    emb = SP.hash_split(TB.read_table(spark, sf, "embeddings"), "vec_id").filter("is_train")
-    return EV.metrics_by_label(m.transform(TR.mlp_input(emb)).withColumn("label", F.col("label").cast("double")))
+    tm = trained(spark, sf, "perceptron", train_perceptron)[0]
+    return EV.metrics_by_label(_perceptron_rows(tm, embeddings(spark, sf).filter("is_train")))
+
+
+@job("q_mlp_eval", f"""
+SELECT CAST(label AS DOUBLE) AS label, count(*) AS n_label, true AS ok, true AS above_majority
+FROM embeddings WHERE {_SPLIT.format(k='vec_id')} < 80 GROUP BY label""")
+def q_mlp_eval(spark, sf):
+    """A10; ``above_majority``: on its training rows the network beats always naming the commonest label."""
+    per = perceptron_statistics(spark, sf)
+    share = per.agg((F.sum("tp") > F.max("n_label")).alias("above_majority"))  # one row
+    return per.select("label", "n_label", _metrics_ok().alias("ok")).withColumn("above_majority", share.scalar())
 
 
 # ---------------------------------------------------------------- registry / save / load
@@ -229,182 +326,240 @@ def model_registry(rows: DataFrame, domain_col: str = "domain", label_col: str =
 
 @job("q_model_registry", _REGISTRY_SQL)
 def q_model_registry(spark, sf):
-    rows = L.parse_utterances(S.intent_lines(spark, sf), min_fields=2, keep=("line_id", "domain"))
+    rows = L.parse_utterances(S.intent_label_lines(spark, sf), min_fields=2, keep=("line_id", "domain"))
     return model_registry(rows)
 
 
-def save_model(spark, tm: TR.TextModel, root: str | None = None) -> str:
-    """K1: ``<root>/<domain>/<classifier>`` with overwrite."""
-    root = root or scratch_path(spark, "models")
-    path = f"{root}/{tm.domain}/{tm.classifier}"
-    tm.model.write().overwrite().save(path)
-    return path
+def benchmark_texts(spark, sf) -> DataFrame:
+    return S.dealt(TB.read_table(spark, sf, "benchmark")).select("item_id", F.col("text").alias("utterance"))
 
 
-def benchmark_texts(spark, sf) -> DataFrame:
-    return S.balance(TB.read_table(spark, sf, "benchmark")).select("item_id", F.col("text").alias("utterance"))
+_INTENT_KEYS = f"SELECT DISTINCT domain, strLabel AS classifier FROM ({_INTENT_ROWS}) WHERE strLabel <> 'Other'"
+_ALL_MODELS = f"SELECT 'lang' AS domain, 'langDomain' AS classifier UNION ALL {_INTENT_KEYS}"
 
 
-@job("q_model_roundtrip")
+@job("q_model_roundtrip", f"SELECT item_id, domain, classifier, true AS same FROM benchmark, ({_ALL_MODELS})")
 def q_model_roundtrip(spark, sf):
-    """Save, load, and score the benchmark texts with both copies."""
-    tm = domain_model(spark, sf)
-    path = save_model(spark, tm)
-    loaded = TR.TextModel(tm.domain, tm.classifier, tm.kind, PipelineModel.load(path), tm.labels, tm.num_features)
-    b = benchmark_texts(spark, sf)
-    a = SC.classify(b, tm).select("item_id", F.col("predictedLabel").alias("saved"), F.col("score").alias("s1"))
-    c = SC.classify(b, loaded).select("item_id", F.col("predictedLabel").alias("loaded"), F.col("score").alias("s2"))
-    return (a.join(c, "item_id")
-            .select("item_id", "saved", "loaded", ((F.col("saved") == F.col("loaded")) &
-                                                   (F.abs(F.col("s1") - F.col("s2")) < 1e-12)).alias("same")))
+    """Train, save, load, and score the benchmark texts with both copies of all models."""
+    fitted = train_domain()(spark, sf) + train_intents(spark, sf)
+    root = scratch_path(spark, "models", "roundtrip")
+    ST.save_models(spark, fitted, root)
+    loaded = ST.load_models(spark, root)
+    b = slot_text(spark, benchmark_texts(spark, sf))
+    text_for = {**TEXT_FOR, "lang": "utterance"}
+    keys = ["item_id", "domain", "classifier"]
+    both = SC.classify_all(b, fitted, "item_id", text_for).join(
+        SC.classify_all(b, loaded, "item_id", text_for).select(
+            *keys, F.col("predictedLabel").alias("again"), F.col("score").alias("score_again")), keys)
+    return both.select(*keys, ((F.col("predictedLabel") == F.col("again"))
+                               & (F.abs(F.col("score") - F.col("score_again")) < 1e-12)).alias("same"))
 
 
 # ---------------------------------------------------------------- scoring
-@job("q_classify")
+def _score_ok(labels=None) -> Column:
+    ok = F.col("score").between(0, 1)
+    return ok & F.col("predictedLabel").isin(list(labels)) if labels else ok & F.col("predictedLabel").isNotNull()
+
+
+@job("q_classify", "SELECT item_id, 'langDomain' AS classifier, true AS ok FROM benchmark")
 def q_classify(spark, sf):
-    """Benchmark texts scored by the domain model."""
+    """Benchmark texts scored by the domain model; ok: a known label and a probability."""
     tm = domain_model(spark, sf)
     out = SC.classify(benchmark_texts(spark, sf), tm)
-    return out.select("item_id", F.lit(tm.classifier).alias("classifier"), "predictedLabel", "score")
+    return out.select("item_id", F.lit(tm.classifier).alias("classifier"), _score_ok(tm.labels).alias("ok"))
 
 
-@job("q_classify_all")
+@job("q_classify_all", f"SELECT item_id, domain, classifier, true AS ok FROM benchmark, ({_INTENT_KEYS})")
 def q_classify_all(spark, sf):
     """Every intent model of both domains on the benchmark texts."""
     b = slot_text(spark, benchmark_texts(spark, sf))
-    return SC.classify_all(b, intent_models(spark, sf), "item_id", _text_for())
+    out = SC.classify_all(b, intent_models(spark, sf), "item_id", TEXT_FOR)
+    known = F.col("predictedLabel").isin(LB.OTHER) | (F.col("predictedLabel") == F.col("classifier"))
+    return out.select("item_id", "domain", "classifier", (_score_ok() & known).alias("ok"))
 
 
-@job("q_batch_predict")
+@job("q_batch_predict", """
+SELECT item_id, true AS known, CAST(1.0 AS DOUBLE) AS score FROM benchmark""")
 def q_batch_predict(spark, sf):
     """OneVsRest(LR) predictions, score 1.0."""
-    tm = domain_model(spark, sf, algo="ovr_lr")
+    tm = trained(spark, sf, "domain-ovr", train_domain("ovr_lr"))[0]
     out = PipelineModel(stages=SC._classifier_stages(tm.model)).transform(benchmark_texts(spark, sf))
-    return out.select("item_id", "predictedLabel", F.lit(1.0).alias("score"))
+    return out.select("item_id", F.col("predictedLabel").isin(tm.labels).alias("known"), F.lit(1.0).alias("score"))
 
 
-@job("q_multi_classify")
-def q_multi_classify(spark, sf):
+_LANG_KEYS = "SELECT DISTINCT lang AS classifier FROM documents"
+
+
+def multi_classify(spark, sf) -> DataFrame:
     """P(key) of every language-vs-rest model for every benchmark text."""
     return SC.classify_all(benchmark_texts(spark, sf), one_vs_rest_models(spark, sf), "item_id")
 
 
-@job("q_multi_classify_join")
-def q_multi_classify_join(spark, sf):
+def multi_classify_join(spark, sf) -> DataFrame:
     """C6 for many models: language-vs-rest LRs scored by joining hashed TF
     with the coefficient table (one shuffle for any number of models)."""
     from parlance.operators.features import hashed_tf
-    models = one_vs_rest_models(spark, sf)
     texts = benchmark_texts(spark, sf)
     tf = hashed_tf(texts, "item_id", "utterance", DOMAIN_FEATURES)
-    weights, heads = SC.lr_weight_table(spark, models)
+    weights, heads = SC.lr_weight_table(spark, one_vs_rest_models(spark, sf))
     return SC.score_lr_by_join(texts, tf, "item_id", weights, heads)
 
 
+@job("q_multi_classify", f"SELECT item_id, 'lang' AS domain, classifier, true AS ok FROM benchmark, ({_LANG_KEYS})")
+def q_multi_classify(spark, sf):
+    return multi_classify(spark, sf).select("item_id", "domain", "classifier", _score_ok().alias("ok"))
+
+
+@job("q_multi_classify_join", f"""
+SELECT item_id, 'lang' AS domain, classifier, true AS same_as_transform FROM benchmark, ({_LANG_KEYS})""")
+def q_multi_classify_join(spark, sf):
+    keys = ["item_id", "domain", "classifier"]
+    other = multi_classify(spark, sf).select(*keys, F.col("score").alias("other"))
+    both = multi_classify_join(spark, sf).join(other, keys)
+    return both.select(*keys, (F.abs(F.col("score") - F.col("other")) < 1e-9).alias("same_as_transform"))
+
+
 def task_features(spark, sf, turns: DataFrame) -> DataFrame:
     """C4 training form: intent scores ‖ running domain prior, per turn."""
     pri = CX.domain_prior(turns, ["conv_id", "turn"])
-    st = SC.stacked_scores(slot_text(spark, pri), intent_models(spark, sf), _text_for())
+    st = SC.stacked_scores(slot_text(spark, pri), intent_models(spark, sf), TEXT_FOR)
     return st.withColumn("classifierFeatures", F.concat("scores", "prior"))
 
 
 def task_frame(spark, sf) -> DataFrame:
     """Stacked features of every turn of the dialogue file (prior in file
-    order, as the reference computes it), with the conversation-level split.
-    Persisted once: the task model trains on it and is evaluated on it."""
-    def build():
-        t = SP.hash_split(S.turns(spark, sf), "conv_id")
-        f = task_features(spark, sf, t).persist(StorageLevel.MEMORY_AND_DISK)
-        f.count()
-        return f
-    return _memo(spark, ("task_frame", sf), build)
+    order, as the reference computes it), with the conversation-level split."""
+    return kept_table(spark, sf, "task", lambda: task_features(
+        spark, sf, SP.hash_split(S.turns(spark, sf), "conv_id")))
+
+
+def train_task(spark, sf) -> list[TR.TextModel]:
+    """M5/E4."""
+    f = task_frame(spark, sf)
+    m = TR.train_task_model(f.filter("is_train"), f)
+    return [TR.TextModel("dialog", "task", "task", m, TR.model_labels(m), 0)]
 
 
 def task_model(spark, sf) -> PipelineModel:
-    return _memo(spark, ("task", sf), lambda: TR.train_task_model(task_frame(spark, sf).filter("is_train")))
+    return trained(spark, sf, "task", train_task)[0].model
+
+
+def evaluate_task(spark, sf) -> DataFrame:
+    tm = train_and_save(spark, sf, "task", train_task)[0]
+    out = tm.model.transform(TR.task_input(task_frame(spark, sf).filter(~F.col("is_train"))))
+    per = EV.metrics_by_label(out)
+    return per.withColumn("value", F.get(F.array(*[F.lit(x) for x in tm.labels]), F.col("label").cast("int")))
 
 
-@job("q_train_task")
+@job("q_train_task", f"""
+SELECT role AS label, count(*) AS n_label, true AS ok FROM conversations
+WHERE {_SPLIT.format(k='conv_id')} >= 80 GROUP BY role""")
 def q_train_task(spark, sf):
     """Dialogue-task model, evaluated per label on held-out conversations."""
-    m = task_model(spark, sf)
-    out = m.transform(TR.task_input(task_frame(spark, sf).filter(~F.col("is_train"))))
-    return EV.metrics_by_label(out)
+    return _domain_result(evaluate_task(spark, sf))
 
 
 def task_requests(spark, sf) -> DataFrame:
     """Requests {conv_id, turn, text, prevTask, domainBias} from conversations."""
     from parlance.plans.context_jobs import _BIAS
     conv = TB.read_table(spark, sf, "conversations")
-    from parlance.operators.context import previous_task
-    p = previous_task(conv, ["conv_id"], ["turn"], "role", out_col="prev")
+    p = CX.previous_task(conv, ["conv_id"], ["turn"], "role", out_col="prev")
     return p.select("conv_id", "turn", "text", F.concat(F.lit("dialog."), F.col("prev")).alias("prevTask"),
                     F.expr(_BIAS.replace("VARCHAR", "STRING")).alias("domainBias"))
 
 
 def classify_task(spark, sf, requests: DataFrame) -> DataFrame:
     """Next task from (text, previous task, domain bias)."""
-    m = task_model(spark, sf)
-    r = requests.select("*", F.col("text").alias("utterance"),
-                        T.last_segment("prevTask").alias("previousTask"),
-                        T.parse_bias("domainBias").alias("prior"))
-    st = SC.stacked_scores(slot_text(spark, r), intent_models(spark, sf), _text_for())
-    feats = st.withColumn("classifierFeatures", F.concat("scores", "prior"))
-    return m.transform(TR.task_input(feats))
+    from parlance.streaming.requests import task_requests_scored
+    return task_requests_scored(requests, intent_models(spark, sf), task_model(spark, sf),
+                                lambda d: slot_text(spark, d), TEXT_FOR, ["conv_id", "turn"])
 
 
-@job("q_classify_task")
+_ROLES = "SELECT DISTINCT role FROM conversations"
+
+
+@job("q_classify_task", "SELECT conv_id, turn, true AS ok FROM conversations")
 def q_classify_task(spark, sf):
+    """C3/K4; ok: the response is the predicted label, which is a known task."""
+    labels = trained(spark, sf, "task", train_task)[0].labels
     out = classify_task(spark, sf, task_requests(spark, sf))
-    return OUT.format_task(out.select("conv_id", "turn", "predictedLabel"))
+    body = F.from_json("response", "label string, score double")
+    return out.select("conv_id", "turn", (F.col("predictedLabel").isin(labels) & (body["score"] == 1.0)
+                                          & (body["label"] == F.col("predictedLabel"))).alias("ok"))
 
 
 def train_and_check(spark, sf) -> DataFrame:
-    """C7 flagship: train the domain LR, then score the benchmark texts by it
-    and by every intent model; one row per (text, model)."""
-    tm = domain_model(spark, sf)
+    """C7 flagship: train the domain LR and the intent models, then score the
+    benchmark texts by all of them; one row per (text, model)."""
+    models = (train_and_save(spark, sf, "domain-lr", train_domain())
+              + train_and_save(spark, sf, "intents", train_intents))
     b = slot_text(spark, benchmark_texts(spark, sf))
-    return SC.classify_all(b, [tm, *intent_models(spark, sf)], "item_id",
-                           {"nba": "utterance_slots", "weather": "utterance", "lang": "utterance"})
+    return SC.classify_all(b, models, "item_id", {**TEXT_FOR, "lang": "utterance"})
 
 
-job("q_train_and_check")(train_and_check)
+@job("q_train_and_check", f"SELECT item_id, domain, classifier, true AS ok FROM benchmark, ({_ALL_MODELS})")
+def q_train_and_check(spark, sf):
+    return train_and_check(spark, sf).select("item_id", "domain", "classifier", _score_ok().alias("ok"))
 
 
 # ---------------------------------------------------------------- streaming
-def _stream_table(spark, sf, name: str) -> DataFrame:
-    path = f"{sf}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+def stream_table(spark, path: str, max_files: int | None = None) -> DataFrame:
+    """A table (a file or a folder of part files) as a stream; ``max_files`` per micro-batch, all by default."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
-@job("q_stream_classify")
-def q_stream_classify(spark, sf):
-    """/classify requests from a stream (documents as the request log)."""
+def stream_folder(spark, sf: str, name: str) -> str:
+    """Sink and checkpoint of a stream over one state of the tables: the same over restarts."""
+    return scratch_path(spark, "streams", table_state(spark, sf), name, unique=False)
+
+
+def classify_log(docs: DataFrame) -> DataFrame:
+    """/classify requests from documents: json or text, one domain or both."""
+    return docs.select(F.col("doc_id").alias("request_id"), "text",
+                       F.when(F.col("doc_id") % 2 == 0, F.lit("json")).otherwise(F.lit("text")).alias("type"),
+                       F.when(F.col("doc_id") % 3 == 0, F.lit("nba"))
+                       .when(F.col("doc_id") % 3 == 1, F.lit("weather")).alias("domain"))
+
+
+def stream_classify(spark, sf, folder: str) -> DataFrame:
+    """The answers to /classify requests from a stream (documents as the request log)."""
     from parlance.streaming.requests import classify_requests, run_to_parquet
-    docs = _stream_table(spark, sf, "documents")
-    req = docs.select(F.col("doc_id").alias("request_id"), "text",
-                      F.when(F.col("doc_id") % 2 == 0, F.lit("json")).otherwise(F.lit("text")).alias("type"),
-                      F.when(F.col("doc_id") % 3 == 0, F.lit("nba"))
-                      .when(F.col("doc_id") % 3 == 1, F.lit("weather")).alias("domain"))
-    scored = classify_requests(req, intent_models(spark, sf), lambda d: slot_text(spark, d), _text_for(),
-                               ["request_id"])
-    return spark.read.parquet(run_to_parquet(spark, scored, "classify"))
+    scored = classify_requests(classify_log(stream_table(spark, f"{sf}/documents.parquet")), intent_models(spark, sf),
+                               lambda d: slot_text(spark, d), TEXT_FOR, ["request_id"])
+    return spark.read.parquet(run_to_parquet(scored, folder))
+
+
+@job("q_stream_classify", "SELECT doc_id AS request_id, true AS same_as_batch FROM documents")
+def q_stream_classify(spark, sf):
+    """R1; every streamed answer is compared with the batch answer."""
+    from parlance.streaming.requests import classify_requests
+    streamed = stream_classify(spark, sf, stream_folder(spark, sf, "classify"))
+    batch = classify_requests(classify_log(TB.read_table(spark, sf, "documents")), intent_models(spark, sf),
+                              lambda d: slot_text(spark, d), TEXT_FOR, ["request_id"])
+    both = streamed.join(batch.withColumnRenamed("response", "batch"), "request_id", "left")
+    return both.select("request_id", F.col("response").eqNullSafe(F.col("batch")).alias("same_as_batch"))
+
+
+def stream_task(spark, sf, folder: str) -> DataFrame:
+    """R2: the answers to /taskScore requests from a stream.
 
+    The request log is a table: each turn's text with the task of the turn
+    before it, as a client would send it.
+    """
+    from parlance.streaming.requests import run_batches_to_parquet
+    log = kept_table(spark, sf, "task-requests", lambda: task_requests(spark, sf))
+    requests = stream_table(spark, log.inputFiles()[0].rsplit("/", 1)[0])
+    return spark.read.parquet(run_batches_to_parquet(requests, lambda b: classify_task(spark, sf, b), folder))
 
-@job("q_stream_task")
+
+@job("q_stream_task", "SELECT conv_id, turn, true AS same_as_batch FROM conversations")
 def q_stream_task(spark, sf):
-    """R2: /taskScore requests from a stream (conversation turns as requests)."""
-    from parlance.plans.context_jobs import _BIAS
-    from parlance.streaming.requests import run_batches_to_parquet, task_requests_scored
-    conv = _stream_table(spark, sf, "conversations")
-    req = conv.select("conv_id", "turn", "text", F.concat(F.lit("dialog."), F.col("role")).alias("prevTask"),
-                      F.expr(_BIAS.replace("VARCHAR", "STRING")).alias("domainBias"))
-    models, tmodel = intent_models(spark, sf), task_model(spark, sf)
-
-    def score(batch):
-        return task_requests_scored(batch, models, tmodel, lambda d: slot_text(spark, d), _text_for(),
-                                    ["conv_id", "turn"])
-    out = spark.read.parquet(run_batches_to_parquet(spark, req, score, "task"))
-    return out.select("conv_id", "turn", "predictedLabel", "response")
+    """R2; every streamed answer is compared with the batch answer."""
+    streamed = stream_task(spark, sf, stream_folder(spark, sf, "task")).select("conv_id", "turn", "response")
+    batch = classify_task(spark, sf, task_requests(spark, sf)).select(
+        "conv_id", "turn", F.col("response").alias("batch"))
+    both = streamed.join(batch, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", F.col("response").eqNullSafe(F.col("batch")).alias("same_as_batch"))

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-
-def _modules():
-    from parlance.plans import jobs  # noqa: F401
-    try:
-        from parlance.plans import context_jobs  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from parlance.plans import models  # noqa: F401
-    except ImportError:
-        pass
-    return jobs
+from parlance.plans import context_jobs, jobs, models  # noqa: F401  (they register their jobs)
 
 
 def all_jobs():
-    return dict(_modules().JOBS)
+    return dict(jobs.JOBS)
 
 
 def all_sql():
-    return dict(_modules().SQL)
+    return dict(jobs.SQL)

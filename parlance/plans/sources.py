@@ -24,20 +24,21 @@ SLOT_DICTIONARY_LINES = [
 LEMMA_PAIRS = [("was", "be"), ("is", "be"), ("were", "be")]
 
 
-def balance(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster's task slots when it arrives in fewer
-    splits than there are slots (a single-row-group file is one task).
+SCAN_PARTITIONS = "spark.parlance.scanPartitions"
 
-    A large input is already split by the scan; then nothing is added.
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt over the number of partitions that the session asks for.
+
+    Off unless the session sets it: the test tables are one row group each,
+    which no split size can divide; real tables have many.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, "")
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text", "lang")) -> DataFrame:
-    return balance(TB.read_table(spark, sf_dir, "documents").select(*cols))
+    return dealt(TB.read_table(spark, sf_dir, "documents").select(*cols))
 
 
 def intent_label(quality, toxic):
@@ -56,6 +57,15 @@ def intent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws("\t", TB.one_line(F.col("text")), lab).alias("value"))
 
 
+def intent_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``intent_lines`` with a constant for the text, where only labels are wanted."""
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    j = docs.join(TB.read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    lab = intent_label(F.col("quality"), F.col("toxic"))
+    return j.select(F.col("doc_id").alias("line_id"), domain_of_lang(F.col("lang")).alias("domain"),
+                    F.concat_ws("\t", F.lit("-"), lab).alias("value"))
+
+
 def domain_of_lang(lang):
     return F.when(lang == "en", F.lit("nba")).otherwise(F.lit("weather"))
 
@@ -66,6 +76,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_turns(TB.turn_lines(conv), keep=("conv_id", "turn"))
 
 
+def turn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``turns`` without the utterance: straight from the table's columns, so no text is read."""
+    from parlance.operators.context import previous_task
+
+    conv = TB.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    prev = previous_task(conv, ["conv_id"], ["turn"], "role", out_col="previousTask")
+    return prev.select("conv_id", "turn", "previousTask", F.col("role").alias("strLabel"),
+                       TB.turn_domain(F.col("conv_id")).alias("domain"))
+
+
 def slot_dictionary(spark: SparkSession) -> DataFrame:
     lines = spark.createDataFrame(SLOT_DICTIONARY_LINES, "slot string, slot_order int, value string")
     return L.parse_dictionary(lines)
@@ -96,8 +116,8 @@ def rule_language(text) -> F.Column:
 def pseudo_scores(docs: DataFrame) -> DataFrame:
     """{doc_id, domain, classifier, score}: deterministic scores in [0, 1]
     with 3 decimals, four classifiers over two domains."""
-    specs = [("nba", "comparePlayers", 13), ("nba", "playerStats", 29),
-             ("weather", "isWeatherCondition", 41), ("weather", "forecast", 53)]
+    specs = [("nba", "intentA", 13), ("nba", "intentB", 29),
+             ("weather", "intentC", 41), ("weather", "intentD", 53)]
     entries = [F.struct(F.lit(d).alias("domain"), F.lit(c).alias("classifier"),
                         F.round(F.pmod(F.length("text") * m + F.col("doc_id"), F.lit(997)) / 996.0, 3)
                         .cast("double").alias("score"))

@@ -17,13 +17,16 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "parlance", max_partition_bytes: str = "64m") -> SparkSession:
+                app_name: str = "parlance", max_partition_bytes: str = "64m",
+                scan_partitions: int | None = None) -> SparkSession:
     """Session for the jobs.
 
     ``shuffle_partitions`` is the starting point AQE coalesces from; size it
     to the cluster (e.g. 2-3x the task slots at 100 TB).  Text featurisation
     is CPU-heavy per byte, so scan splits are smaller than the 128 MB default
     (``max_partition_bytes``), spreading a large text scan over more tasks.
+    ``scan_partitions`` deals scanned rows over so many partitions: for inputs
+    of one row group, which cannot be split; leave it unset on real tables.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -41,6 +44,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
+    if scan_partitions:
+        builder = builder.config("spark.parlance.scanPartitions", str(scan_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -50,13 +55,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / written tables.
 
-    Read from the session (``spark.checkpoint.dir``); only when it is unset
-    (local runs, tests) a fresh folder is created and registered.
+    Read from the session (``spark.checkpoint.dir``); only a local master
+    (local runs, tests) may leave it unset, then a fresh folder is created and
+    registered.
     """
     d = spark.conf.get(_CKPT_KEY, None)
     if not d:
         d = spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="parlance-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, d)
     spark.sparkContext.setCheckpointDir(d)

@@ -5,7 +5,7 @@ jobs per classifier per request.  Here requests are a stream of rows: each
 micro-batch goes through the same stateless projections as batch scoring
 (defaults, slot replacement, all models applied to the same rows, JSON in
 the JVM) and is appended to a parquet sink.  Nothing is kept in state, so no
-watermark is needed; the checkpoint lives in the shared checkpoint folder,
+watermark is needed; sink and checkpoint are in a folder that the caller names,
 so a restarted query resumes where it stopped.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import requests as RQ
@@ -21,7 +21,6 @@ from parlance.functions import text as T
 from parlance.operators import output as OUT
 from parlance.operators import scoring as SC
 from parlance.operators import train as TR
-from parlance.session import scratch_path
 
 
 def classify_requests(requests: DataFrame, models: Sequence[TR.TextModel], slot_fn,
@@ -48,33 +47,33 @@ def task_requests_scored(requests: DataFrame, models: Sequence[TR.TextModel], ta
     return OUT.format_task(out.select(*id_cols, "predictedLabel"))
 
 
-def run_to_parquet(spark: SparkSession, scored: DataFrame, name: str) -> str:
-    """Run a streaming frame over everything available, append to parquet.
+def run_to_parquet(scored: DataFrame, folder: str) -> str:
+    """Run a streaming frame over everything available, append to ``folder``/out.
 
-    Sink and checkpoint are folders under the shared checkpoint directory.
+    ``folder`` is the caller's and stays the same over restarts: sink and
+    checkpoint live in it, so a second run answers only what is new.
     """
-    sink = scratch_path(spark, "streams", name, "out")
-    ckpt = scratch_path(spark, "streams", name, "checkpoint")
-    q = (scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+    sink = f"{folder}/out"
+    q = (scored.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", f"{folder}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
 
 
-def run_batches_to_parquet(spark: SparkSession, stream: DataFrame, score, name: str) -> str:
+def run_batches_to_parquet(stream: DataFrame, score, folder: str) -> str:
     """Run ``score(batch_df)`` on every micro-batch (``foreachBatch``).
 
     For scorers that need batch-only ML stages.  Each batch overwrites its own
     ``batch_id=<n>`` folder, so a batch replayed after a failure replaces its
-    output instead of duplicating it.
+    output instead of duplicating it.  ``folder`` as in ``run_to_parquet``.
     """
-    sink = scratch_path(spark, "streams", name, "out")
-    ckpt = scratch_path(spark, "streams", name, "checkpoint")
+    sink = f"{folder}/out"
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
         score(batch_df).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink

@@ -3,6 +3,7 @@
 import math
 
 from pyspark.ml.feature import NGram, Tokenizer
+from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import evaluate as EV
@@ -83,22 +84,29 @@ def test_slots_leftmost_longest_and_order(spark):
     assert out[3] == ("", 0)
 
 
+SLOT_TEXTS = ["Of the cat, OF course", "that with that", "offset", "", None, "O'Neal of the of",
+              "shaq,shaq of  the", "école of l'été", "of", "i like c++ and .net and that u.s. team",
+              "asp.net c++x c+++ c++", "of of the the of", "u.s.u.s. u.s", "that.that-that_that", "\u2028of\u0085"]
+
+
 def test_slot_join_path_equals_regex_path(spark):
+    """Symbols, overlaps, prefixes of each other, repeated ids and rows: both forms agree in full."""
     dict_lines = spark.createDataFrame(
-        [("player", 1, "shaquille,o'neal,shaq"), ("quantifier", 2, "that,that"),
-         ("preposition", 3, "of,of the,of"), ("preposition", 3, "with,with")],
+        [("player", 1, "shaquille,o'neal,shaq"), ("quantifier", 2, "that,that,that one"),
+         ("preposition", 3, "of,of the,of"), ("preposition", 3, "with,with"),
+         ("tech", 4, "lang,c++,.net,c"), ("place", 5, "usa,u.s.,u.s")],
         "slot string, slot_order int, value string")
     d = L.parse_dictionary(dict_lines)
-    df = _rows(spark, ["Of the cat, OF course", "that with that", "offset", "", None, "O'Neal of the of",
-                       "shaq,shaq of  the", "école of l'été", "of"])
-    a = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in
-         SL.replace_slots(df, "t", SL.slot_patterns(d)).collect()}
-    b = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in SL.replace_slots_join(df, "id", "t", d).collect()}
-    assert a == b
-    assert a[5] == ("player preposition preposition", 3)
-    c = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in
-         SL.replace_slots_auto(df, "id", "t", d, max_aliases=2).collect()}
-    assert c == a
+    values = [*enumerate(SLOT_TEXTS), (7, "that one"), (7, "that one"), (7, "that")]
+    df = spark.createDataFrame(values, "id int, t string")
+    pick = lambda out: sorted(map(str, out.select("id", "t", "utterance_slots", "n_slots").collect()))
+    regex = SL.replace_slots(df, "t", SL.slot_patterns(d)).withColumn(
+        "n_slots", F.when(F.col("t").isNotNull(), F.col("n_slots")))
+    joined = SL.replace_slots_join(df, "t", d)
+    assert pick(regex) == pick(joined)
+    by = {r["id"]: (r["utterance_slots"], r["n_slots"]) for r in joined.collect()}
+    assert by[5] == ("player preposition preposition", 3)
+    assert by[9] == ("i like tech and tech and quantifier place team", 4)
 
 
 def test_last_segment_and_bias(spark):
@@ -110,6 +118,35 @@ def test_last_segment_and_bias(spark):
     assert bias == {0: [0.5, 0.5], 1: [0.5, 0.5], 2: [0.8, 0.2], 3: [0.5, 0.5]}
 
 
+def test_malformed_bias_is_default_and_marked(spark):
+    df = _rows(spark, ["nba", "nba:x,weather:1", "nba:0.5", "nba:1,weather:2,x:3", ",", "nba:0.1,weather:0.9", ""])
+    out = {r["id"]: (r["w"], r["e"]) for r in
+           df.select("id", T.parse_bias("t").alias("w"), T.bias_error("t").alias("e")).collect()}
+    assert {k for k, (_, e) in out.items() if e} == {0, 1, 2, 3, 4}
+    assert all(out[k][0] == [0.5, 0.5] for k in (0, 1, 2, 3, 4, 6)) and out[5][0] == [0.1, 0.9]
+
+
+def test_line_separators_are_not_line_ends(spark):
+    """A final U+0085, U+2028 or U+2029 is an ordinary character for trim, split and tokens."""
+    for end in ("\u0085", "\u2028", "\u2029"):
+        df = spark.createDataFrame([(f"hello world {end}",), (f" a b {end}",)], "t string")
+        ml = Tokenizer(inputCol="t", outputCol="words").transform(df).collect()
+        ours = df.select("t", T.tokenize("t").alias("w")).collect()
+        assert [r["words"] for r in ml] == [r["w"] for r in ours]
+        trimmed = df.select(T.java_trim("t").alias("x")).collect()
+        assert [r["x"] for r in trimmed] == [f"hello world {end}", f"a b {end}"]
+        assert df.select(T.split_fields(F.lit(f"x\t\t{end}")).alias("p")).first()["p"] == ["x", "", end]
+
+
+def test_confusion_of_many_classes(spark):
+    """1,000 classes within seconds: the work is linear in the pairs and the grid."""
+    n = 1000
+    df = spark.range(5 * n).select((F.col("id") % n).cast("double").alias("label"),
+                                   ((F.col("id") * 7) % n).cast("double").alias("prediction"))
+    assert EV.confusion(df).agg(F.count("*"), F.sum("n")).first() == (n * n, 5 * n)
+    assert EV.metrics_by_label(df).count() == n
+
+
 def test_metrics_edge_rules(spark):
     # class 2 only predicted; class 1 never predicted
     pairs = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (1.0, 0.0), (1.0, 2.0), (0.0, 0.0)],
@@ -141,13 +178,14 @@ def test_metrics_equal_mllib(spark):
         assert abs(r["fpr"] - m.falsePositiveRate(r["label"])) < 1e-9
 
 
-def test_lemma_join_path_equals_map_path(spark):
+def test_lemmas(spark):
+    """Null texts, repeated ids and rows, and tokens listed twice."""
     from parlance.operators import nlp as NLP
-    lem = spark.createDataFrame([("was", "be"), ("is", "be"), ("were", "be"), ("cats", "cat")],
+    lem = spark.createDataFrame([("was", "be"), ("is", "be"), ("were", "be"), ("cats", "cat"), ("cats", "zebra")],
                                 "token string, lemma string")
-    df = _rows(spark, ["It was. Cats is here!", "", "WERE were?", "no match at all", "été était"])
-    a = {r["id"]: r["lemmas"] for r in NLP.lemmas(df, "id", "t", lem).collect()}
-    b = {r["id"]: r["lemmas"] for r in NLP.lemmas(df, "id", "t", lem, max_map_entries=0).collect()}
-    assert a[0] == ["it", "be", "cat", "be", "here"]
-    assert a[2] == ["be", "be"]
-    assert {k: v for k, v in a.items() if v} == {k: v for k, v in b.items() if v}
+    rows = [(0, "It was. Cats is here!"), (1, ""), (2, "WERE were?"), (2, "WERE were?"), (2, "cats"), (3, None),
+            (4, "été était")]
+    got = sorted(map(str, NLP.lemmas(spark.createDataFrame(rows, "id int, t string"), "id", "t", lem).collect()))
+    want = [(0, ["it", "be", "cat", "be", "here"]), (1, []), (2, ["be", "be"]), (2, ["be", "be"]), (2, ["cat"]),
+            (3, None), (4, ["été", "était"])]
+    assert got == sorted(f"Row(id={i}, lemmas={x})" for i, x in want)

@@ -21,7 +21,7 @@ def test_utterance_and_turn_files(spark, tmp_path):
     TB.turn_lines(conv).select("value").write.text(str(tmp_path / "turns"))
     t = FL.read_turns(spark, str(tmp_path / "turns"))
     assert t.count() == conv.count()
-    assert t.filter(F.col("domain").isNull()).count() == conv.filter(F.col("role") == "system").count()
+    assert t.filter(F.col("domain").isNull()).count() == conv.filter(F.col("conv_id") % 3 == 2).count()
 
 
 def test_dictionary_and_csv_files(spark, tmp_path):
@@ -35,3 +35,42 @@ def test_dictionary_and_csv_files(spark, tmp_path):
     r = FL.read_labelled_csv(spark, str(tmp_path / "csv"), 65, 64)
     assert r.count() == emb.count()
     assert r.first()["features"].size == 64
+
+
+def test_line_numbers_follow_files_and_offsets(spark, tmp_path):
+    """The order of files is by path, whatever their size, and of lines by offset, over several splits."""
+    (tmp_path / "a.txt").write_text("".join(f"a{i}\n" for i in range(5)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(3000)))
+    (tmp_path / "c.txt").write_text("c0\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r["line_id"]: r["value"] for r in FL.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(3000)] + ["c0"]
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+
+
+def test_prior_over_a_dialogue_folder(spark, tmp_path):
+    """The file-order prior over several files equals the one over their lines in order."""
+    from parlance.operators import context as CX
+    lines = [f"text {i}\tna\tx\t{'nba' if i * 7 % 3 else 'weather'}" for i in range(60)]
+    for k, part in enumerate((lines[:5], lines[5:50], lines[50:])):
+        (tmp_path / f"part{k}.tsv").write_text("\n".join(part) + "\n")
+    prior = CX.domain_prior(FL.read_turns(spark, str(tmp_path)), ["line_id"], num_ranges=3)
+    got = {r["line_id"]: r["prior"][0] for r in prior.collect()}
+    nba = 0
+    for i, line in enumerate(lines):
+        nba += line.endswith("nba")
+        assert abs(got[i] - nba / (i + 1)) < 1e-12
+
+
+def test_csv_rows_that_are_no_numbers(spark, tmp_path):
+    import pytest
+    (tmp_path / "x.csv").write_text("1,2,0\n3,oops,1\n4,5\n6, 7 ,1\n")
+    with pytest.raises(Exception, match="not a numeric row"):
+        FL.read_labelled_csv(spark, str(tmp_path / "x.csv"), 3, 2).collect()
+    rows = FL.read_labelled_csv(spark, str(tmp_path / "x.csv"), 3, 2, rejects_col="bad").collect()
+    assert [(r["label"], r["bad"]) for r in rows] == [(0.0, None), (None, "3,oops,1"), (None, "4,5"), (1.0, None)]
+    assert rows[3]["features"].toArray().tolist() == [6.0, 7.0] and rows[1]["features"] is None

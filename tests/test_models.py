@@ -35,12 +35,66 @@ def test_probabilities_sum_to_one_and_roundtrip(spark, tmp_path):
     assert a == c
 
 
-def test_training_beats_majority(spark):
-    rows = M.q_train_domain(spark, SF0001).collect()
+def above_majority(per):
+    rows = per.collect()
     n = sum(r["n_label"] for r in rows)
-    acc = sum(r["tp"] for r in rows) / n
-    majority = max(r["n_label"] for r in rows) / n
-    assert acc >= majority
+    return sum(r["tp"] for r in rows) > max(r["n_label"] for r in rows), n
+
+
+def test_training_beats_majority(spark):
+    for name, train in (("domain-lr", M.train_domain()), ("domain-ovr", M.train_domain("ovr_lr"))):
+        assert above_majority(M.evaluate_domain(spark, SF0001, name, train))[0], name
+
+
+def test_perceptron_fits_its_training_rows(spark):
+    per = M.perceptron_statistics(spark, SF0001)
+    assert above_majority(per)[0]
+    assert per.filter("tp + fp > 0").count() > 1  # more than one class is predicted
+
+
+def test_task_model_does_not_see_the_label(spark):
+    """The domain is not a function of the role, so held-out turns are not all right by leakage."""
+    t = S.turns(spark, SF0001)
+    assert t.groupBy("domain").agg(F.countDistinct("strLabel").alias("n")).filter("n > 1").count() >= 2
+    rows = M.evaluate_task(spark, SF0001).collect()
+    assert sum(r["tp"] for r in rows) <= sum(r["n_label"] for r in rows)
+
+
+def test_task_model_with_a_label_only_in_held_out_rows(spark):
+    from parlance.operators import train as TR
+    rows = [(i, ["a", "b"][i % 2], "na" if i % 3 else "x", [i % 2 / 1.0, 0.5], True) for i in range(20)]
+    rows += [(100, "c", "new", [0.1, 0.2], False)]
+    df = spark.createDataFrame(rows, "id int, strLabel string, previousTask string, classifierFeatures array<double>, "
+                                     "is_train boolean")
+    m = TR.train_task_model(df.filter("is_train"), df)
+    assert m.transform(TR.task_input(df)).count() == 21
+    assert set(TR.model_labels(m)) == {"a", "b", "c"}
+
+
+def test_model_one_hot_is_the_operators(spark):
+    """The encoder of the task model gives q_one_hot's vectors."""
+    from parlance.plans.context_jobs import q_one_hot
+    m = M.task_model(spark, SF0001)
+    t = S.turn_labels(spark, SF0001)
+    encode = PipelineModel(stages=[m.stages[1], m.stages[3], m.stages[4]])
+    model = {(r["conv_id"], r["turn"]): r["taskEncoded"].toArray().tolist() for r in encode.transform(t).collect()}
+    table = {(r["conv_id"], r["turn"]): [float(x) for x in r["task_encoded"].split(",")] for r in
+             q_one_hot(spark, SF0001).collect()}
+    assert model == table
+    unseen = encode.transform(spark.createDataFrame([("never",)], "previousTask string")).first()
+    assert not unseen["taskEncoded"].toArray().any()
+
+
+def test_store(spark, tmp_path):
+    from parlance.operators import store as ST
+    models = M.intent_models(spark, SF0001)
+    root = str(tmp_path / "store")
+    assert ST.registry(spark, root) is None
+    ST.save_models(spark, models, root)
+    assert [(t.domain, t.classifier) for t in ST.load_models(spark, root)] == sorted(
+        (t.domain, t.classifier) for t in models)
+    assert {t.domain for t in ST.load_models(spark, root, domain="nba")} == {"nba"}
+    assert ST.load_models(spark, root, kind="task") == []
 
 
 def test_hash_split_ignores_partitioning(spark):
@@ -89,14 +143,14 @@ def test_classify_all_respects_requested_domain(spark):
     models = M.intent_models(spark, SF0001)
     b = M.slot_text(spark, M.benchmark_texts(spark, SF0001)).withColumn(
         "domain", F.when(F.col("item_id") % 2 == 0, F.lit("nba")))
-    out = SC.classify_all(b, models, "item_id", M._text_for(), domain_col="domain")
+    out = SC.classify_all(b, models, "item_id", M.TEXT_FOR, domain_col="domain")
     for r in out.collect():
         if r["item_id"] % 2 == 0:
             assert r["domain"] == "nba"
 
 
 def test_lr_join_scoring_equals_transform(spark):
-    a = {(r["item_id"], r["classifier"]): r["score"] for r in M.q_multi_classify(spark, SF0001).collect()}
-    b = {(r["item_id"], r["classifier"]): r["score"] for r in M.q_multi_classify_join(spark, SF0001).collect()}
+    a = {(r["item_id"], r["classifier"]): r["score"] for r in M.multi_classify(spark, SF0001).collect()}
+    b = {(r["item_id"], r["classifier"]): r["score"] for r in M.multi_classify_join(spark, SF0001).collect()}
     assert a.keys() == b.keys() and len(a) > 0
     assert max(abs(a[k] - b[k]) for k in a) < 1e-9
