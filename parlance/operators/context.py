@@ -52,6 +52,20 @@ def _join_back(df: DataFrame, small: DataFrame, cols: Sequence[str]) -> DataFram
     return df.join(r, cond, "left").drop(*[f"_k_{c}" for c in cols])
 
 
+def _with_blocks(df: DataFrame, order_cols: Sequence[str], values: Mapping[str, Column], block: int) -> DataFrame:
+    b = df.withColumn("_blk", F.floor(F.col(order_cols[0]) / F.lit(block)).cast("long"))
+    for n, c in values.items():
+        b = b.withColumn(f"_v_{n}", c)
+    return b
+
+
+def block_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], values: Mapping[str, Column],
+               block: int) -> DataFrame:
+    """Sums ``_s_<name>`` per group and block of ``block`` order keys."""
+    b = _with_blocks(df, order_cols, values, block)
+    return b.groupBy(*group_cols, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+
+
 def blocked_running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                          values: Mapping[str, Column], block: int = BLOCK) -> DataFrame:
     """Adds, per name in ``values``, the running sum of that value within
@@ -59,12 +73,9 @@ def blocked_running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: S
 
     The first order column must be numeric (it defines the blocks).
     """
-    key = order_cols[0]
-    b = df.withColumn("_blk", F.floor(F.col(key) / F.lit(block)).cast("long"))
-    for n, c in values.items():
-        b = b.withColumn(f"_v_{n}", c)
+    b = _with_blocks(df, order_cols, values, block)
     unit = [*group_cols, "_blk"]
-    per = b.groupBy(*unit).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    per = block_sums(df, group_cols, order_cols, values, block)
     wb = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(*unit, *[F.coalesce(F.sum(f"_s_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values])
     j = _join_back(b, offs, unit)
@@ -156,7 +167,9 @@ def domain_prior(df: DataFrame, order_cols: Sequence[str], domain_col: str = "do
     elif len(order_cols) >= 2:
         g = order_cols[0]
         within = blocked_running_sums(df, [g], order_cols[1:], vals, block)
-        totals = df.groupBy(g).agg(*[F.sum(c).alias(f"_t{n}") for n, c in vals.items()])
+        # the same per-block sums as the running sums within groups, so their exchange is reused
+        blocks = block_sums(df, [g], order_cols[1:], vals, block)
+        totals = blocks.groupBy(g).agg(*[F.sum(f"_s_{n}").alias(f"_t{n}") for n in vals])
         offs = ranged_prefix(totals, g, {f"_g{n}": F.col(f"_t{n}") for n in vals}, inclusive=False,
                              num_ranges=num_ranges).select(g, *[f"_g{n}" for n in vals])
         out = _join_back(within, offs, [g])

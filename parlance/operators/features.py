@@ -78,3 +78,10 @@ def score_vector(scores: DataFrame, id_cols: Sequence[str], name_cols: Sequence[
     return (scores.groupBy(*id_cols)
             .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
             .select(*id_cols, F.transform("_e", lambda e: e["_s"]).alias(out_col)))
+
+
+def contains_counts(df: DataFrame, col: str, needles: Sequence[str]) -> DataFrame:
+    """{needle, n_lines}: rows whose text contains each needle, all counted in one pass."""
+    counts = [F.count_if(F.col(col).contains(n)).alias(f"_n{i}") for i, n in enumerate(needles)]
+    rows = [F.struct(F.lit(n).alias("needle"), F.col(f"_n{i}").alias("n_lines")) for i, n in enumerate(needles)]
+    return df.agg(*counts).select(F.inline(F.array(*rows)))

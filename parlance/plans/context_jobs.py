@@ -40,12 +40,12 @@ def _prior_cols(df):
 @job("q_domain_prior", _prior_sql("ORDER BY conv_id, turn"))
 def q_domain_prior(spark, sf):
     """Running prior over the whole dialogue file (ungrouped, two-pass)."""
-    return _prior_cols(CX.domain_prior(S.turn_labels(spark, sf).drop("previousTask"), ["conv_id", "turn"]))
+    return _prior_cols(CX.domain_prior(S.turn_domains(spark, sf), ["conv_id", "turn"]))
 
 
 @job("q_domain_prior_by_conv", _prior_sql("PARTITION BY conv_id ORDER BY turn"))
 def q_domain_prior_by_conv(spark, sf):
-    return _prior_cols(CX.domain_prior(S.turn_labels(spark, sf).drop("previousTask"), ["turn"], partition_cols=["conv_id"]))
+    return _prior_cols(CX.domain_prior(S.turn_domains(spark, sf), ["turn"], partition_cols=["conv_id"]))
 
 
 @job("q_previous_task", """

@@ -83,10 +83,7 @@ def q_contains_counts(spark, sf):
     docs = S.documents(spark, sf, ("doc_id", "text"))
     lines = docs.select(F.explode_outer(T.split_fields(F.col("text"), "\n")).alias("line")).filter(
         F.col("line").isNotNull())
-    agg = lines.agg(F.count_if(F.col("line").contains("a")).alias("a"),
-                    F.count_if(F.col("line").contains("b")).alias("b"))
-    return agg.select(F.inline(F.array(F.struct(F.lit("a").alias("needle"), F.col("a").alias("n_lines")),
-                                       F.struct(F.lit("b").alias("needle"), F.col("b").alias("n_lines")))))
+    return FE.contains_counts(lines, "line", ["a", "b"])
 
 
 # ---------------------------------------------------------------- sources

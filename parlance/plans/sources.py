@@ -76,6 +76,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_turns(TB.turn_lines(conv), keep=("conv_id", "turn"))
 
 
+def turn_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """{conv_id, turn, strLabel, domain}: what the running prior needs, in one scan without text."""
+    conv = TB.read_table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", F.col("role").alias("strLabel"), TB.turn_domain(F.col("conv_id")).alias("domain"))
+
+
 def turn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``turns`` without the utterance: straight from the table's columns, so no text is read."""
     from parlance.operators.context import previous_task
