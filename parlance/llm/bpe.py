@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
@@ -31,7 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ODD_BLANK = re.compile(r"[^\S \n]|\0")
+# White space other than blank and line feed, and the mark that parts are cut at.
+_ODD_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f\0"
+_WIDE_BLANKS = ("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029"
+                "\u202f\u205f\u3000")
 _PAIRED = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -110,7 +112,9 @@ def chunks(text: str, pattern: regex.Pattern) -> list[str]:
     """
     if not text:
         return []
-    if text[0].isspace() or text[-1].isspace() or any(p in text for p in _PAIRED) or _ODD_BLANK.search(text):
+    has = text.__contains__
+    if (text[0].isspace() or text[-1].isspace() or any(map(has, _PAIRED)) or any(map(has, _ODD_BLANKS))
+            or not text.isascii() and any(map(has, _WIDE_BLANKS))):
         return pattern.findall(text)
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 

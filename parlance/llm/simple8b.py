@@ -21,6 +21,7 @@ table gives no files and no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from array import array
@@ -29,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.compute
 import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame, Window
@@ -45,6 +45,7 @@ PACKS = ((0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
          (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 1024  # ids per block
 GROUP = 512  # blocks coded at once
+LINES = 500  # pre-tokens given to the library as one text
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +54,15 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     The widest pack that fits is chosen at each position for all positions at
     once; the starts are then found by stepping through all blocks together.
     """
-    ids = np.asarray(ids, "u8")
+    ids = np.asarray(ids)
+    ids = ids if ids.dtype == np.dtype("u4") else ids.astype("u8")
     n = len(ids)
     if not n:
         return np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
-    left = np.minimum(block - np.arange(n) % block, n - np.arange(n))  # ids that remain in the block
+    every = np.arange(n)
+    left = np.minimum(block - every % block, n - every)  # ids that remain in the block
     pick = np.zeros(n, "i8")
-    at, largest, seen = np.arange(n), ids, 1  # largest of the next ``seen`` ids at each place still in question
+    at, largest, seen = every, ids, 1  # largest of the next ``seen`` ids at each place still in question
     for selector in range(len(PACKS) - 1, 0, -1):  # a pack of more ids fits only where one of fewer does
         count, bits = PACKS[selector]
         on = left[at] >= count
@@ -68,7 +71,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         for k in range(seen, count):
             largest = np.maximum(largest, ids[at + k])
         seen = count
-        on = largest >> np.uint64(bits) == 0
+        on = largest <= min((1 << bits) - 1, np.iinfo(ids.dtype).max)
         if not on.all():
             at, largest = at[on], largest[on]
         if not len(at):
@@ -95,7 +98,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
             continue
         payload = np.zeros(len(mine), "u8")
         for k in range(count if bits else 0):
-            payload |= ids[at[mine] + k] << np.uint64(k * bits)
+            payload |= ids[at[mine] + k].astype("u8") << np.uint64(k * bits)
         words[place[mine]] = payload << np.uint64(4) | np.uint64(selector)
     of_block = at // block
     n_blocks = -(-n // block)
@@ -219,24 +222,51 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, int]]:
 class LibraryIds(dict):
     """Ids by chunk from the tokenizers library (little-endian unsigned 32-bit), two bounded generations."""
 
-    def __init__(self, tokenizer_json: str, pattern: str, limit: int = 350_000, longest: int = 64):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_json: str, pattern: str, limit: int = 500_000, longest: int = 64):
+        from tokenizers import Tokenizer, models, pre_tokenizers
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model = json.loads(tokenizer_json)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.pieces = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))  # nothing comes twice
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([  # its lines are pre-tokens already
+            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.pattern, self.limit, self.longest, self.old = regex.compile(pattern), limit, longest, {}
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new chunks, from those of their pre-tokens.
+
+        Pre-tokens go to the library many at a time, as lines of one text, and
+        the ids are cut at the line feeds; those with a line feed go alone.
+        """
+        cut = [self.pattern.findall(c) for c in new]
+        fresh = set().union(*cut) - self.keys() - self.old.keys()
+        lines = [p for p in fresh if "\n" not in p]
+        for at in range(0, len(lines), LINES):
+            part = lines[at:at + LINES]
+            ids = np.array(self.pieces.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            data, begun = ids.tobytes(), 0
+            for p, e in zip(part, [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], strict=True):
+                self[p] = data[4 * begun:4 * e]
+                begun = e + 1
+        for p in fresh:
+            if "\n" in p:
+                self[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+        for c, pieces in zip(new, cut, strict=True):
+            if len(pieces) != 1:
+                self[c] = b"".join([self[p] if p in self else self.old[p] for p in pieces])
+
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Ids of each whole text and the end id; chunks not yet known go to the library in one call."""
+        """Ids of each whole text and the end id."""
         cut = [chunks(t, self.pattern) for t in texts]
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         unknown = set().union(*cut) - self.keys()
         self.update((c, self.old[c]) for c in unknown & self.old.keys())
-        new = list(unknown - self.old.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = array("I", e.ids).tobytes()
+        self.learn(list(unknown - self.old.keys()))
         out = [b"".join(map(self.__getitem__, c)) + end for c in cut]
         for c in unknown:
             if len(c) > self.longest:
