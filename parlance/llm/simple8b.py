@@ -25,7 +25,7 @@ import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +61,20 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         return np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
     every = np.arange(n)
     left = np.minimum(block - every % block, n - every)  # ids that remain in the block
-    pick = np.zeros(n, "i8")
-    at, largest, seen = every, ids, 1  # largest of the next ``seen`` ids at each place still in question
-    for selector in range(len(PACKS) - 1, 0, -1):  # a pack of more ids fits only where one of fewer does
+    pick = np.full(n, len(PACKS) - 1, "i8")
+    widest = int(ids.max()).bit_length()
+    first = len(PACKS) - 1  # the packs from here on hold any of these ids, wherever enough remain
+    while first > 2 and PACKS[first - 1][1] >= widest:
+        first -= 1
+        pick[left >= PACKS[first][0]] = first
+    if widest > PACKS[-1][1]:
+        pick[ids > (1 << PACKS[-1][1]) - 1] = 0
+    seen = PACKS[first][0]
+    largest = ids[:max(n - seen + 1, 0)]  # largest of the next ``seen`` ids at each place still in question
+    for k in range(1, seen):
+        largest = np.maximum(largest, ids[k:n - seen + 1 + k])
+    at = every[:len(largest)]
+    for selector in range(first - 1, 0, -1):  # a pack of more ids fits only where one of fewer does
         count, bits = PACKS[selector]
         on = left[at] >= count
         if not on.all():
@@ -242,7 +253,8 @@ class LibraryIds(dict):
         the ids are cut at the line feeds; those with a line feed go alone.
         """
         cut = [self.pattern.findall(c) for c in new]
-        fresh = set().union(*cut) - self.keys() - self.old.keys()
+        self.recall(p for pieces in cut if len(pieces) > 1 for p in pieces)
+        fresh = {p for pieces in cut for p in pieces if p not in self}
         lines = [p for p in fresh if "\n" not in p]
         for at in range(0, len(lines), LINES):
             part = lines[at:at + LINES]
@@ -256,7 +268,14 @@ class LibraryIds(dict):
                 self[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
         for c, pieces in zip(new, cut, strict=True):
             if len(pieces) != 1:
-                self[c] = b"".join([self[p] if p in self else self.old[p] for p in pieces])
+                self[c] = b"".join([self[p] for p in pieces])
+
+    def recall(self, wanted: Iterable[str]) -> None:
+        """Moves what is wanted and known from before to the young generation."""
+        if self.old:
+            for c in wanted:
+                if c not in self and c in self.old:
+                    self[c] = self.old[c]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each whole text and the end id."""
@@ -264,9 +283,10 @@ class LibraryIds(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        unknown = set().union(*cut) - self.keys()
-        self.update((c, self.old[c]) for c in unknown & self.old.keys())
-        self.learn(list(unknown - self.old.keys()))
+        wanted = set().union(*cut)
+        self.recall(wanted)
+        unknown = [c for c in wanted if c not in self]
+        self.learn(unknown)
         out = [b"".join(map(self.__getitem__, c)) + end for c in cut]
         for c in unknown:
             if len(c) > self.longest:
@@ -316,7 +336,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
                 weights = pa.compute.binary_length(texts).to_pylist()
                 for i, w in enumerate(weights):
                     size += w
-                    if size >= 1 << 20 or i + 1 == len(ids):
+                    if size >= 1 << 22 or i + 1 == len(ids):
                         part = texts.slice(begun, i + 1 - begun).to_pylist()
                         yield from zip(ids[begun:i + 1], library.encode(part, end), strict=True)
                         begun, size = i + 1, 0
