@@ -101,15 +101,14 @@ def labelled_sample(docs: DataFrame, may_learn: Column, p: LangParams) -> list:
         for batch in batches:
             made = [features(t.as_py(), p) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a for a, _ in made], pa.list_(pa.int32())),
-                 pa.array([b for _, b in made], pa.list_(pa.float32()))], ["lang", "at", "share"])
+                [batch.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()),
+                 pa.array([b.tobytes() for _, b in made], pa.binary())], ["lang", "at", "share"])
 
-    rows = (picked.mapInArrow(run, "lang string, at array<int>, share array<float>")
-            .limit(2 * p.per_language * len(counts)).toPandas())
+    rows = (picked.mapInArrow(run, "lang string, at binary, share binary")
+            .limit(2 * p.per_language * len(counts)).collect())
     # an order of its own, so that the model does not depend on the partitioning
-    rows["key"] = [hash((tuple(a[:20].tolist()), len(a), float(s.sum()))) for a, s in zip(rows["at"], rows["share"], strict=True)]
-    rows = rows.sort_values(["lang", "key"], kind="stable")
-    return list(zip(rows["lang"], rows["at"], rows["share"], strict=True))
+    rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["share"])))
+    return [(r["lang"], np.frombuffer(r["at"], "i4"), np.frombuffer(r["share"], "f4")) for r in rows]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
