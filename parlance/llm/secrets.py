@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,7 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
 IDENTIFIER = re.compile(rf"[0-9.,:/+-]+|0[xX][0-9a-fA-F]+|v?[0-9]+(?:[.-][0-9A-Za-z]+)+"
                         rf"|{PART}(?:[_./+-]+{PART})*+|[A-Za-z]?[a-z]*+(?:[A-Z][a-z]+)*+[0-9]{{0,4}}")
-#: A run of key characters with a digit in it; the look-behind lets it start at the run's beginning only.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.*[a-z])(?=.*[A-Z])")
 
 
 @dataclass(frozen=True)
@@ -65,11 +65,17 @@ def known(run: str) -> bool:
     return bool(UUID.search(run) or IDENTIFIER.fullmatch(bare))
 
 
+@cache
+def candidates(min_length: int) -> re.Pattern:
+    """Runs of key characters, padding included; the look-behind lets one start at the run's beginning only."""
+    return re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{max(min_length - 2, 1)},}}={{0,2}}")
+
+
 def random_spans(text: str, count_tokens, rules: SecretRules) -> list[tuple[int, int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
+    for m in candidates(rules.min_length).finditer(text):
         run = m[0]
-        if len(run) >= rules.min_length and not known(run) and any(c.isalpha() for c in run) \
+        if len(run) >= rules.min_length and MIXED.match(run) and not known(run) \
                 and len(run) < rules.max_chars_per_token * count_tokens(run):
             found.append((m.start(), 3, m.end()))
     return found

@@ -165,6 +165,24 @@ def test_random_strings():
         assert found(harmless) == [], harmless
 
 
+def random_finder(**rules):
+    from parlance.llm import secrets as S
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        count = S._counter(f.read(), public_tokenizers.PATTERN)
+    return lambda t: [t[s:e] for s, _, e in S.random_spans(t, count, S.SecretRules(**rules))]
+
+
+def test_random_strings_of_both_cases():
+    found = random_finder()
+    for secret in ("qWzRtYpLkJhGfDsAzXcVbNmQ", "QWZRTYPLKJhgfdsazxcvbnmqw", "xQ/vBzKj+WqTnPfGhLdRsMyC=="):
+        assert found(f"key {secret} end") == [secret]
+    for harmless in ("AbstractSingletonProxyFactoryBean", "XMLHttpRequestFactoryBean", "Foo-Bar-Baz-Qux-Quux-Corge",
+                     "qwzrtyplkjhgfdsazxcvbnmq", "THIS_IS_A_LONG_CONSTANT_NAME", "/Users/JohnSmith/Documents/Projects"):
+        assert found(harmless) == [], harmless
+    assert found("qWzRtYpLkJhGfDsAzXQ") == []  # 19 characters
+    assert random_finder(min_length=12)("key qX7zRt9LkJh2 end") == ["qX7zRt9LkJh2"]
+
+
 def simhash_truth(texts):
     import xxhash
     fp = {}
