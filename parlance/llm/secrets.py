@@ -6,6 +6,8 @@ key-like characters that mix letters with digits or both cases; known digests
 (hexadecimal of usual digest lengths) and identifiers (UUIDs, plain numbers,
 words joined by underscores or hyphens, camel case, paths, versions) are taken
 out; the rest is flagged if it has fewer characters per token than the limit.
+A run with a UUID in it is judged by what is left without the UUID, and
+flagged as a whole.
 
 Spans are in code points, end exclusive.  Cases: a null text counts as empty;
 texts without a match have no spans; repeated rows are scanned alike.
@@ -35,7 +37,10 @@ KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
-IDENTIFIER = re.compile(rf"[0-9.,:/+-]+|0[xX][0-9a-fA-F]+|v?[0-9]+(?:[.-][0-9A-Za-z]+)+"
+# Of versions and dates: a short number (with a time, a unit), a short word with a number, a short digest.
+VERSION = (r"v?[0-9]{1,8}(?:[.-](?:[0-9]{1,8}(?:T[0-9]{2,9})?[A-Za-z]{0,2}|(?:[A-Z]?[a-z]{1,10}|[A-Z]{1,10})[0-9]{0,4}))+"
+           r"(?:[.-]g?[0-9a-f]{7,8})?")
+IDENTIFIER = re.compile(rf"[0-9.,:/+-]+|0[xX][0-9a-fA-F]+|{VERSION}"
                         rf"|{PART}(?:[_./+-]+{PART})*+|[A-Za-z]?[a-z]*+(?:[A-Z][a-z]+)*+[0-9]{{0,4}}")
 MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.*[a-z])(?=.*[A-Z])")
 
@@ -62,7 +67,7 @@ def known(run: str) -> bool:
     bare = run.strip("=+/_-")
     if len(bare) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare):
         return True
-    return bool(UUID.search(run) or IDENTIFIER.fullmatch(bare))
+    return bool(IDENTIFIER.fullmatch(bare))
 
 
 @cache
@@ -74,7 +79,7 @@ def candidates(min_length: int) -> re.Pattern:
 def random_spans(text: str, count_tokens, rules: SecretRules) -> list[tuple[int, int, int]]:
     found = []
     for m in candidates(rules.min_length).finditer(text):
-        run = m[0]
+        run = UUID.sub("-", m[0]).strip("-_") if UUID.search(m[0]) else m[0]
         if len(run) >= rules.min_length and MIXED.match(run) and not known(run) \
                 and len(run) < rules.max_chars_per_token * count_tokens(run):
             found.append((m.start(), 3, m.end()))

@@ -183,6 +183,18 @@ def test_random_strings_of_both_cases():
     assert random_finder(min_length=12)("key qX7zRt9LkJh2 end") == ["qX7zRt9LkJh2"]
 
 
+def test_random_strings_beside_numbers_and_uuids():
+    found, uuid = random_finder(), "9c3e1c9e-1111-4222-8333-123456789abc"
+    for secret in ("407408718192-a8kd93hfk20dkf93jdkslq02kfmv", "123456789012-Xk93jfKd02mfLq81PzRt",
+                   "1-Xk93jfKd02mfLq81PzRt", "v2-a8kd93hfk20dkf93jdkslq02kfmv", f"{uuid}_Xk93jfKd02mfLq81PzRtQw",
+                   f"Xk93jfKd02mfLq81PzRtQw-{uuid}", f"Xk93jfKd02mf{uuid}Lq81PzRtQw"):
+        assert found(f"key {secret} end") == [secret]
+    for harmless in (uuid, uuid.upper(), f"request-{uuid}", f"{uuid}/{uuid}", f"trace_{uuid}-retry-2",
+                     "2024-01-02T03-04-05Z", "2024-01-02T030405-backup3", "3-beta4-SNAPSHOT-20240102",
+                     "20240102-123456-g2414721", "v12-14-rc2-linux-amd64", "1-2nd-3rd-4th-5th-6th"):
+        assert found(harmless) == [], harmless
+
+
 def simhash_truth(texts):
     import xxhash
     fp = {}
