@@ -13,7 +13,8 @@ ids, words), all little-endian 64-bit.  Files are written in ascending order
 of document id, one per range partition; a manifest row per finished file
 names it, so files of failed attempts are never read.
 
-Cases: a null text counts as empty (only the end id); null document ids come
+Cases: a null text counts as empty (only the end id); the string of an added
+token in a text is that token, as the library has it; null document ids come
 first; rows with equal ids follow each other in order of their texts; an empty
 table gives no files and no rows.
 """
@@ -237,8 +238,9 @@ class LibraryIds(dict):
         from tokenizers import Tokenizer, models, pre_tokenizers
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        model = json.loads(tokenizer_json)["model"]
+        loaded = json.loads(tokenizer_json)
+        self.added = [t["content"] for t in loaded["added_tokens"]]
+        model = loaded["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.pieces = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))  # nothing comes twice
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([  # its lines are pre-tokens already
@@ -278,8 +280,13 @@ class LibraryIds(dict):
                     self[c] = self.old[c]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Ids of each whole text and the end id."""
-        cut = [chunks(t, self.pattern) for t in texts]
+        """Ids of each whole text and the end id.
+
+        A text with the string of an added token goes to the library whole,
+        which makes that token of it; all others are put together from chunks.
+        """
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [() if i in whole else chunks(t, self.pattern) for i, t in enumerate(texts)]
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -288,6 +295,9 @@ class LibraryIds(dict):
         unknown = [c for c in wanted if c not in self]
         self.learn(unknown)
         out = [b"".join(map(self.__getitem__, c)) + end for c in cut]
+        for i in whole:
+            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            out[i] = np.array(ids, "<u4").tobytes() + end
         for c in unknown:
             if len(c) > self.longest:
                 del self[c]

@@ -343,6 +343,21 @@ def test_token_files(spark, docs):
         start += len(ids)
 
 
+def test_token_files_of_texts_with_an_added_token(spark, tables):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["plain words", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext |>",
+             "<|endoftext|> plain words " * 500, "plain words <|endoftext"]
+    got = {r["doc_id"]: r for r in run(spark, "op10_simple8b_tokens", tables(
+        docs=[(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]))}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (
+            start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_simple8b_round_trip():
     from parlance.llm import simple8b
     rng = np.random.default_rng(0)
