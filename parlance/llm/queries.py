@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, graph_search, langid, mixing, oracle, quality, secrets, sharding, simhash, simple8b, toxicity
+from parlance.llm import (bitplanes, bpe, collocations, graph_search, langid, minmax_dedup, mixing, oracle, quality, secrets,
+                          sharding, simhash, simple8b, toxicity)
 from parlance.llm.common import documents, stored
 
 JOBS: dict = {}
@@ -109,3 +110,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = toxicity.ToxicityParams()
     sample = toxicity.labelled_sample(docs, labels, ~langid.held_out(F.col("doc_id"), 3, 1), params)
     return toxicity.scored(docs, toxicity.train(sample, params), keep=["doc_id", "held_out"], threshold=0.7)
+
+
+@_job
+def op11_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document (5-word shingles, similarity 0.85)."""
+    return minmax_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@_job
+def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole-number vector of 64 components, after 10 rounds from 8 centroids."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return bitplanes.clustered(vectors, k=8, rounds=10, scale=1024, seed=3)
+
+
+@_job
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 3 words of each language by the score of their weakest cut."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+SQL["op11_minmax_near_dedup"] = oracle.near_dedup_sql()
+SQL["op12_bitplane_clusters"] = oracle.clusters_sql()
+SQL["op13_phrase_collocations"] = oracle.phrases_sql()
