@@ -12,16 +12,18 @@ Equal sets are collapsed first.  Sets that agree in a band meet in a bucket.
 A bucket's pairs are never all made: in star rounds every set of a bucket is
 compared with one representative, unless both are already in one component;
 the verified links make components, which close most buckets.  In buckets that
-still hold several components, pairs of different components whose signatures
-agree in enough values are compared too, by blocks, so no group is unbounded
-and nothing is capped.  Every comparison counts the whole sets' intersection.
+still hold several components, signatures find the sets of different components
+that may be similar; these are joined to clusters, and within a cluster every
+such pair is compared, by blocks, so no group is unbounded and nothing is
+capped.  A pair is compared only if its signatures agree in enough values, and
+every comparison counts the whole sets' intersection.
 
 Whole sets are hashed again, only for texts that are compared: a bitmap of
 fixed size tells which (bitmaps.py), so sets of all documents are never stored.
 
 A pair exactly at the threshold of 0.85 is missed by all 32 bands of 5 values
 with probability (1 - 0.85 ** 5) ** 32, under 1e-8; the agreement asked of
-signatures in the last step lies six standard deviations below the threshold.
+signatures lies six standard deviations below the threshold.
 
 Cases: a text without words, empty or null has an empty set, is linked with
 nothing and is its own component; fewer words than a shingle make one shingle;
@@ -49,7 +51,8 @@ PERMUTATIONS = 80
 ROWS = 5  # values in a band
 BANDS = 2 * PERMUTATIONS // ROWS
 CHUNK = 1 << 21  # characters of text hashed at once
-BLOCK = 500  # sets of a bucket compared in one group
+BLOCK = 500  # sets of a bucket or cluster compared in one group
+BYTES = 16 << 20  # bytes of sets in a block
 PAIRS_A_ROW = 4  # star rounds end when the buckets left open hold no more pairs than this a row
 PAIRS = 200  # pairs that share one copy of a set
 
@@ -96,7 +99,7 @@ def signatures(sets: list[np.ndarray], seed: int) -> np.ndarray:
     """(sets, 2 * PERMUTATIONS) low 16 bits of minima, then of maxima; the sets are not empty."""
     draw = np.random.default_rng(seed)
     factors = draw.integers(0, 1 << 63, PERMUTATIONS, "u8") << np.uint64(1) | np.uint64(1)
-    shifts = draw.integers(0, 1 << 63, PERMUTATIONS, "u8")
+    shifts = draw.integers(0, (1 << 64) - 1, PERMUTATIONS, "u8", endpoint=True)
     every = np.concatenate(sets)
     begins = np.cumsum([0] + [len(s) for s in sets[:-1]])
     out = np.empty((len(sets), 2 * PERMUTATIONS), "<u2")
@@ -177,38 +180,61 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, params: MinMaxParams, doc_id:
     return found.join(wanted.select("id", "sid"), "sid").dropDuplicates(["id"]).select("id", "items")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole sets are as similar as asked, as edges (src, dst).
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets (sorted) are as similar as asked."""
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-    A set goes to its pairs by a shuffled join; one that many pairs need is
-    copied once for every PAIRS of them, so no key is hot.
-    """
+
+def _agreeing(pairs: DataFrame, distinct: DataFrame, params: MinMaxParams) -> DataFrame:
+    """The ``pairs`` (a, b) whose signatures agree in enough values."""
     total = pairs.count()
 
-    def with_set(left: DataFrame, side: str) -> DataFrame:
-        need = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        many = need.select(F.col(side).alias("id"), F.ceil(F.col("n") / PAIRS).cast("int").alias("m"))
-        copied = sets.join(many, "id").select(F.col("id").alias(side), F.explode(F.sequence(F.lit(1), "m")).alias("_c"),
-                                              F.col("items").alias(f"{side}_items"))
-        dealt = join_by_key(left, need, side, max(PAIRS, total // 1000), "n").withColumn(
-            "_c", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / PAIRS).cast("int")).cast("int") + 1)
-        return dealt.drop("n").join(copied, [side, "_c"]).drop("_c")
+    def with_sig(left: DataFrame, side: str) -> DataFrame:
+        need = pairs.groupBy(side).agg(F.count("*").alias("_n"))
+        right = need.join(distinct.select(F.col("id").alias(side), F.col("sig").alias(f"{side}_sig")), side)
+        return join_by_key(left, right, side, max(PAIRS, total // 1000), "_n").drop("_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
+            out = batch.filter(pa.array((x == y).sum(1) >= params.agree))
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
+
+    both = with_sig(with_sig(pairs, "a"), "b")
+    return both.select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, distinct: DataFrame, params: MinMaxParams) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole sets are as similar as asked, as edges (src, dst).
 
-    both = with_set(with_set(pairs, "a"), "b")
+    Pairs whose signatures differ too much are dropped first.  A set goes to
+    its pairs by a shuffled join; one that many pairs need is copied once for
+    every PAIRS of them, so no key is hot.
+    """
+    pairs = stored(_agreeing(pairs, distinct, params), "agreeing")
+    total = pairs.count()
+    copies = {side: pairs.groupBy(side).agg(F.count("*").alias("_n")) for side in "ab"}
+    dealt = pairs
+    for side, need in copies.items():
+        dealt = join_by_key(dealt, need, side, max(PAIRS, total // 1000), "_n").withColumn(
+            f"{side}_copy", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("_n") / PAIRS))).drop("_n")
+    dealt = stored(dealt, "dealt")
+    for side, need in copies.items():
+        many = need.select(F.col(side).alias("id"), (F.ceil(F.col("_n") / PAIRS) - 1).alias("last"))
+        copied = sets.join(many, "id").select(F.col("id").alias(side), F.col("items").alias(f"{side}_items"),
+                                              F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias(f"{side}_copy"))
+        dealt = dealt.join(copied, [side, f"{side}_copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(a) > len(b):
-                    a, b = b, a
-                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            keep = [_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), params.percent)
+                    for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["src", "dst"])
 
-    return both.select("a", "b", "a_items", "b_items").mapInArrow(run, "src long, dst long")
+    return dealt.select("a", "b", "a_items", "b_items").mapInArrow(run, "src long, dst long")
 
 
 def _fit(percent: int, n: Column, m: Column) -> Column:
@@ -216,59 +242,138 @@ def _fit(percent: int, n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def plausible_pairs(members: DataFrame, params: MinMaxParams) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, id, n, root, sig) of one key in different components that may be similar.
+def block_pairs(members: DataFrame, key: str, blocks: Column, columns: tuple[str, ...]) -> DataFrame:
+    """Groups (i, j, group) of ``members``: every pair of the blocks that a key's members are dealt to.
 
-    A key with more than BLOCK members is cut into blocks, and every pair of
-    blocks is a group of its own, dealt by (key, i, j).
+    The groups are dealt by (key, i, j): an aggregation would be content with
+    rows that a join had dealt by key, and put a key's groups into one task.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = join_by_key(members, sizes, "key", max(BLOCK, members.count() // 1000), "m")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = held.select("key", F.struct("id", "n", "root", "sig", mine.alias("b")).alias("s"), mine.alias("b"),
-                        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    dealt = (dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s")
-             .repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("s").alias("group")))
+    dealt = members.select(key, F.struct(*columns, mine.alias("b")).alias("s"), mine.alias("b"),
+                           F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("o"))
+    return (dealt.select(key, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s")
+            .repartition(key, "i", "j").groupBy(key, "i", "j").agg(F.collect_list("s").alias("group"))
+            .select("i", "j", "group"))
+
+
+def _possible(n: np.ndarray, root: np.ndarray, block: np.ndarray, sig: np.ndarray, x: int, i: int, j: int,
+              params: MinMaxParams) -> np.ndarray:
+    """Members of block j, of other components than x's, that may be as similar as asked."""
+    near = (root != root[x]) & (block == j) & (100 * np.minimum(n, n[x]) >= params.percent * np.maximum(n, n[x]))
+    if i == j:
+        near[:x + 1] = False
+    at = np.flatnonzero(near)
+    return at[(sig[at] == sig[x]).sum(1) >= params.agree]
+
+
+def _members(group: pa.Scalar, *columns: str) -> list[np.ndarray]:
+    rows = group.values
+    sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), "<u2").reshape(len(rows), -1)
+    return [*(rows.field(c).to_numpy() for c in ("id", "n", "root", "b")), sig, *(rows.field(c) for c in columns)]
+
+
+def possible_links(members: DataFrame, params: MinMaxParams) -> DataFrame:
+    """Edges (src, dst) that join all ``members`` (key, id, n, root, sig, m) of a key and of different components that may
+    be similar: a forest per group, never all pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids, n, root, block, sig = _members(group)
+                tree = np.arange(len(ids))  # trees of the forest so far
+                src, dst = [], []
+                for x in np.flatnonzero(block == i):
+                    at = _possible(n, root, block, sig, x, i, j, params)
+                    for y in at[np.unique(tree[at], return_index=True)[1]]:
+                        if tree[y] != tree[x]:
+                            src.append(int(ids[x]))
+                            dst.append(int(ids[y]))
+                            tree[tree == tree[y]] = tree[x]
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    groups = block_pairs(members, "key", F.ceil(F.col("m") / BLOCK), ("id", "n", "root", "sig"))
+    return groups.mapInArrow(run, "src long, dst long").distinct()
+
+
+def links_within(clusters: DataFrame, sets: DataFrame, params: MinMaxParams) -> DataFrame:
+    """Links (src, dst) between components among ``clusters`` (cluster, id, n, root, sig): a forest per group.
+
+    A cluster goes to one group, or by blocks of BLOCK sets or BYTES to a group per pair of blocks.
+    """
+    size = clusters.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("n")) / BYTES)).alias("blocks"), F.count("*").alias("m"))
+    held = join_by_key(clusters, size, "cluster", max(BLOCK, clusters.count() // 1000), "m").join(sets, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
-                                   strict=True):
-                rows = group.values
-                ids, n, root, block = (rows.field(f).to_numpy() for f in ("id", "n", "root", "b"))
-                sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+            for i, j, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids, n, root, block, sig, items = _members(group, "items")
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in items]
+                root = root.copy()
                 src, dst = [], []
                 for x in np.flatnonzero(block == i):
-                    near = (root != root[x]) & (block == j) & (100 * np.minimum(n, n[x])
-                                                               >= params.percent * np.maximum(n, n[x]))
-                    if i == j:
-                        near[:x + 1] = False
-                    at = np.flatnonzero(near)
-                    at = at[(sig[at] == sig[x]).sum(1) >= params.agree]
-                    src += [int(ids[x])] * len(at)
-                    dst += ids[at].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["a", "b"])
+                    for y in _possible(n, root, block, sig, x, i, j, params):
+                        if root[y] != root[x] and _similar(sets[x], sets[y], params.percent):
+                            src.append(int(ids[x]))
+                            dst.append(int(ids[y]))
+                            root[root == root[y]] = root[x]
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    pairs = dealt.select("i", "j", "group").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    groups = block_pairs(held, "cluster", F.col("blocks"), ("id", "n", "root", "sig", "items"))
+    return groups.mapInArrow(run, "src long, dst long")
+
+
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) bucket keys of (sets, values) signatures."""
+    out = np.empty((len(sig), BANDS), "u8")
+    for b in range(BANDS):
+        key = np.full(len(sig), b, "u8")
+        for value in sig[:, b * ROWS:(b + 1) * ROWS].T:
+            key = (key + value) * np.uint64(0xD6E8FEB86659FD93)
+            key ^= key >> np.uint64(32)
+        out[:, b] = key
+    return out.view("i8")
+
+
+def shared_buckets(distinct: DataFrame, params: MinMaxParams) -> DataFrame:
+    """(key, id, n) of the buckets in which several sets of ``distinct`` (id, n, sig) meet.
+
+    Keys are counted first; a bitmap of those that come twice keeps the rows of all others from the second shuffle.
+    """
+    rows = distinct.select("id", "n", "sig")
+
+    def run(marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys = _keys(np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(part.num_rows, -1))
+                if marks is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], ["key"])
+                    continue
+                row, band = np.nonzero(marked(marks.value, keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), part.column(0).take(pa.array(row)),
+                                                  part.column(1).take(pa.array(row))], ["key", "id", "n"])
+
+    counted = rows.mapInArrow(lambda b: run(None, b), "key long").groupBy("key").agg(F.count("*").alias("m"))
+    shared = stored(counted.where("m > 1"), "shared")
+    marks = distinct.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("key"), params.bits))
+    found = rows.mapInArrow(lambda b: run(marks, b), "key long, id long, n long")
+    heavy = max(1, shared.agg(F.sum("m")).first()[0] or 0) // 1000 + 1
+    return join_by_key(found, shared, "key", heavy, "m").where("m is not null").drop("m")
 
 
 def set_components(docs: DataFrame, distinct: DataFrame, params: MinMaxParams, doc_id: str, text: str) -> DataFrame:
     """(node, root) of the sets of ``distinct`` (id, sid, n, sig, place) that are linked with others."""
     spark = docs.sparkSession
-    keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS), F.lit(b)) for b in range(BANDS)]
-    bands = distinct.select("id", "n", F.explode(F.array(*keys)).alias("key"))
-    heavy = max(1, distinct.count() // 1000)
-    shared = stored(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    met = stored(join_by_key(bands, shared, "key", heavy, "m").where("m is not null").drop("m"), "met")
+    met = stored(shared_buckets(distinct, params), "met")
+    rows = met.count()
+    heavy = max(1, rows // 1000)
     members = met.select("id").distinct()
     sets = stored(whole_sets(docs, distinct.join(members, "id", "left_semi"), params, doc_id, text), "sets")
     none = spark.createDataFrame([], "src long, dst long")
     roots = none.select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
     def still_open(turn: int) -> tuple[DataFrame, int]:
-        """Rows (key, id, n, root, rep) of the keys that hold several components, and the number of pairs in these keys."""
+        """Rows (key, id, n, root, m, rep) of the keys that hold several components, and the number of pairs in these keys."""
         placed = met.join(roots, met["id"] == roots["node"], "left").select(
             "key", "id", "n", F.coalesce("root", "id").alias("root"))
         placed = stored(placed, "placed")
@@ -279,26 +384,32 @@ def set_components(docs: DataFrame, distinct: DataFrame, params: MinMaxParams, d
         pairs = per.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
         return join_by_key(placed, per, "key", heavy, "m").where("m is not null"), pairs
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        """The components with the links among these pairs."""
-        pairs = stored(pairs, "pairs")
-        found = stored(compared(pairs, sets, params.percent), "links")
+    def joined(found: DataFrame) -> DataFrame:
+        """The components with these links, too."""
         if not found.limit(1).count():
             return roots
         return components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(found))
 
-    few = PAIRS_A_ROW * met.count()
     several, pairs = still_open(0)
     turn = 0
-    while pairs and turn < params.rounds and (not turn or pairs > few):
+    while pairs and turn < params.rounds and (not turn or pairs > PAIRS_A_ROW * rows):
         star = several.where((F.col("root") != F.col("rep.root")) & _fit(params.percent, F.col("n"), F.col("rep.n")))
-        roots = joined(star.select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct())
+        star = stored(star.select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct(), "pairs")
+        roots = joined(stored(compared(star, sets, distinct, params), "links"))
         turn += 1
         several, pairs = still_open(turn)
     if not pairs:
         return roots
-    rest = stored(several.select("key", "id", "n", "root").join(distinct.select("id", "sig"), "id"), "rest")
-    return joined(plausible_pairs(rest, params))
+    rest = several.select("key", "id", "n", "root", "m").join(distinct.select("id", "sig"), "id")
+    edges = stored(possible_links(rest, params), "possible")
+    if not edges.limit(1).count():
+        return roots
+    clusters = components(edges).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    clusters = clusters.union(clusters.select("cluster", "cluster").distinct())  # the least member of each, too
+    whole = clusters.join(distinct.select("id", "n", "sig"), "id").join(
+        roots.select(F.col("node").alias("id"), F.col("root").alias("_root")), "id", "left").withColumn(
+        "root", F.coalesce("_root", "id")).drop("_root")
+    return joined(stored(links_within(stored(whole, "clusters"), sets, params), "links"))
 
 
 def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), doc_id: str = "doc_id",
