@@ -1,13 +1,12 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 A chunk of documents is one array of bytes.  Words are put next to each other
-with one blank between, and prefix polynomials modulo two primes are summed
-over the array, so the fingerprint of any n-gram is a difference of two
-prefixes, for all n-grams at once.  What is shuffled is fingerprints and
-counts, level by level: an n-gram can be frequent only if both (n-1)-grams in
-it are, so each level counts only n-grams whose parts are marked in a bitmap
-of the level before.  The bitmaps have a fixed size (bitmaps.py) and err only
-towards counting more.
+with one blank between, and prefix polynomials modulo 2 ** 64 are summed over the
+array, so the fingerprint of any n-gram is a difference of two prefixes, for all
+n-grams at once.  What is shuffled is fingerprints and counts, level by level:
+an n-gram can be frequent only if both (n-1)-grams in it are, so each level
+counts only n-grams whose parts are marked in a bitmap of the level before.
+The bitmaps have a fixed size (bitmaps.py) and err only towards counting more.
 
 The last pass finds the occurrences of marked n-grams again, and here every
 occurrence is held against the text: within a chunk the n-grams of one
@@ -49,20 +48,22 @@ _KIND[list(_BREAKS)] = 2
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
 _NO_WORD = np.uint8(32)
+_BASE = 0x5851F42D4C957F2D  # of the polynomials modulo 2 ** 64; odd, so it has an inverse
+RANGES = 8  # ranges of keys for every shuffle partition
 
 
 @dataclass(frozen=True)
 class PhraseParams:
-    """Longest phrase, least count, percent of a longer phrase that hides one, phrases a language; sizes and primes."""
+    """Longest phrase, least count, percent of a longer phrase that hides one, phrases a language; sizes."""
 
     words: int = 3
     least: int = 10
     hidden: int = 50
     top: int = 2000
     bits: int = BITS
-    chunk: int = 1 << 22  # bytes hashed at once; the prefix sums hold below 2 ** 24
-    held: int = 1 << 21  # counts that a task holds before it lets them go
-    moduli: tuple[int, int] = (2147483647, 2147483629)
+    fingerprint_bits: int = 62
+    chunk: int = 1 << 21  # bytes hashed at once
+    held: int = 1 << 20  # counts that a task holds before it lets them go
 
 
 def language(lang: Column) -> Column:
@@ -91,11 +92,32 @@ def cut(data: bytes, size: int, words: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers that spreads the low bits, of which a polynomial's are weak."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+_POWERS: dict = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of the base modulo 2 ** 64, kept per worker and made longer by doubling."""
+    power = _POWERS.get(base)
+    if power is None:
+        power = np.ones(1, "u8")
+    while len(power) < n:
+        power = np.concatenate([power, power * np.uint64(pow(base, len(power), 1 << 64))])
+    _POWERS[base] = power
+    return power[:n]
+
+
 class Chunk:
     """Words and n-gram fingerprints of some texts."""
 
-    def __init__(self, texts: list[bytes], owners: list[int], ends: list[int], params: PhraseParams):
-        """``owners``: a number per text; ``ends``: n-grams of a text begin before this offset."""
+    def __init__(self, texts: list[bytes], ends: list[int], langs: list[str], ids: list, params: PhraseParams):
+        """``ends``: n-grams of a text begin before this offset."""
+        import xxhash
         data = np.frombuffer(b"\n".join(texts) + b"\n", "u1")
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         kind = _KIND[data]
@@ -103,24 +125,24 @@ class Chunk:
         after = np.empty(len(data), bool)  # whether the byte before is of a word
         after[0], after[1:] = False, in_word[:-1]
         starts = np.flatnonzero(in_word & ~after)
-        piece = np.cumsum(kind == 2, dtype="i4")[starts]
-        text = np.searchsorted(begins, starts, "right") - 1
-        self.counted = starts < (begins + np.array(ends))[text]  # begins in its text's own part
-        self.owner = np.array(owners)[text]
+        self.piece = np.cumsum(kind == 2, dtype="i4")[starts]
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, [*begins, len(data)])))
+        self.counted = starts < (begins + np.array(ends))[self.owner]  # begins in its text's own part
         keep = in_word | after
-        self.bytes = np.where(in_word, _LOWER[data], _NO_WORD)[keep]
-        ends_at = np.flatnonzero(~in_word[keep])  # the blank after each word
-        self.begin = np.concatenate([[0], ends_at[:-1] + 1]) if len(ends_at) else ends_at
-        self.end, self.piece = ends_at, piece
-        self.sums = [self._prefix(m, b) for m, b in zip(params.moduli, (1_000_003, 998_244_353), strict=True)]
-
-    def _prefix(self, modulus: int, base: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Prefix sums, the powers that move an n-gram's sum to the array's beginning, and the modulus."""
+        lower = _LOWER[data]
+        lower[~in_word] = _NO_WORD
+        self.bytes = lower[keep]
+        self.end = np.flatnonzero(~in_word[keep])  # the blank after each word
+        self.begin = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
+        self.langs, self.ids = langs, ids
+        salts = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
+        self.salt = np.array([salts[lang] for lang in langs], "u8")[self.owner]
+        self.mask = np.uint64((1 << params.fingerprint_bits) - 1)
         n = len(self.bytes)
-        terms = (self.bytes.astype("u8") + np.uint64(1)) * _powers(modulus, base % modulus, n)
-        if n > 1 << 24:  # one very long word: keep the sums below 2 ** 64
-            terms %= np.uint64(modulus)
-        return np.concatenate([[np.uint64(0)], np.cumsum(terms)]), _powers(modulus, pow(base, -1, modulus), n), modulus
+        self.sums = np.zeros(n + 1, "u8")
+        np.cumsum(self.bytes * _powers(_BASE, n), out=self.sums[1:])
+        self.back = _powers(pow(_BASE, -1, 1 << 64), n)[self.begin]  # moves an n-gram's sum to the array's beginning
+        self._keys: dict[int, np.ndarray] = {}
 
     def spans(self, n: int) -> np.ndarray:
         """Places of the words that begin an n-gram."""
@@ -129,34 +151,30 @@ class Chunk:
             return np.empty(0, "i8")
         return np.flatnonzero(self.counted[:last] & (self.piece[:last] == self.piece[n - 1:n - 1 + last]))
 
-    def fingerprints(self, at: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
-        """62-bit fingerprints of the n-grams that begin at these words, told apart by language."""
-        begin, end = self.begin[at], self.end[at + n - 1]
-        out = np.zeros(len(at), "u8")
-        for total, back, modulus in self.sums:
-            m = np.uint64(modulus)
-            value = (total[end] - total[begin]) % m * back[begin] % m
-            out = out << np.uint64(31) | value
-        return ((out ^ salt[self.owner[at]]) & np.uint64((1 << 62) - 1)).astype("i8")
-
-
-_POWERS: dict = {}
-
-
-def _powers(modulus: int, base: int, n: int) -> np.ndarray:
-    """Powers of the base modulo the modulus, kept per worker and made longer by doubling."""
-    power = _POWERS.get((modulus, base))
-    if power is None:
-        power = np.ones(1, "u8")
-    while len(power) < n:
-        step = pow(base, len(power), modulus)
-        power = np.concatenate([power, power * np.uint64(step) % np.uint64(modulus)])
-    _POWERS[modulus, base] = power
-    return power[:n]
-
-
-def chunked(batches: Iterator[pa.RecordBatch], params: PhraseParams) -> Iterator[tuple[Chunk, list[str], list]]:
-    """Chunks of batches of (text, lang, doc_id), with each owner's language and document id."""
+    def keys(self, n: int) -> np.ndarray:
+        """Fingerprints of the n words from every place on (also across pieces), told apart by language."""
+        if n not in self._keys:
+            last = max(len(self.begin) - n + 1, 0)
+            value = (self.sums[self.end[n - 1:]] - self.sums[self.begin[:last]]) * self.back[:last]
+            self._keys[n] = (_mixed(value ^ self.salt[:last]) & self.mask).astype("i8")
+        return self._keys[n]
+
+    def frequent(self, n: int, marks: list[np.ndarray]) -> np.ndarray:
+        """Places of the n-grams of which every part, and with a bitmap for n itself they, too, are marked.
+
+        ``marks`` has bitmaps by length, from 1.
+        """
+        at = self.spans(n)
+        if n > 1 and len(marks) >= n - 1:
+            good = marked(marks[n - 2], self.keys(n - 1))
+            at = at[good[at] & good[at + 1]]
+        if len(marks) >= n:
+            at = at[marked(marks[n - 1], self.keys(n)[at])]
+        return at
+
+
+def chunked(batches: Iterator[pa.RecordBatch], params: PhraseParams) -> Iterator[Chunk]:
+    """Chunks of batches of (text, lang, doc_id)."""
     texts, ends, langs, ids, size = [], [], [], [], 0
     for batch in batches:
         for t, lang, doc_id in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
@@ -164,7 +182,7 @@ def chunked(batches: Iterator[pa.RecordBatch], params: PhraseParams) -> Iterator
             data = t.as_buffer().to_pybytes()
             for begin, end, seen in cut(data, params.chunk, params.words):
                 if size and size + seen - begin > params.chunk:
-                    yield Chunk(texts, range(len(texts)), ends, params), langs, ids
+                    yield Chunk(texts, ends, langs, ids, params)
                     texts, ends, langs, ids, size = [], [], [], [], 0
                 texts.append(data[begin:seen])
                 ends.append(end - begin)
@@ -172,72 +190,94 @@ def chunked(batches: Iterator[pa.RecordBatch], params: PhraseParams) -> Iterator
                 ids.append(doc_id)
                 size += seen - begin + 1
     if texts:
-        yield Chunk(texts, range(len(texts)), ends, params), langs, ids
+        yield Chunk(texts, ends, langs, ids, params)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, with their counts added."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    if not len(key):
+        return key, count
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(count, first)
+
 
+class Held:
+    """Keys and counts that are added up as they come."""
 
-def _salts(langs: list[str]) -> np.ndarray:
-    import xxhash
-    known = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
-    return np.array([known[lang] for lang in langs], "u8")
+    def __init__(self, limit: int):
+        self.limit, self.keys, self.counts, self.size = limit, [], [], 0
 
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > 2 * self.limit:
+            self.take(keep=True)
 
-def frequent_at(chunk: Chunk, n: int, salt: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, fingerprints) of the n-grams of which every part that ``marks`` has a bitmap for is marked.
+    def take(self, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct keys and their counts; lets them go unless ``keep``."""
+        got = summed(self.keys, self.counts) if self.keys else (np.empty(0, "i8"), np.empty(0, "i8"))
+        self.keys, self.counts = ([got[0]], [got[1]]) if keep else ([], [])
+        self.size = len(got[0]) if keep else 0
+        return got
 
-    ``marks`` has bitmaps by length, from 1; with one for n itself it is asked, too.
+
+def frequent_keys(docs: DataFrame, n: int, marks: list, params: PhraseParams) -> DataFrame:
+    """{key}: fingerprints of the n-grams, all parts of which are marked, that come at least ``least`` times.
+
+    A task adds up its counts and sends them as packed runs of keys by range
+    of keys; ranges are shuffled and added by streaming over their runs.  Keys
+    are uniform numbers and come once per task and run, so no range is hot;
+    there are RANGES of them for every shuffle partition.
     """
-    at = chunk.spans(n)
-    if n > 1 and len(marks) >= n - 1:
-        places = np.arange(len(chunk.begin) - n + 2)  # all (n-1)-grams; those across pieces are not asked for
-        good = marked(marks[n - 2], chunk.fingerprints(places, n - 1, salt))
-        at = at[good[at] & good[at + 1]]
-    keys = chunk.fingerprints(at, n, salt)
-    if len(marks) >= n:
-        good = marked(marks[n - 1], keys)
-        at, keys = at[good], keys[good]
-    return at, keys
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, "i8")
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
-
-
-def fingerprint_counts(docs: DataFrame, n: int, marks: list, params: PhraseParams) -> DataFrame:
-    """(key, count) of n-grams whose parts are marked; counts of a task are summed before the shuffle."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        edges = [(r << params.fingerprint_bits) // ranges for r in range(ranges + 1)]
+        at = np.searchsorted(keys, edges)
+        on = np.flatnonzero(np.diff(at)).tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(on, pa.int32()), pa.array([keys[at[r]:at[r + 1]].tobytes() for r in on], pa.binary()),
+             pa.array([counts[at[r]:at[r + 1]].tobytes() for r in on], pa.binary())], ["range", "keys", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = Held(params.held), [m.value for m in marks]
+        for chunk in chunked(batches, params):
+            keys, counts = np.unique(chunk.keys(n)[chunk.frequent(n, of)], return_counts=True)
+            held.add(keys, counts.astype("i8"))
+            if held.size > params.held:
+                yield packed(*held.take())
+        if held.size:
+            yield packed(*held.take())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Held(params.held), None
 
         def out() -> pa.RecordBatch:
-            k, c = _summed(np.concatenate(keys), np.concatenate(counts))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "count"])
-
-        of = [m.value for m in marks]
-        for chunk, langs, _ in chunked(batches, params):
-            _, found = frequent_at(chunk, n, _salts(langs), of)
-            k, c = np.unique(found, return_counts=True)
-            keys.append(k)
-            counts.append(c.astype("i8"))
-            held += len(k)
-            if held > params.held:
-                k, c = _summed(np.concatenate(keys), np.concatenate(counts))
-                if len(k) > params.held // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "count"])
-                    k, c = k[:0], c[:0]
-                keys, counts, held = [k], [c], len(k)
-        if held:
+            keys, counts = held.take()
+            return pa.RecordBatch.from_arrays([pa.array(keys[counts >= params.least])], ["key"])
+
+        for batch in batches:
+            for r, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if r != now and now is not None:
+                    yield out()
+                now = r
+                held.add(np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(c.as_buffer(), "<i8"))
+        if now is not None:
             yield out()
 
-    return docs.mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    runs = docs.mapInArrow(count, "range int, keys binary, counts binary")
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(add, "key long")
 
 
-def differing(chunk: Chunk, at: np.ndarray, first: np.ndarray, n: int, langs: np.ndarray) -> np.ndarray:
+def differing(chunk: Chunk, at: np.ndarray, first: np.ndarray, n: int, lang_of: np.ndarray) -> np.ndarray:
     """Whether each n-gram's bytes or language differ from those of the n-gram at ``first``."""
     begin, length = chunk.begin[at], chunk.end[at + n - 1] - chunk.begin[at]
     other = chunk.begin[first]
-    out = (length != chunk.end[first + n - 1] - other) | (langs[chunk.owner[at]] != langs[chunk.owner[first]])
+    out = (length != chunk.end[first + n - 1] - other) | (lang_of[chunk.owner[at]] != lang_of[chunk.owner[first]])
     for lo in range(0, len(at), 1 << 16):
         on = lo + np.flatnonzero(~out[lo:lo + (1 << 16)])
         if len(on):
@@ -249,59 +289,52 @@ def differing(chunk: Chunk, at: np.ndarray, first: np.ndarray, n: int, langs: np
     return out
 
 
-def phrase_counts(docs: DataFrame, marks: list, params: PhraseParams) -> DataFrame:
-    """(lang, words, phrase, count, first_doc) of all n-grams marked at every level; words 0: all words of a language."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+def _texts(chunk: Chunk, at: np.ndarray, n: int) -> pa.Array:
+    """The n-grams' texts."""
+    begin, length = chunk.begin[at], chunk.end[at + n - 1] - chunk.begin[at]
+    stops = np.cumsum(length)
+    place = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - length, length) + np.repeat(begin, length)
+    offsets = np.concatenate([[0], stops]).astype("i4")
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(chunk.bytes[place])])
 
-        def add(key: tuple, count: int, doc_id: int | None) -> None:
-            got = held.get(key)
-            if got is None:
-                held[key] = [count, doc_id]
-            else:
-                got[0] += count
-                if doc_id is not None and (got[1] is None or doc_id < got[1]):
-                    got[1] = doc_id
 
-        def out() -> pa.RecordBatch:
-            langs, words, phrases = zip(*held, strict=True)
-            counts, ids = zip(*held.values(), strict=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.int32()),
-                 pa.array(phrases, pa.binary()).cast(pa.string()),
-                 pa.array(counts, pa.int64()), pa.array(ids, pa.int64())],
-                ["lang", "words", "phrase", "count", "first_doc"])
+def phrase_counts(docs: DataFrame, marks: list, params: PhraseParams) -> DataFrame:
+    """(lang, words, phrase, count, first_doc) of all n-grams marked at every level; words 0: all words of a language."""
+    names = ["lang", "words", "phrase", "count", "first_doc"]
+    none = (1 << 63) - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = [m.value for m in marks]
-        for chunk, langs, ids in chunked(batches, params):
-            salt, data = _salts(langs), chunk.bytes.tobytes()
-            number = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-            lang_of = np.array([number[lang] for lang in langs])
-            names = list(number)
-            for i, c in enumerate(np.bincount(lang_of[chunk.owner[chunk.spans(1)]], minlength=len(names)).tolist()):
-                if c:
-                    add((names[i], 0, b""), c, None)
-            order = np.array([(1 << 63) - 1 if d is None else d for d in ids])  # of pointers, null last
+        totals: dict[str, int] = {}
+        for chunk in chunked(batches, params):
+            number = {lang: i for i, lang in enumerate(dict.fromkeys(chunk.langs))}
+            langs, lang_of = pa.array(list(number), pa.string()), np.array([number[lang] for lang in chunk.langs])
+            for lang, c in zip(number, np.bincount(lang_of[chunk.owner[chunk.spans(1)]], minlength=len(number)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + c
+            ids = np.array([none if d is None else d for d in chunk.ids])
             for n in range(1, params.words + 1):
-                at, keys = frequent_at(chunk, n, salt, of)
+                at = chunk.frequent(n, of)
                 if not len(at):
                     continue
-                _, place, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+                _, place, inverse, count = np.unique(chunk.keys(n)[at], return_index=True, return_inverse=True,
+                                                     return_counts=True)
                 bad = differing(chunk, at, at[place][inverse], n, lang_of)
                 if bad.any():  # colliding fingerprints: these count by themselves
                     count -= np.bincount(inverse[bad], minlength=len(count))
-                docs_of = order[chunk.owner[at]]
-                least = np.full(len(place), (1 << 63) - 1)
+                docs_of = ids[chunk.owner[at]]
+                least = np.full(len(place), none)
                 np.minimum.at(least, inverse[~bad], docs_of[~bad])
-                for w, c, d in zip(at[place].tolist() + at[bad].tolist(), count.tolist() + [1] * int(bad.sum()),
-                                   least.tolist() + docs_of[bad].tolist(), strict=True):
-                    add((langs[chunk.owner[w]], n, data[chunk.begin[w]:chunk.end[w + n - 1]]), c,
-                        None if d == (1 << 63) - 1 else d)
-            if len(held) > params.held // 4:
-                yield out()
-        if held:
-            yield out()
+                out = np.concatenate([at[place], at[bad]])
+                first = np.concatenate([least, docs_of[bad]])
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(lang_of[chunk.owner[out]])), pa.array(np.full(len(out), n), pa.int32()),
+                     _texts(chunk, out, n), pa.array(np.concatenate([count, np.ones(int(bad.sum()), "i8")])),
+                     pa.array(first, mask=first == none)], names)
+        totals = {lang: c for lang, c in totals.items() if c}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()),
+             pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64()),
+             pa.array([None] * len(totals), pa.int64())], names)
 
     parts = docs.mapInArrow(run, "lang string, words int, phrase string, count long, first_doc long")
     return parts.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count"), F.min("first_doc").alias("first_doc"))
@@ -317,7 +350,7 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams(), tex
                        language(F.col(f"`{lang}`")).alias("lang"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
     marks = []
     for n in range(1, params.words + 1):
-        often = fingerprint_counts(rows, n, marks, params).where(F.col("count") >= params.least)
+        often = frequent_keys(rows, n, marks, params)
         marks.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, F.col("key"), params.bits)))
     counted = phrase_counts(rows, marks, params)
     return stored(counted.where((F.col("count") >= params.least) | (F.col("words") == 0)), "phrases")
