@@ -61,7 +61,7 @@ class PhraseParams:
     hidden: int = 50
     top: int = 2000
     bits: int = BITS
-    fingerprint_bits: int = 62
+    fingerprint_bits: int = 40  # more for more n-grams: those that share one only make the marks less selective
     chunk: int = 1 << 21  # bytes hashed at once
     held: int = 1 << 20  # counts that a task holds before it lets them go
 
@@ -226,7 +226,8 @@ class Held:
 
 
 def frequent_keys(docs: DataFrame, n: int, marks: list, params: PhraseParams) -> DataFrame:
-    """{key}: fingerprints of the n-grams, all parts of which are marked, that come at least ``least`` times.
+    """{words, key}: fingerprints of the n-grams, all parts of which are marked, that come at least ``least`` times
+    (``words`` n); with n = 3 also those of the words in marked bigrams (``words`` 1).
 
     A task adds up its counts and sends them as packed runs of keys by range
     of keys; ranges are shuffled and added by streaming over their runs.  Keys
@@ -234,43 +235,57 @@ def frequent_keys(docs: DataFrame, n: int, marks: list, params: PhraseParams) ->
     there are RANGES of them for every shuffle partition.
     """
     ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = [(r << params.fingerprint_bits) // ranges for r in range(ranges + 1)]
+    small = "<u4" if max(b - a for a, b in zip(edges, edges[1:], strict=False)) <= 1 << 32 else "<u8"  # places in a range
 
-    def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        edges = [(r << params.fingerprint_bits) // ranges for r in range(ranges + 1)]
+    def packed(keys: np.ndarray, counts: np.ndarray, first: int) -> pa.RecordBatch:
         at = np.searchsorted(keys, edges)
         on = np.flatnonzero(np.diff(at)).tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array(on, pa.int32()), pa.array([keys[at[r]:at[r + 1]].tobytes() for r in on], pa.binary()),
+            [pa.array([first + r for r in on], pa.int32()),
+             pa.array([(keys[at[r]:at[r + 1]] - edges[r]).astype(small).tobytes() for r in on], pa.binary()),
              pa.array([counts[at[r]:at[r + 1]].tobytes() for r in on], pa.binary())], ["range", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = Held(params.held), [m.value for m in marks]
+        used = Held(params.held)
         for chunk in chunked(batches, params):
             keys, counts = np.unique(chunk.keys(n)[chunk.frequent(n, of)], return_counts=True)
             held.add(keys, counts.astype("i8"))
             if held.size > params.held:
-                yield packed(*held.take())
+                yield packed(*held.take(), 0)
+            if n == 3:
+                at = chunk.frequent(2, of)
+                keys = np.unique(chunk.keys(1)[np.concatenate([at, at + 1])])
+                used.add(keys, np.full(len(keys), params.least, "i8"))
+                if used.size > params.held:
+                    yield packed(*used.take(), ranges)
         if held.size:
-            yield packed(*held.take())
+            yield packed(*held.take(), 0)
+        if used.size:
+            yield packed(*used.take(), ranges)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = Held(params.held), None
 
         def out() -> pa.RecordBatch:
             keys, counts = held.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys[counts >= params.least])], ["key"])
+            keys = keys[counts >= params.least]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n if now < ranges else 1), pa.int32()),
+                                               pa.array(keys)], ["words", "key"])
 
         for batch in batches:
             for r, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if r != now and now is not None:
                     yield out()
                 now = r
-                held.add(np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(c.as_buffer(), "<i8"))
+                held.add(np.frombuffer(k.as_buffer(), small).astype("i8") + edges[r % ranges],
+                         np.frombuffer(c.as_buffer(), "<i8"))
         if now is not None:
             yield out()
 
     runs = docs.mapInArrow(count, "range int, keys binary, counts binary")
-    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(add, "key long")
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(add, "words int, key long")
 
 
 def differing(chunk: Chunk, at: np.ndarray, first: np.ndarray, n: int, lang_of: np.ndarray) -> np.ndarray:
@@ -342,7 +357,8 @@ def phrase_counts(docs: DataFrame, marks: list, params: PhraseParams) -> DataFra
 
 def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams(), text: str = "text", lang: str = "lang",
                      doc_id: str = "doc_id") -> DataFrame:
-    """(lang, words, phrase, count, first_doc) of all phrases of 1 to ``words`` words that are frequent in a language.
+    """(lang, words, phrase, count, first_doc) of all phrases of 2 to ``words`` words that are frequent in a language, and
+    of the words in them.
 
     The row with words 0 has the number of all words of its language.
     """
@@ -350,8 +366,11 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams(), tex
                        language(F.col(f"`{lang}`")).alias("lang"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
     marks = []
     for n in range(1, params.words + 1):
-        often = frequent_keys(rows, n, marks, params)
-        marks.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, F.col("key"), params.bits)))
+        often = stored(frequent_keys(rows, n, marks, params), "frequent-keys")
+        for words in (1, n) if n == 3 else (n,):  # of words, only those in a frequent bigram are asked for from here on
+            marked_now = docs.sparkSession.sparkContext.broadcast(
+                bitmap(often.where(F.col("words") == words), F.col("key"), params.bits))
+            marks[words - 1:words] = [marked_now]
     counted = phrase_counts(rows, marks, params)
     return stored(counted.where((F.col("count") >= params.least) | (F.col("words") == 0)), "phrases")
 
