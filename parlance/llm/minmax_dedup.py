@@ -53,7 +53,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 CHUNK = 1 << 21  # characters of text hashed at once
 BLOCK = 500  # sets of a bucket or cluster compared in one group
 BYTES = 16 << 20  # bytes of sets in a block
-PAIRS_A_ROW = 4  # star rounds end when the buckets left open hold no more pairs than this a row
+PAIRS_A_ROW = 1000  # star rounds go on while the buckets left open hold more pairs than this a row
 PAIRS = 200  # pairs that share one copy of a set
 
 
