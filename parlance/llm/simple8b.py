@@ -15,8 +15,9 @@ names it, so files of failed attempts are never read.
 
 Cases: a null text counts as empty (only the end id); the string of an added
 token in a text is that token, as the library has it; null document ids come
-first; rows with equal ids follow each other in order of their texts; an empty
-table gives no files and no rows.
+first; rows with equal ids follow each other in order of their texts' hashes;
+columns other than id and text are not read, whatever their names; an empty table
+gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ PACKS = ((0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
          (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 1024  # ids per block
 GROUP = 512  # blocks coded at once
-LINES = 500  # pre-tokens given to the library as one text
+LINES = 500  # chunks given to the library as one text
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,64 +241,68 @@ class LibraryIds(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         loaded = json.loads(tokenizer_json)
         self.added = [t["content"] for t in loaded["added_tokens"]]
-        model = loaded["model"]
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.pieces = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))  # nothing comes twice
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([  # its lines are pre-tokens already
-            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # the same vocabulary and pre-tokens without added tokens; what it is given does not come twice
+        self.lines = Tokenizer.from_str(json.dumps({**loaded, "added_tokens": []}))
+        (self.feed,) = self.lines.encode("\n", add_special_tokens=False).ids
         self.pattern, self.limit, self.longest, self.old = regex.compile(pattern), limit, longest, {}
 
     def learn(self, new: list[str]) -> None:
-        """Ids of new chunks, from those of their pre-tokens.
+        """Ids of new chunks.
 
-        Pre-tokens go to the library many at a time, as lines of one text, and
-        the ids are cut at the line feeds; those with a line feed go alone.
+        They go to the library many at a time, as lines of one text: a line
+        feed before another character is a pre-token of its own, so the ids are
+        cut at the line feeds.  Chunks with other white space go alone.
         """
-        cut = [self.pattern.findall(c) for c in new]
-        self.recall(p for pieces in cut if len(pieces) > 1 for p in pieces)
-        fresh = {p for pieces in cut for p in pieces if p not in self}
-        lines = [p for p in fresh if "\n" not in p]
+        lines, alone = [], []
+        for c in new:
+            (alone if "\n" in c or c[-1:].isspace() else lines).append(c)
         for at in range(0, len(lines), LINES):
             part = lines[at:at + LINES]
-            ids = np.array(self.pieces.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.lines.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
             data, begun = ids.tobytes(), 0
-            for p, e in zip(part, [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], strict=True):
-                self[p] = data[4 * begun:4 * e]
+            for c, e in zip(part, [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], strict=True):
+                self[c] = data[4 * begun:4 * e]
                 begun = e + 1
-        for p in fresh:
-            if "\n" in p:
-                self[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-        for c, pieces in zip(new, cut, strict=True):
-            if len(pieces) != 1:
-                self[c] = b"".join([self[p] for p in pieces])
-
-    def recall(self, wanted: Iterable[str]) -> None:
-        """Moves what is wanted and known from before to the young generation."""
-        if self.old:
-            for c in wanted:
-                if c not in self and c in self.old:
-                    self[c] = self.old[c]
+        for c in alone:
+            self[c] = array("I", self.lines.encode(c, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each whole text and the end id.
 
         A text with the string of an added token goes to the library whole,
         which makes that token of it; all others are put together from chunks.
+        Each chunk is looked up once; those that are missing, and only they,
+        are learned together, and their texts joined then.
         """
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [() if i in whole else chunks(t, self.pattern) for i, t in enumerate(texts)]
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        wanted = set().union(*cut)
-        self.recall(wanted)
-        unknown = [c for c in wanted if c not in self]
+        out, waiting, missing = [], [], {}
+        for i, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes() + end)
+                continue
+            cut = chunks(t, self.pattern)
+            ids = list(map(self.get, cut))
+            if None in ids:
+                lost = [(k, cut[k]) for k, x in enumerate(ids) if x is None]
+                missing.update(dict.fromkeys([c for _, c in lost]))
+                waiting.append((i, ids, lost))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids) + end)
+        unknown = list(missing)
+        if self.old:
+            for c in unknown:
+                if c in self.old:
+                    self[c] = self.old[c]
+            unknown = [c for c in unknown if c not in self]
         self.learn(unknown)
-        out = [b"".join(map(self.__getitem__, c)) + end for c in cut]
-        for i in whole:
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            out[i] = np.array(ids, "<u4").tobytes() + end
+        for i, ids, lost in waiting:
+            for k, c in lost:
+                ids[k] = self[c]
+            out[i] = b"".join(ids) + end
         for c in unknown:
             if len(c) > self.longest:
                 del self[c]
@@ -319,7 +324,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
     """Writes the token files of all documents in ascending order of ``doc_id``; returns the manifest.
 
     ``pattern`` is the tokenizer's own pre-token pattern.  One range shuffle
-    of the texts; every task writes one file, under a name of its own.
+    of the texts, by id, hash of the text and place in the input, so rows of
+    one id are cut into ranges like any others; every task writes one file,
+    under a name of its own.
     Manifest: file (in order, from 0), path, n_docs, n_ids, start (ids of all
     files before).
     """
@@ -340,7 +347,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                first.extend(ids[:1] if not first else [])
+                if not first:
+                    first.extend(c[0].as_py() for c in (batch.column(0), *batch.columns[2:]))
                 begun, size = 0, 0
                 texts = batch.column(1)
                 weights = pa.compute.binary_length(texts).to_pylist()
@@ -362,14 +370,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
             yield from documents
 
         n_docs, n_ids = write_file(path, all_rows())
-        yield pa.RecordBatch.from_pydict({"first_id": pa.array(first, pa.int64()), "path": [path],
+        yield pa.RecordBatch.from_pydict({**{f"first_{k}": pa.array([v], pa.int64()) for k, v in
+                                             zip(("id", "hash", "place"), first, strict=True)}, "path": [path],
                                           "n_docs": pa.array([n_docs], pa.int64()),
                                           "n_ids": pa.array([n_ids], pa.int64())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    files = stored(ordered.mapInArrow(run, "first_id long, path string, n_docs long, n_ids long"), "manifest")
-    by_order = Window.orderBy(F.col("first_id").asc_nulls_first())  # one row per file
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), t.alias("_text"), F.xxhash64(t).alias("_hash"),
+                       F.monotonically_increasing_id().alias("_place"))
+    ordered = rows.repartitionByRange("_id", "_hash", "_place").sortWithinPartitions("_id", "_hash", "_place")
+    files = stored(ordered.mapInArrow(
+        run, "first_id long, first_hash long, first_place long, path string, n_docs long, n_ids long"), "manifest")
+    by_order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "first_place")  # one row per file
     before = by_order.rowsBetween(Window.unboundedPreceding, -1)
     return files.select((F.row_number().over(by_order) - 1).alias("file"), "path", "n_docs", "n_ids",
                         F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
