@@ -14,16 +14,17 @@ share that does.  Rows without neighbours make room.
 
 At the end row counts are made equal exactly (law ``rows``): rows are numbered
 within their shard, linked rows first, and those beyond the quota fill the
-shards below theirs.  Numbers are found by blocks: counts per (shard, block),
-a running sum over the blocks, and a row number within a block, so no shard's
-rows meet in one task.
+shards below theirs.  Numbers are found by blocks: counts per (shard, block,
+part), a running sum over them, and a row number within one; hubs larger than
+a block are dealt over parts, so no shard's rows meet in one task.
 
 What reaches the driver is one number per pair of shards.  Hot hubs (more than a
 thousandth of all rows, so less than a thousand of them) are joined by
 broadcast, all others by shuffle.
 
-Cases: a null text counts as empty, so null and empty texts are linked; null
-ids hash like any value; repeated rows are rows of their own with a slot each;
+Cases: columns other than id and text are not read, whatever their names; a null
+text counts as empty, so null and empty texts are linked; null ids hash like
+any value; repeated rows are rows of their own with a slot each;
 an empty table gives no rows.
 """
 
@@ -77,7 +78,7 @@ def balanced_flows(asked: list[list[float]], room: list[int]) -> list[list[float
 
 
 def propagate(linked: DataFrame, sizes: DataFrame, total: int, shards: int, rounds: int, seed: int) -> DataFrame:
-    """``linked`` (doc_id, size, text_crc32, hub, shard) with shards moved towards the neighbours'.
+    """``linked`` (doc_id, size, text_crc32, hub, part, shard) with shards moved towards the neighbours'.
 
     ``sizes`` has rows per hub.  The state is written to the shared folder
     after each round; rounds end early when nobody moves.
@@ -87,10 +88,12 @@ def propagate(linked: DataFrame, sizes: DataFrame, total: int, shards: int, roun
     for turn in range(rounds):
         loads = _counts(linked, shards)
         room = [max(q - n, 0) for q, n in zip(quotas, loads, strict=True)]
-        # homes of a hub: its shards by falling count (ties by a hash of hub and shard, the same for all its rows),
+        # homes of a hub: its shards by falling count (ties: those with room first, then by a hash of hub, shard and
+        # round, the same for all its rows, so that a hub whose home stays full asks for another one next time),
         # one if the hub can move as a whole, else as many as have room for it
         per = linked.groupBy("hub", "shard").agg(F.count("*").alias("n")).join(sizes, "hub")
-        falling = Window.partitionBy("hub").orderBy(F.desc("n"), F.xxhash64("hub", "shard", F.lit(seed)))
+        falling = Window.partitionBy("hub").orderBy(
+            F.desc("n"), (_at(room, F.col("shard")) == 0), F.xxhash64("hub", "shard", F.lit(seed + turn)))
         before = F.sum(F.col("n") + _at(room, F.col("shard"))).over(falling.rowsBetween(Window.unboundedPreceding, -1))
         per = per.withColumn("place", F.row_number().over(falling)).withColumn("before", F.coalesce(before, F.lit(0)))
         splits = F.col("rows") > max(quotas[0] // 4, 1)
@@ -119,7 +122,7 @@ def propagate(linked: DataFrame, sizes: DataFrame, total: int, shards: int, roun
         granted = asked.join(F.broadcast(grant), ["shard", "to", "class"], "left")  # pairs of shards x classes
         draw = hash_unit(F.col("doc_id"), F.col("text_crc32"), F.lit(seed + turn), F.lit("draw"))
         moves = F.coalesce(draw < F.col("share"), F.lit(False))
-        linked = stored(granted.select("doc_id", "size", "text_crc32", "hub",
+        linked = stored(granted.select("doc_id", "size", "text_crc32", "hub", "part",
                                        F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"),
                                        moves.alias("moved")), "labels")
         moved = linked.where("moved").limit(1).count()
@@ -136,7 +139,7 @@ def equalise(labelled: DataFrame, total: int, shards: int, block_rows: int) -> D
     surplus = [max(n - q, 0) for n, q in zip(counts, quotas, strict=True)]
     surplus_before = [sum(surplus[:s]) for s in range(shards)]
     blocks = max(1, total // shards // block_rows)
-    order = ["alone", "block"]
+    order = ["alone", "block", "part"]
     df = labelled.withColumn("block", F.when(F.col("alone"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)))
                              .otherwise(F.pmod(F.xxhash64("hub"), F.lit(blocks))).cast("int"))
     per = df.groupBy("shard", *order).agg(F.count("*").alias("n"))
@@ -166,7 +169,12 @@ def balanced_shards(nodes: DataFrame, shards: int = 16, rounds: int = 6, seed: i
     start = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(shards)).cast("int")
     sizes = stored(nodes.groupBy("hub").agg(F.count("*").alias("rows")).where("rows > 1"), "hubs")
     heavy = max(1, total // 1000)
-    with_hub = join_by_key(nodes, sizes, "hub", heavy, "rows").withColumn("shard", start)
+    # rows of a large hub have a second block number, so that no block holds more of them than a few block_rows
+    part = F.when(F.col("rows") > block_rows, F.pmod(F.xxhash64(
+        F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())),
+        F.ceil(F.col("rows") / block_rows))).otherwise(0)
+    with_hub = (join_by_key(nodes, sizes, "hub", heavy, "rows").withColumn("shard", start)
+                .withColumn("part", part.cast("int")))
     with_hub = stored(with_hub, "start")
     linked = propagate(with_hub.where("rows is not null").drop("rows"), sizes, total, shards, rounds, seed)
     alone = with_hub.where("rows is null").drop("rows")
