@@ -15,6 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(column: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """Words of a text in order (null text: none)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

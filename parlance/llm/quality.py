@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import words
+from parlance.llm.common import quoted, words
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -189,7 +189,7 @@ def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
     are neither stored nor joined.
     """
     references = language_references(histograms(docs, rules), rules)
-    mark = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")
+    mark = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc")
     rows = docs.select(mark, F.col("text"), F.col("lang"))
     judged = judge(base_counts(histograms(rows, rules)), references, rules)
     # the row number keeps the optimizer from copying the whole chain of expressions into the filter
