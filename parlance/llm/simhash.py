@@ -18,7 +18,8 @@ edges.
 Cases: a null text counts as empty; texts without words have fingerprint zero
 and are linked like any others; fewer words than a shingle make one shingle;
 repeated rows get the same component; a null document id is never a component
-id unless the component has no other.
+id unless the component has no other; more columns, whatever their names, are
+kept by ``one_of_each`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import join_by_key, stored
+from parlance.llm.common import join_by_key, quoted, stored
 
 BITS = 64
 SEGMENT = 32
@@ -98,6 +99,22 @@ def forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     return nodes, roots
 
 
+def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Groups (key, i, j, fps) of ``rows`` (key, fp): every pair of blocks of a key's fingerprints, keys of one left out.
+
+    The groups are dealt by all three columns: an aggregation would be content
+    with rows that a join had dealt by key, and put a key's groups into one task.
+    """
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    heavy = max(block, rows.count() // 1000)
+    sized = join_by_key(rows, sizes, "key", heavy, "n").where("n is not null")
+    return (sized.select("key", "fp", mine.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+            .select("key", "fp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+            .repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps")))
+
+
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     """Edges (src, dst) whose components are those of "at most ``distance`` (up to 3) bits apart"."""
     if not 0 <= distance <= 3:
@@ -112,13 +129,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     linked = met.select("key").union(keys.where("n > 1").select("key")).distinct()
     rows = table.join(linked, "key", "left_semi").select("key", "fp").union(met.select("key", "fp"))
     rows = stored(rows, "buckets")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = (rows.join(sizes.where("n > 1"), "key")
-             .select("key", "fp", mine.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-             .groupBy("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-             .agg(F.collect_list("fp").alias("fps")))
+    dealt = block_pairs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,10 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
         star = (edges.join(least, "src").where("dst != p").select(F.col("dst").alias("src"), F.col("p").alias("dst"))
                 .union(least.select("src", F.col("p").alias("dst"))).distinct())
         star = stored(star, "star")
-        parent = star.groupBy(F.col("src").alias("dst")).agg(F.min("dst").alias("p"))
-        jumped = star.join(parent, "dst", "left")
+        of = star.groupBy("dst").agg(F.count("*").alias("w"))
+        parent = star.groupBy(F.col("src").alias("dst")).agg(F.min("dst").alias("p")).join(of, "dst")
+        jumped = join_by_key(star, parent, "dst", max(1, star.count() // 1000), "w")
         edges = stored(jumped.select("src", F.coalesce("p", "dst").alias("dst")).distinct(), "edges")
-        if not star.join(parent, "dst", "left_semi").take(1) and not (
+        if not parent.take(1) and not (
                 star.groupBy("src").count().where("count > 1").take(1)):
             return star.select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
@@ -169,9 +181,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed:
     rooted = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
               .select("fp", "rows", "first", F.coalesce("root", "fp").alias("root")))
     rooted = stored(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
-    of_fp = stored(rooted.join(least, "root").select("fp", "rows", "keeper"), "components")
+    least = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("fps"))
     heavy = max(1, rows.count() // 1000)
+    of_fp = stored(join_by_key(rooted, least, "root", heavy, "fps").select("fp", "rows", "keeper"), "components")
     out = join_by_key(rows, of_fp, "fp", heavy, "rows")
     return out.select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
@@ -190,7 +202,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int
     mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     kept = (marked.where(mine == F.col("keeper")).groupBy("doc_id", "text_hash")
             .agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_n"))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("_d"),
                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
     found = rows.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
