@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.common import quoted
+
 # The base patterns, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -36,13 +38,13 @@ KINDS = ("assign", "access", "hex", "random")
 # What looks random but is not secret.
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+# A part of an identifier; longer runs of one case can be random and are judged by their tokens.
+PART = r"(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[0-9]+)"
 # Of versions and dates: a short number (with a time, a unit), a short word with a number, a short digest.
 VERSION = (r"v?[0-9]{1,8}(?:[.-](?:[0-9]{1,8}(?:T[0-9]{2,9})?[A-Za-z]{0,2}|(?:[A-Z]?[a-z]{1,10}|[A-Z]{1,10})[0-9]{0,4}))+"
            r"(?:[.-]g?[0-9a-f]{7,8})?")
 IDENTIFIER = re.compile(rf"[0-9.,:/+-]+|0[xX][0-9a-fA-F]+|{VERSION}"
-                        rf"|{PART}(?:[_./+-]+{PART})*+|[A-Za-z]?[a-z]*+(?:[A-Z][a-z]+)*+[0-9]{{0,4}}")
-MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.*[a-z])(?=.*[A-Z])")
+                        rf"|{PART}(?:[_./+-]+{PART})*+|[A-Za-z]?[a-z]{{0,18}}(?:[A-Z][a-z]{{1,19}})*+[0-9]{{0,4}}")
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def random_spans(text: str, count_tokens, rules: SecretRules) -> list[tuple[int,
     found = []
     for m in candidates(rules.min_length).finditer(text):
         run = UUID.sub("-", m[0]).strip("-_") if UUID.search(m[0]) else m[0]
-        if len(run) >= rules.min_length and MIXED.match(run) and not known(run) \
+        if len(run) >= rules.min_length and not known(run) \
                 and len(run) < rules.max_chars_per_token * count_tokens(run):
             found.append((m.start(), 3, m.end()))
     return found
@@ -164,7 +166,7 @@ def redacted_documents(docs: DataFrame, vocabulary_path: str, pattern: str,
     A document without a secret, or with a null text, stays as it is.
     """
     place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # names of its own, whatever the documents' are
-    rows = docs.select(*[F.col(c).alias(p) for c, p in place.items()])
+    rows = docs.select(*[F.col(quoted(c)).alias(p) for c, p in place.items()])
     found = scanned(rows, vocabulary_path, pattern, list(place.values()), place["text"], rules, redacted=True)
     hit = F.col("spans") != ""
     value = {c: F.col(p) for c, p in place.items()}
