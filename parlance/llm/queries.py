@@ -57,7 +57,7 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, with its source's size and target."""
     docs = stored(mixing.sized(documents(spark, sf_dir)), "sizes")  # ids, sources and sizes; texts are read once
-    mixed = mixing.with_copies(docs, weights=(5, 2, 1), share=1.5, limit=2.0)
+    mixed = mixing.with_copies(docs, docs.drop("place"), weights=(5, 2, 1), share=1.5, limit=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                         "copies", "rate")
 
