@@ -14,8 +14,11 @@ Scores are recomputed in double precision from the original vectors.
 Cases: rows with a null id, and vectors that are null, empty, all zero, or
 hold null or non-finite components take no part; only vectors of equal length
 are compared; equal vectors share a node that lists its least ids, so ties are
-exact; repeated rows (equal ids) are one candidate; fewer candidates than asked
-for are all returned; an empty table gives no rows.
+exact; repeated rows (equal id and vector) are one candidate; rows of one id
+with different vectors are all candidates, and a query of such an id asks by the
+least of its vectors; fewer candidates than asked for are all
+returned; columns other than id and vector are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -166,9 +169,10 @@ INDEX = "shard int, dim int, ids binary, nodes binary, vectors binary, graph bin
 
 def build_shard(rows: pd.DataFrame, p: GraphParams) -> pd.DataFrame:
     """The index row of one shard: ids with their nodes, the nodes' vectors and graph."""
-    rows = rows.drop_duplicates("vec_id").sort_values("vec_id")
     x = np.array(rows["embedding"].tolist(), "f8")
     distinct, node = np.unique(x, axis=0, return_inverse=True)
+    rows = rows.assign(node=node.ravel()).drop_duplicates(["vec_id", "node"]).sort_values(["vec_id", "node"])
+    node = rows["node"].to_numpy()
     graph, entry = build_graph(distinct, p)
     return pd.DataFrame([{
         "shard": rows["shard"].iloc[0], "dim": x.shape[1], "ids": rows["vec_id"].to_numpy("i8").tobytes(),
@@ -222,7 +226,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: GraphParams
     index = stored(dealt.repartition(max(total, 1), "shard").groupBy("shard").applyInPandas(
         lambda rows: build_shard(rows, p), INDEX), "index")
 
-    asked = queries.withColumn("dim", F.size("embedding")).dropDuplicates(["vec_id"])
+    asked = (queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+             .withColumn("dim", F.size("embedding")))
     per_dim = asked.groupBy("dim").agg(F.ceil(F.count("*") / p.query_block).cast("int").alias("blocks"))
     blocks = (asked.join(F.broadcast(per_dim), "dim").join(F.broadcast(shards), "dim")
               .groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "first", "shards")
