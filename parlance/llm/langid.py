@@ -11,7 +11,8 @@ multiplied by the map, so a text costs one gather per n-gram.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; a null language is never learned; repeated rows are predicted
-alike; without any labelled document every text is ``und``.
+alike; without any labelled document every text is ``und``; more columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +25,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import hash_unit
+from parlance.llm.common import hash_unit, stored
 
 
 @dataclass(frozen=True)
 class LangParams:
-    """``per_language`` and ``max_languages`` bound what is learned from; the rest is the model's form."""
+    """Bounds of what is learned from: documents of a language, languages, all documents, bytes of their features.
+
+    The rest is the model's form.
+    """
 
     per_language: int = 600
     max_languages: int = 200
+    sample_docs: int = 24_000
+    sample_bytes: int = 256 << 20
     buckets: int = 1 << 14
     orders: tuple[int, ...] = (2, 3, 4)
     dim: int = 16
@@ -82,30 +88,41 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, may_learn: Column, p: LangParams) -> list:
-    """(lang, buckets, shares) rows of the sample; at most ``2 * per_language`` of each of ``max_languages``.
+    """(lang, buckets, shares) rows of the sample, whole texts each.
 
-    Documents are picked by a hash of their id, with a rate per language from
-    its count over all documents; features are made on the executors.
+    Documents are picked by a hash of id and text, with a rate per language
+    from its count over all documents; features are made on the executors.
+    What reaches the driver is bounded by ``sample_docs`` documents and
+    ``sample_bytes`` of features, the first by that hash, so that the same
+    documents stay on any partitioning.
     """
     eligible = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = (eligible.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
               .limit(p.max_languages).collect())
     if not counts:
         return []
+    each = min(p.per_language, max(p.sample_docs // len(counts), 1))
     rate = F.lit(0.0)
     for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(p.per_language / r["n"])).otherwise(rate)
-    picked = eligible.where(hash_unit(F.col("doc_id"), F.lit(p.seed)) < rate).select("lang", "text")
+        rate = F.when(F.col("lang") == r["lang"], F.lit(each / r["n"])).otherwise(rate)
+    pick = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(p.seed))
+    picked = (eligible.where(hash_unit(F.col("doc_id"), F.lit(p.seed)) < rate)
+              .select("lang", pick.alias("pick"), "text").dropDuplicates(["lang", "pick"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t.as_py(), p) for t in batch.column(1)]
+            made = [features(t.as_py(), p) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()),
-                 pa.array([b.tobytes() for _, b in made], pa.binary())], ["lang", "at", "share"])
-
-    rows = (picked.mapInArrow(run, "lang string, at binary, share binary")
-            .limit(2 * p.per_language * len(counts)).collect())
+                [batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()),
+                 pa.array([b.tobytes() for _, b in made], pa.binary())], ["lang", "pick", "at", "share"])
+
+    made = stored(picked.mapInArrow(run, "lang string, pick long, at binary, share binary"), "language-sample")
+    sizes = (made.select("pick", (F.octet_length("at") + F.octet_length("share")).alias("size"))
+             .orderBy("pick").limit(2 * p.sample_docs).collect())
+    fits = np.cumsum([r["size"] for r in sizes]) <= p.sample_bytes
+    if not fits.any():
+        return []
+    rows = made.where(F.col("pick") <= sizes[int(fits.sum()) - 1]["pick"]).collect()
     # an order of its own, so that the model does not depend on the partitioning
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["share"])))
     return [(r["lang"], np.frombuffer(r["at"], "i4"), np.frombuffer(r["share"], "f4")) for r in rows]
