@@ -193,10 +193,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, p: To
     n = usable.count()
     rate = min(1.0, p.sample_docs / max(n, 1))
     picked = (usable.where(hash_unit(F.col("doc_id"), F.lit(p.seed)) < rate)
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * p.sample_docs))
+              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+              .orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(2 * p.sample_docs))  # ids only
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(p.folds)).cast("int")
-    return stored(rows.select("doc_id", "text", "toxic", fold.alias("fold")).dropDuplicates(["doc_id"]), "toxic-sample")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return stored(one.select("doc_id", "text", "toxic", fold.alias("fold")), "toxic-sample")
 
 
 def _stem_counts(rows: DataFrame, p: ToxicityParams, among: list[str] | None) -> list:
