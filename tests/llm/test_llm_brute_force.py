@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import queries as Q
 
@@ -94,6 +95,18 @@ def test_shards_with_a_hot_group(spark, tables):
     assert cut <= 50  # of 500 pairs
 
 
+def test_no_block_of_a_hot_group_is_large(spark):
+    """A third of all rows equal: every (shard, block, part) that is numbered in one task stays near block_rows."""
+    from parlance.llm import sharding as S
+    nodes = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("size"),
+                                       F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("text_crc32"),
+                                       F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("hub"))
+    out = S.balanced_shards(nodes, shards=4, rounds=2, block_rows=500)
+    largest = out.groupBy("shard", "alone", "block", "part").count().agg(F.max("count")).first()[0]
+    assert largest <= 4 * 500
+    assert sorted(r["n"] for r in out.groupBy("shard").agg(F.count("*").alias("n")).collect()) == [15_000] * 4
+
+
 def test_flows_leave_no_shard_above_its_quota():
     from parlance.llm.sharding import balanced_flows
     flow = balanced_flows([[0, 10, 0], [10, 0, 5], [0, 0, 0]], [0, 0, 3])
@@ -138,6 +151,36 @@ def test_mix(spark):
     assert again == {r["doc_id"]: r["taken"] for r in rows}
 
 
+@pytest.mark.parametrize("shape", ["null ids", "one id", "equal rows"])
+def test_mix_of_rows_that_share_ids(spark, tables, shape):
+    """Each row draws for itself, so taken words come near the target."""
+    ids = {"null ids": lambda i: None, "one id": lambda i: 5, "equal rows": lambda i: None}[shape]
+    text = (lambda i: "one two") if shape == "equal rows" else (lambda i: f"w{i} two")
+    docs = [(ids(i), text(i), "en", "ab"[i % 3 == 0], 1) for i in range(3000)]
+    got = run(spark, "op3_mix_sources", tables(docs=docs))
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == 3000 and all(abs(taken[s] - t) < 0.06 * t for s, t in target.items())
+
+
+def test_mix_without_broadcasts_equals_mix_with(spark, tables, monkeypatch):
+    """The way for very many sources and shared ids: salted joins give the same rows."""
+    from parlance.llm import mixing
+    docs = [(None if i % 5 == 0 else i, f"w{i % 7} two three", "en", f"s{i % 3}" if i % 4 else None, 1) for i in range(400)]
+    sf_dir = tables(docs=docs)
+    both = []
+    for few in (10_000, 0):
+        monkeypatch.setattr(mixing.few, "__defaults__", (few,))
+        df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        small = mixing.sized(df)
+        kept = mixing.with_copies(small, small.drop("place"), salt_rows=50, weights=(5, 2, 1), share=1.5, limit=2.0)
+        both.append(sorted(map(str, kept.select("doc_id", "source", "text_hash", "place", "copies", "rate").collect())))
+    assert both[0] == both[1] and len(both[0]) == 400
+
+
 def test_secrets(spark, docs):
     assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
                         r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -177,12 +220,24 @@ def test_random_strings_of_both_cases():
     for secret in ("qWzRtYpLkJhGfDsAzXcVbNmQ", "QWZRTYPLKJhgfdsazxcvbnmqw", "xQ/vBzKj+WqTnPfGhLdRsMyC=="):
         assert found(f"key {secret} end") == [secret]
     for harmless in ("AbstractSingletonProxyFactoryBean", "XMLHttpRequestFactoryBean", "Foo-Bar-Baz-Qux-Quux-Corge",
-                     "qwzrtyplkjhgfdsazxcvbnmq", "THIS_IS_A_LONG_CONSTANT_NAME", "/Users/JohnSmith/Documents/Projects"):
+                     "THIS_IS_A_LONG_CONSTANT_NAME", "/Users/JohnSmith/Documents/Projects"):
         assert found(harmless) == [], harmless
     assert found("qWzRtYpLkJhGfDsAzXQ") == []  # 19 characters
     assert random_finder(min_length=12)("key qX7zRt9LkJh2 end") == ["qX7zRt9LkJh2"]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case(letters):
+    """Runs of one case and no digit are judged by their tokens, too; long words and short parts are none."""
+    found, rng = random_finder(), np.random.default_rng(0)
+    for length in (24, 32):
+        runs = ["".join(rng.choice(list(letters), length)) for _ in range(300)]
+        assert sum(found(f"key {r} end") == [r] for r in runs) >= 299
+    for harmless in ("Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "INTERNATIONALIZATIONSETTINGS",
+                     "incomprehensibilities", "a" * 60, "word-" * 12 + "end", "some_identifier_name_of_many_words"):
+        assert found(harmless) == [], harmless
+
+
 def test_random_strings_beside_numbers_and_uuids():
     found, uuid = random_finder(), "9c3e1c9e-1111-4222-8333-123456789abc"
     for secret in ("407408718192-a8kd93hfk20dkf93jdkslq02kfmv", "123456789012-Xk93jfKd02mfLq81PzRt",
@@ -228,6 +283,17 @@ def test_simhash(spark, docs):
     assert got == want
 
 
+def test_block_pairs_are_dealt_by_key_and_blocks(spark):
+    from parlance.llm import simhash as S
+    rows = spark.range(900).select(F.pmod(F.col("id"), F.lit(3)).alias("key"), F.col("id").alias("fp"))
+    out = S.block_pairs(rows, block=100)
+    assert re.search(r"hashpartitioning\(key#\d+L?, i#\d+, j#\d+", out._jdf.queryExecution().executedPlan().toString())
+    groups = out.collect()
+    assert len(groups) == 3 * 6 and max(len(r["fps"]) for r in groups) < 250  # three blocks a key, in pairs
+    met = {(a, b) for r in groups for a in r["fps"] for b in r["fps"]}
+    assert len(met) == 3 * 300 * 300
+
+
 def test_simhash_links_of_dense_groups(spark, monkeypatch):
     """Chains and dense balls, with blocks so small that every value is cut."""
     from parlance.llm import simhash
@@ -257,6 +323,36 @@ def test_simhash_links_of_dense_groups(spark, monkeypatch):
     assert {f: got.get(f, f) for f in fps} == {f: find(f) for f in fps}
 
 
+def test_neighbours_over_several_shards(spark, tables):
+    """Recall over many shards, with ids that several vectors share: each of them is a candidate."""
+    from parlance.llm import graph_search as G
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 24))
+    vectors = [(i % 2900, [float(np.float32(x)) for x in centre[i % 40] + 0.4 * rng.normal(size=24)], 0) for i in range(3000)]
+    df = G.valid_vectors(spark.read.parquet(tables(vectors=vectors) + "/embeddings.parquet"))
+    p = G.GraphParams(shard_rows=400)
+    asked = df.where(F.col("vec_id").isin(list(range(100, 2900, 50))))  # ids of one vector
+    got = defaultdict(list)
+    for r in G.nearest(df, asked, 10, p).collect():
+        got[r["query_id"]].append((round(r["score"], 9), r["vec_id"]))
+    x, ids = np.array([v for _, v, _ in vectors], "f4").astype("f8"), np.array([i for i, *_ in vectors])
+    hits = total = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
+        on = ids != q
+        want = sorted(zip(np.round(d[on], 9).tolist(), ids[on].tolist(), strict=True))[:10]
+        assert len(found) == 10
+        hits += len(set(want) & set(found))
+        total += 10
+    assert len(got) == 56 and hits >= 0.9 * total
+
+
+def test_neighbours_with_a_shared_id(spark, tables):
+    rows = [(0, [0.0, 1.0], 0), (7, [0.0, 5.0], 0), (7, [0.0, 1.1], 0), (7, [0.0, 1.1], 0), (8, [3.0, 1.0], 0)]
+    got = run(spark, "op6_graph_neighbours", tables(vectors=rows))
+    assert [(r["vec_id"], round(r["score"], 5)) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 0.1), (8, 3.0), (7, 4.0)]
+
+
 def test_neighbours(spark):
     rows = spark.read.parquet(f"{SF01}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])

@@ -29,7 +29,7 @@ def test_empty_tables(spark, tables, name):
 
 
 def test_neighbours_of_awkward_vectors(spark, tables):
-    rows = Q.JOBS["op6_graph_neighbours"](spark, tables(vectors=VECTORS)).collect()
+    rows = Q.JOBS["op6_graph_neighbours"](spark, tables(vectors=VECTORS, extra=True)).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
@@ -73,3 +73,10 @@ def test_query_results_of_awkward_rows(spark, tables):
     assert all(0 <= r["score"] <= 1 and not math.isnan(r["score"]) for r in toxic.values())
     tokens = Q.JOBS["op10_simple8b_tokens"](spark, sf_dir).collect()
     assert sum(r["n_tokens"] for r in tokens if r["doc_id"] in (0, 1)) == 2  # only the end id
+
+
+def test_clusters_of_awkward_vectors(spark, tables):
+    wide = [(i, None if v is None else (v * 64)[:64], n) for i, v, n in VECTORS]
+    rows = Q.JOBS["op12_bitplane_clusters"](spark, tables(vectors=wide, extra=True)).collect()
+    assert sorted(str(r["vec_id"]) for r in rows) == ["0", "0", "200", "500", "501", "600", "7", "None"]
+    assert {r["distance"] for r in rows} == {0}  # fewer different vectors than clusters
