@@ -7,10 +7,11 @@ with the data is a projection or a generate, never a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import java_trim
+from parlance.operators.joins import ranked
 
 # Fixed value of the reference: the negative class name.
 OTHER = "Other"
@@ -27,11 +28,10 @@ def label_keys(df: DataFrame, label_col: str = "strLabel", exclude: tuple[str, .
 def label_index(df: DataFrame, label_col: str = "strLabel") -> DataFrame:
     """{value, n, idx}: StringIndexer order, 0 = most frequent, ties by value.
 
-    The window runs over the distinct-label table (one row per class).
+    Ranked by ranges, so a vocabulary of any size never meets in one task.
     """
     counts = df.groupBy(F.col(label_col).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("idx", (F.row_number().over(w) - 1).cast("double"))
+    return ranked(counts, [F.desc("n"), F.asc("value")]).select("value", "n", F.col("place").cast("double").alias("idx"))
 
 
 def index_to_label(df: DataFrame, index: DataFrame, idx_col: str = "prediction",

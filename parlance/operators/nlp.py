@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.operators.joins import join_hot
+from parlance.operators.slots import BITS, marked_places
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,18 +28,31 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lemmas(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
-           token_col: str = "token", lemma_col: str = "lemma") -> DataFrame:
+           token_col: str = "token", lemma_col: str = "lemma", bits: int = BITS) -> DataFrame:
     """{id, lemmas}: word tokens of the text in order, each replaced by its lemma.
 
     The dictionary is joined, whatever its size; a token listed twice has its
     least lemma.  Works on distinct texts, so repeated rows keep their own
-    result; a null text gives null, a text without words an empty list.
+    result; a null text gives null, a text without words an empty list.  Only
+    tokens that the dictionary may have leave their row, and those that stand
+    in very many places are joined by broadcast.
     """
     rows = df.select(id_col, F.col(text_col).alias("_text"), F.sha2(F.col(text_col), 256).alias("_key"))
-    texts = rows.where(F.col("_key").isNotNull()).dropDuplicates(["_key"])
-    ex = texts.select("_key", F.posexplode_outer(T.word_tokens("_text")).alias("_pos", "_t"))
-    d = (lemma_dict.groupBy(F.col(token_col).alias("_t")).agg(F.min(lemma_col).alias("_l")))
-    j = ex.join(d, "_t", "left").select("_key", "_pos", F.coalesce("_l", "_t").alias("_v"))
-    per = (j.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_a"))
-           .select("_key", F.filter(F.transform("_a", lambda s: s["_v"]), lambda v: v.isNotNull()).alias("lemmas")))
-    return rows.join(per, "_key", "left").select(id_col, "lemmas")
+    texts = (rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first("_text").alias("_text"), F.count("*").alias("_rows"))
+             .select("_key", T.word_tokens("_text").alias("_t"), "_rows")).checkpoint()
+    known = lemma_dict.groupBy(F.col(token_col).alias("token")).agg(F.min(lemma_col).alias("lemma"))
+    counts = marked_places(texts, known.select("token"), bits).groupBy("token").agg(F.count("*").alias("n"))
+    used = known.join(counts, "token").checkpoint()  # the dictionary's rows that the texts need
+    places = marked_places(texts, used.select("token"), bits, "_key")
+    total = used.agg(F.sum("n")).first()[0] or 0
+    found = join_hot(places, used, "token", "n", total, how="inner").groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("j", "lemma"))).alias("_m"))
+    j = texts.join(found, "_key", "left")
+    tok, m = F.col("_t"), F.col("_m")
+    before = F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["j"]))
+    pieces = F.zip_with(m, F.slice(before, 1, F.size(m)), lambda x, b: F.concat(
+        F.slice(tok, b + 1, x["j"] - b - 1), F.array(x["lemma"])))
+    last = F.element_at(before, -1)
+    whole = F.when(m.isNull(), tok).otherwise(F.concat(F.flatten(pieces), F.slice(tok, last + 1, F.size(tok) - last)))
+    per = j.select("_key", whole.alias("lemmas"), "_rows")
+    return join_hot(rows, per, "_key", "_rows", texts.agg(F.sum("_rows")).first()[0] or 0).select(id_col, "lemmas")

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.joins import join_hot
+
 # Word characters for whole-word matching.
 WORD = r"\p{L}\p{N}_"
 
@@ -112,40 +114,104 @@ def find_entities(df: DataFrame, id_col: str, text_col: str, dictionary: DataFra
 # ---------------------------------------------------------------- dictionary tables
 _TOKENS = rf"([{WORD}]+|[^{WORD}])"  # a whole word, or one other character
 _IS_WORD = rf"^[{WORD}]"
-_AHEAD = 8  # tokens compared within the join; the rest is compared after it
+BITS = 1 << 20  # bits of the marks that texts' tokens are held against
 
 
 def _tokens(c: str) -> Column:
     return F.regexp_extract_all(F.col(c), F.lit(_TOKENS), 1)
 
 
-def _replace_one_slot(texts: DataFrame, slot: str, aliases: DataFrame) -> DataFrame:
-    """One slot over {_key, _low, _count}: join on the first token -> verify -> greedy pick -> rebuild."""
-    cut = texts.withColumn("_t", _tokens("_low"))
-    alias = (aliases.where(F.col("alias") != "").distinct().select(_tokens("alias").alias("_a"))
-             .withColumn("_first", F.col("_a")[0]).withColumn("_begin", F.array_join(F.slice("_a", 1, _AHEAD), "")))
-    spots = (cut.select("_key", F.inline_outer(F.transform("_t", lambda t, i: F.struct(
-        (i + 1).alias("j"), t.alias("_first"), F.array_join(F.slice("_t", i + 1, _AHEAD), "").alias("_ahead")))))
-        .where(F.col("j").isNotNull()))
-    maybe = (spots.join(alias, (spots["_first"] == alias["_first"]) & F.col("_ahead").startswith(F.col("_begin")))
-             .groupBy("_key").agg(F.collect_list(F.struct("j", F.size("_a").alias("len"), "_a")).alias("_m")))
-    j = cut.join(maybe, "_key", "left")
-    tok = F.col("_t")
+def _marks(tokens: DataFrame, bits: int) -> Column:
+    """Bits of the tokens in ``tokens`` (token) as an array of longs: a scalar subquery of a fixed size."""
+    place = F.pmod(F.xxhash64("token"), F.lit(bits))
+    words = tokens.select(F.floor(place / 64).cast("long").alias("id"), F.pmod(place, F.lit(64)).alias("bit")).groupBy("id") \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("word"))
+    every = tokens.sparkSession.range(bits // 64).join(words, "id", "left").select(
+        "id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda s: s["word"])).scalar()
+
+
+def _is_marked(token: Column, marks: Column, bits: int) -> Column:
+    place = F.pmod(F.xxhash64(token), F.lit(bits))
+    word = F.get(marks, F.floor(place / 64).cast("int"))
+    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
+def marked_places(texts: DataFrame, tokens: DataFrame, bits: int, *also: str) -> DataFrame:
+    """{j, token, also...}: the positions (from 1) of the texts' tokens that are marked for ``tokens``.
+
+    Unmarked tokens are dropped within the row, before anything is exploded or shuffled.
+    """
+    marked = texts.withColumn("_marks", _marks(tokens, bits))
+    hits = F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).alias("j"), t.alias("token"))),
+                    lambda s: _is_marked(s["token"], F.col("_marks"), bits))
+    return marked.select(*also, F.inline_outer(hits)).where(F.col("j").isNotNull())
+
+
+def anchors(texts: DataFrame, aliases: DataFrame, bits: int = BITS) -> DataFrame:
+    """{token, n, aliases}: each alias under its rarest token in the texts, with the token's number of places.
+
+    ``aliases`` has the tokens of an alias (``_a``), ``texts`` those of a
+    distinct text (``_t``).  Only words are counted where an alias has any,
+    and only tokens that some alias has.  An alias with a word that no text
+    has cannot match and has no anchor.  An entry of ``aliases`` is the alias
+    and the anchor's offset in it.
+    """
+    named = aliases.withColumn("_alias", F.xxhash64("_a"))
+    words = F.filter("_a", lambda t: t.rlike(_IS_WORD))
+    cut = named.select("_a", "_alias", F.explode(F.array_distinct(F.when(F.size(words) > 0, words).otherwise(F.col("_a"))))
+                       .alias("token"))
+    counts = (marked_places(texts, cut.select("token").distinct(), bits).groupBy("token").agg(F.count("*").alias("n"))
+              .checkpoint())  # a row per token of the dictionary
+    per = cut.join(counts, "token", "left").groupBy("_alias", "_a").agg(
+        F.min(F.struct("n", "token")).alias("rare"), F.count("*").alias("words"), F.count("n").alias("known"))
+    found = per.where("words = known").select(F.col("rare.token").alias("token"), F.col("rare.n").alias("n"), F.struct(
+        (F.array_position("_a", F.col("rare.token")) - 1).cast("int").alias("off"), F.col("_a").alias("a")).alias("alias"))
+    return found.groupBy("token", "n").agg(F.collect_list("alias").alias("aliases")).checkpoint()
+
+
+def alias_matches(texts: DataFrame, aliases: DataFrame, bits: int = BITS) -> DataFrame:
+    """{_key, j, len}: the places in the texts' tokens where an alias stands as whole words.
+
+    Only places of anchors are joined with the aliases; anchors that stand in
+    very many places are joined by broadcast, so a word in every text is not
+    shuffled at all.  What is compared is the tokens around the place.
+    """
+    by_token = anchors(texts, aliases, bits)
+    most = by_token.agg(F.sum("n").alias("n"), F.max(F.array_max(F.transform("aliases", lambda x: F.size(x["a"]))))
+                        .alias("len")).first()
+    if not most["n"]:
+        return texts.select("_key", F.lit(0).alias("j"), F.lit(0).alias("len")).limit(0)
+    reach = most["len"]
+    spots = marked_places(texts, by_token.select("token"), bits, "_key", "_t")
+    around = spots.select("_key", "j", "token", F.slice("_t", F.greatest(F.col("j") - reach, F.lit(1)), 2 * reach + 1)
+                          .alias("_near"), F.least(F.col("j"), F.lit(reach + 1)).alias("_at"))
+    maybe = join_hot(around, by_token, "token", "n", most["n"], how="inner")
+    each = maybe.select("_key", "j", "_near", "_at", F.explode("aliases").alias("x")).select(
+        "_key", "_near", (F.col("j") - F.col("x.off")).alias("j"), (F.col("_at") - F.col("x.off")).alias("_from"),
+        F.col("x.a").alias("_a"))
+    near = F.col("_near")
 
     def word_at(i: Column) -> Column:
-        return F.coalesce(F.get(tok, i - 1).rlike(_IS_WORD), F.lit(False))
+        return F.coalesce(F.get(near, i - 1).rlike(_IS_WORD), F.lit(False))
 
-    def fits(m: Column) -> Column:
-        """The same tokens, and no word directly before a word or after one: as whole-word matching has it."""
-        end = m["j"] + m["len"]
-        return (F.slice(tok, m["j"], m["len"]) == m["_a"]) & ~word_at(m["j"] - 1) & ~word_at(end)
+    start, length = F.col("_from"), F.size("_a")
+    # the same tokens, and no word directly before or after one: as whole-word matching has it
+    fits = (start >= 1) & (F.slice(near, F.greatest(start, F.lit(1)), length) == F.col("_a"))
+    return each.where(fits & ~word_at(start - 1) & ~word_at(start + length)).select("_key", "j", length.alias("len"))
 
-    hits = F.array_distinct(F.transform(F.filter("_m", fits), lambda m: F.struct(
-        m["j"].alias("j"), (-m["len"]).alias("neg_len"))))
+
+def _replace_one_slot(texts: DataFrame, slot: str, aliases: DataFrame, bits: int) -> DataFrame:
+    """One slot over {_key, _t, _count, _rows}: matches, greedy pick, rebuilt tokens."""
+    alias = aliases.where(F.col("alias") != "").distinct().select(_tokens("alias").alias("_a"))
+    found = alias_matches(texts, alias, bits).groupBy("_key").agg(
+        F.collect_set(F.struct("j", (-F.col("len")).alias("neg_len"))).alias("_m"))
+    j = texts.join(found, "_key", "left")
+    tok = F.col("_t")
     # leftmost, then longest; greedy non-overlapping pick in one pass over the sorted matches
     init = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<j:int,len:int>>").alias("picked"))
     picked = F.aggregate(
-        F.sort_array(hits), init,
+        F.sort_array("_m"), init,
         lambda acc, m: F.when(m["j"] > acc["end"], F.struct(
             (m["j"] - m["neg_len"] - 1).alias("end"),
             F.concat(acc["picked"], F.array(F.struct(m["j"].alias("j"), (-m["neg_len"]).alias("len")))).alias("picked")))
@@ -154,34 +220,38 @@ def _replace_one_slot(texts: DataFrame, slot: str, aliases: DataFrame) -> DataFr
     j = j.withColumn("_p", F.coalesce(picked, F.array().cast("array<struct<j:int,len:int>>")))
     p, n = F.col("_p"), F.size(tok)
     prev_end = F.concat(F.array(F.lit(0)), F.transform(p, lambda x: x["j"] + x["len"] - 1))
+    name = F.regexp_extract_all(F.lit(slot), F.lit(_TOKENS), 1)
     # zip_with pads the shorter side with nulls: pair each span with its own gap start
     pieces = F.zip_with(p, F.slice(prev_end, 1, F.size(p)), lambda x, pe: F.concat(
-        F.array_join(F.slice(tok, pe + 1, F.greatest(x["j"] - pe - 1, F.lit(0))), ""), F.lit(slot)))
+        F.slice(tok, pe + 1, F.greatest(x["j"] - pe - 1, F.lit(0))), name))
     last_end = F.element_at(prev_end, -1)
-    tail = F.array_join(F.slice(tok, last_end + 1, F.greatest(n - last_end, F.lit(0))), "")
-    return j.select("_key", F.concat(F.array_join(pieces, ""), tail).alias("_low"),
-                    (F.col("_count") + F.size(p)).alias("_count"))
+    tail = F.slice(tok, last_end + 1, F.greatest(n - last_end, F.lit(0)))
+    return j.select("_key", F.when(F.size(p) == 0, tok).otherwise(F.concat(F.flatten(pieces), tail)).alias("_t"),
+                    (F.col("_count") + F.size(p)).alias("_count"), "_rows")
 
 
 def replace_slots_join(df: DataFrame, text_col: str, dictionary: DataFrame,
                        slot_col: str = "slot", order_col: str = "slot_order", alias_col: str = "alias",
-                       out_text: str = "utterance_slots", out_count: str = "n_slots") -> DataFrame:
+                       out_text: str = "utterance_slots", out_count: str = "n_slots", bits: int = BITS) -> DataFrame:
     """Slot replacement by a dictionary table of any size (J2), equal to ``replace_slots``.
 
     Works on the distinct lower-cased texts, so repeated rows and ids need no
     key of their own.  A text is cut into words and single other characters;
-    its tokens are equi-joined with the aliases' first tokens (the next tokens
-    are compared within the join), matches are verified in the row, sorted
-    (leftmost, then longest), picked greedily without overlap, and the text is
-    rebuilt.  Slots apply in ``slot_order``; one row per slot reaches the driver.
+    each alias is looked for at its rarest word only (``anchors``); verified
+    matches are sorted (leftmost, then longest), picked greedily without
+    overlap, and the tokens are put together again.  The tokens are written
+    before each slot, whose passes read them.  Slots apply in ``slot_order``;
+    one row per slot and a table of ``bits`` bits reach the driver.
     """
     slots = (dictionary.select(slot_col, order_col).distinct().orderBy(order_col, slot_col).collect())
     low = F.lower(F.col(text_col))
     rows = df.withColumn("_key", F.sha2(low, 256))
-    texts = (rows.where(F.col("_key").isNotNull()).select("_key", low.alias("_low")).dropDuplicates(["_key"])
-             .withColumn("_count", F.lit(0)))
+    texts = (rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(low).alias("_low"), F.count("*").alias("_rows"))
+             .select("_key", _tokens("_low").alias("_t"), F.lit(0).alias("_count"), "_rows"))
     for row in slots:
         aliases = dictionary.filter((F.col(slot_col) == row[slot_col]) & (F.col(order_col) == row[order_col]))
-        texts = _replace_one_slot(texts, row[slot_col], aliases.select(F.col(alias_col).alias("alias")))
-    texts = texts.select("_key", F.col("_low").alias(out_text), F.col("_count").cast("int").alias(out_count))
-    return rows.join(texts, "_key", "left").drop("_key")
+        texts = _replace_one_slot(texts.checkpoint(), row[slot_col], aliases.select(F.col(alias_col).alias("alias")), bits)
+    texts = texts.checkpoint()
+    total = texts.agg(F.sum("_rows")).first()[0] or 0
+    texts = texts.select("_key", F.array_join("_t", "").alias(out_text), F.col("_count").cast("int").alias(out_count), "_rows")
+    return join_hot(rows, texts, "_key", "_rows", total).drop("_key")
