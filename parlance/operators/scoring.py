@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import linear as LN
 from parlance.operators.labels import OTHER
 from parlance.operators.train import TextModel, text_feature_stages
 
@@ -108,7 +110,7 @@ def apply_models(df: DataFrame, models: Sequence[TextModel], text_col: str | dic
     return cur, entries
 
 
-def classify_all(df: DataFrame, models: Sequence[TextModel], id_cols: Sequence[str] | str,
+def classify_all(df: DataFrame, models: Sequence[TextModel] | LN.LinearSet, id_cols: Sequence[str] | str,
                  text_col: str | dict[str, str] = "utterance", mode: str = "calibrated",
                  domain_col: str | None = None) -> DataFrame:
     """{id, domain, classifier, predictedLabel, score} for every model.
@@ -116,6 +118,8 @@ def classify_all(df: DataFrame, models: Sequence[TextModel], id_cols: Sequence[s
     Scores are stacked to long form with ``inline``.  With ``domain_col`` a
     row is scored only by the models of its domain (null = all domains).
     """
+    if isinstance(models, LN.LinearSet):
+        return classify_linear(df, models, id_cols, text_col, domain_col)
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     cur, entries = apply_models(df, models, text_col, mode)
     structs = []
@@ -131,13 +135,17 @@ def classify_all(df: DataFrame, models: Sequence[TextModel], id_cols: Sequence[s
             .filter(F.col("classifier").isNotNull()))
 
 
-def stacked_scores(df: DataFrame, models: Sequence[TextModel], text_col: str | dict[str, str] = "utterance",
+def stacked_scores(df: DataFrame, models: Sequence[TextModel] | LN.LinearSet, text_col: str | dict[str, str] = "utterance",
                    out_col: str = "scores", pairs_col: str | None = None, domain_col: str | None = None,
                    mode: str = "calibrated") -> DataFrame:
     """Wide form: the scores of all models as one array<double> per row,
     ordered by (domain, classifier) (C4/L2 without a group-by), optionally
     also as (label, score) pairs restricted to the row's domain."""
     keep_cols = df.columns
+    if isinstance(models, LN.LinearSet):
+        cur, parts, models = linear_parts(df, models, text_col)
+        out = LN.scores(cur, parts, out_col)
+        return out.withColumn(pairs_col, LN.pairs(models, out_col, domain_col)) if pairs_col else out
     cur, entries = apply_models(df, models, text_col, mode)
     out = cur.withColumn(out_col, F.array(*[sc.cast("double") for _, _, sc in entries]))
     extra = [out_col]
@@ -169,48 +177,91 @@ def union_scores(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def lr_weight_table(spark, models: Sequence[TextModel]):
-    """Binary LR models as a table {bucket, weights} -- one row per bucket with
-    an array of one weight per model -- and per model (domain, classifier,
-    intercept, positive-class flag), in the array's order.
+# ---------------------------------------------------------------- sets of linear models
+def linear_parts(df: DataFrame, models: LN.LinearSet, text_col: str | dict[str, str] = "utterance",
+                 features: str | None = None) -> tuple[DataFrame, list, LN.LinearSet]:
+    """The rows with a feature column per text column that the set's domains read, the parts for ``LN.scores``, and
+    the set in the order of the scores."""
+    of = {d: text_col.get(d, "utterance") if isinstance(text_col, dict) else text_col for d in dict.fromkeys(models.domains)}
+    order, parts = sorted(range(len(models)), key=lambda i: (models.domains[i], models.classifiers[i])), []
+    models = LN.subset(models, order)
+    cur, made = df, {}
+    for d in sorted(of):
+        col = features
+        if not features:
+            if of[d] not in made:  # same feature stages as at training time, reading this text column
+                col = made[of[d]] = f"_features_{len(made)}"
+                cur = (PipelineModel(stages=text_feature_stages(of[d], models.width)).transform(cur)
+                       .withColumnRenamed("features", col).drop("words", "ngrams", "_bucket_terms"))
+            col = made[of[d]]
+        parts.append((col, LN.subset(models, [i for i, x in enumerate(models.domains) if x == d])))
+    return cur, parts, models
+
+
+def classify_linear(df: DataFrame, models: LN.LinearSet, id_cols: Sequence[str] | str,
+                    text_col: str | dict[str, str] = "utterance", domain_col: str | None = None,
+                    features: str | None = None) -> DataFrame:
+    """J1/C2/C6 for a set of any number of linear models: {id, domain, classifier, predictedLabel, score}."""
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    cur, parts, models = linear_parts(df, models, text_col, features)
+    keep = list(dict.fromkeys([*ids, *([domain_col] if domain_col else []), *[c for c, _ in parts]]))
+    return LN.long_form(LN.scores(cur.select(*keep), parts), models, ids, domain_col=domain_col)
 
-    The coefficients are model state that the driver already holds (an array
-    of models x width numbers); rows of it become the table's rows.
-    """
-    columns, heads = [], []
-    for tm in models:
-        _, rest = _split_stages(tm.model)
-        lr = rest[0]
-        if getattr(lr, "numClasses", 2) != 2 or not hasattr(lr, "coefficients"):
-            raise ValueError(f"{tm.classifier}: join scoring needs a binary logistic regression")
-        coef = lr.coefficients.toArray()
-        columns.append(coef)
-        pos = tm.labels.index(tm.classifier) == 1 if tm.classifier in tm.labels else None
-        heads.append((tm.domain, tm.classifier, float(lr.intercept), pos))
-    matrix = np.stack(columns, 1)
-    used = np.flatnonzero(matrix.any(1))
-    table = pa.table({"bucket": pa.array(used, pa.int32()), "weights": pa.array(list(matrix[used]), pa.list_(pa.float64()))})
-    return spark.createDataFrame(table), heads
-
-
-def score_lr_by_join(texts: DataFrame, tf: DataFrame, id_col: str, weights: DataFrame, heads) -> DataFrame:
-    """{id, domain, classifier, score}: P(classifier) of every binary LR model
-    for every row of ``texts``, from its long hashed term frequencies
+
+def margins_by_join(texts: DataFrame, tf: DataFrame, id_col: str, coefficients: np.ndarray, intercepts: np.ndarray,
+                    block: int = 256) -> DataFrame:
+    """{id, place, margin} of K linear models for every row of ``texts``, from its long hashed term frequencies
     {id, bucket, tf} (``features.hashed_tf`` with the models' width).
 
-    One join on bucket (at most one row per bucket on the model side; AQE:
-    broadcast when small, hot buckets split otherwise) and one aggregation
-    with a partial sum per model, for any number of models.  Each text's score
-    rows come from a generate over the model list, so a text without bigrams
-    still gets sigmoid(intercept); no cross join.
+    The coefficients are a table with a row per bucket and block of models,
+    each a vector; a text's margins are the sums of the vectors of its buckets,
+    weighted by frequency: one join and one aggregation, and a plan that does
+    not grow with the models.  A text without bigrams has the intercepts; no
+    cross join.
     """
-    dots = (tf.join(weights, "bucket").groupBy(id_col)
-            .agg(*[F.sum(F.col("tf") * F.col("weights")[k]).alias(f"_dot{k}") for k in range(len(heads))]))
-    j = texts.select(id_col).join(dots, id_col, "left")
-    entries = []
-    for k, (domain, classifier, intercept, positive) in enumerate(heads):
-        p1 = 1.0 / (1.0 + F.exp(-(F.lit(intercept) + F.coalesce(F.col(f"_dot{k}"), F.lit(0.0)))))
-        score = F.lit(0.0) if positive is None else p1 if positive else 1.0 - p1
-        entries.append(F.struct(F.lit(domain).alias("domain"), F.lit(classifier).alias("classifier"),
-                                score.alias("score")))
-    return j.select(id_col, F.inline_outer(F.array(*entries)))
+    spark, k = texts.sparkSession, len(intercepts)
+    blocks = max(1, -(-k // block))
+    rows = {"bucket": [], "block": [], "weights": []}
+    for b in range(blocks):
+        part = coefficients[b * block:(b + 1) * block].T
+        used = np.flatnonzero(part.any(1))
+        rows["bucket"].append(used)
+        rows["block"].append(np.full(len(used), b))
+        rows["weights"] += list(part[used])
+    table = spark.createDataFrame(pa.table({
+        "bucket": pa.array(np.concatenate(rows["bucket"]), pa.int32()),
+        "block": pa.array(np.concatenate(rows["block"]), pa.int32()),
+        "weights": pa.array(rows["weights"], pa.list_(pa.float64()))}))
+    heads = spark.createDataFrame(pa.table({
+        "block": pa.array(range(blocks), pa.int32()),
+        "intercepts": pa.array([intercepts[b * block:(b + 1) * block] for b in range(blocks)], pa.list_(pa.float64()))}))
+    sums = (tf.join(table, "bucket").groupBy(id_col, "block")
+            .agg(Summarizer.sum(array_to_vector("weights"), F.col("tf").cast("double")).alias("sums")))
+    every = texts.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    j = every.join(sums, [id_col, "block"], "left").join(heads, "block")
+    margin = F.when(F.col("sums").isNull(), F.col("intercepts")).otherwise(
+        F.zip_with(vector_to_array("sums"), "intercepts", lambda a, b: a + b))
+    return (j.select(id_col, "block", F.posexplode(margin).alias("_at", "margin"))
+            .select(id_col, (F.col("block") * block + F.col("_at")).alias("place"), "margin"))
+
+
+def sigmoid(margin: Column | str) -> Column:
+    return 1.0 / (1.0 + F.exp(-(F.col(margin) if isinstance(margin, str) else margin)))
+
+
+def score_lr_by_join(texts: DataFrame, tf: DataFrame, id_col: str, models: LN.LinearSet) -> DataFrame:
+    """{id, domain, classifier, score}: P(classifier) of every model of a set, by ``margins_by_join``."""
+    margins = margins_by_join(texts, tf, id_col, models.coefficients, models.intercepts)
+    return margins.join(LN.names(texts.sparkSession, models), "place").select(
+        id_col, "domain", "classifier", sigmoid("margin").alias("score"))
+
+
+def linear_form(model) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, intercepts) of Spark's logistic regression, its one-vs-rest, or a list of the former.
+
+    A row per class; one row, that of the second class, for a binary model.
+    """
+    if hasattr(model, "models"):
+        each = [linear_form(m) for m in model.models]
+        return np.concatenate([w for w, _ in each]), np.concatenate([b for _, b in each])
+    return model.coefficientMatrix.toArray(), model.interceptVector.toArray()

@@ -23,7 +23,7 @@ from parlance.operators import scoring as SC
 from parlance.operators import train as TR
 
 
-def classify_requests(requests: DataFrame, models: Sequence[TR.TextModel], slot_fn,
+def classify_requests(requests: DataFrame, models, slot_fn,
                       text_for: dict[str, str], id_cols: Sequence[str]) -> DataFrame:
     """{id..., response}: per request the scores of the requested domain's
     models (both domains when none) as JSON, or the text form when
@@ -35,14 +35,19 @@ def classify_requests(requests: DataFrame, models: Sequence[TR.TextModel], slot_
     return st.select(*id_cols, resp.alias("response"))
 
 
-def task_requests_scored(requests: DataFrame, models: Sequence[TR.TextModel], task_model, slot_fn,
-                         text_for: dict[str, str], id_cols: Sequence[str]) -> DataFrame:
-    """{id..., predictedLabel, response}: next task of each request (C3 + K4)."""
+def task_request_features(requests: DataFrame, models, slot_fn, text_for: dict[str, str]) -> DataFrame:
+    """Requests with ``previousTask`` and ``classifierFeatures`` (intent scores and domain bias)."""
     r = RQ.with_request_defaults(requests)
     r = r.select("*", F.col("text").alias("utterance"), T.last_segment("prevTask").alias("previousTask"),
                  T.parse_bias("domainBias").alias("prior"))
     st = SC.stacked_scores(slot_fn(r), models, text_for)
-    feats = st.withColumn("classifierFeatures", F.concat("scores", "prior"))
+    return st.withColumn("classifierFeatures", F.concat("scores", "prior"))
+
+
+def task_requests_scored(requests: DataFrame, models, task_model, slot_fn,
+                         text_for: dict[str, str], id_cols: Sequence[str]) -> DataFrame:
+    """{id..., predictedLabel, response}: next task of each request (C3 + K4)."""
+    feats = task_request_features(requests, models, slot_fn, text_for)
     out = task_model.transform(TR.task_input(feats))
     return OUT.format_task(out.select(*id_cols, "predictedLabel"))
 

@@ -90,10 +90,10 @@ def test_store(spark, tmp_path):
     models = M.intent_models(spark, SF0001)
     root = str(tmp_path / "store")
     assert ST.registry(spark, root) is None
-    ST.save_models(spark, models, root)
-    assert [(t.domain, t.classifier) for t in ST.load_models(spark, root)] == sorted(
-        (t.domain, t.classifier) for t in models)
-    assert {t.domain for t in ST.load_models(spark, root, domain="nba")} == {"nba"}
+    ST.save_models(spark, [models], root)
+    again = ST.load_linear(spark, root)
+    assert list(zip(again.domains, again.classifiers)) == sorted(zip(models.domains, models.classifiers))
+    assert set(ST.load_linear(spark, root, domain="nba").domains) == {"nba"}
     assert ST.load_models(spark, root, kind="task") == []
 
 

@@ -1,11 +1,15 @@
 """Structured Streaming request scoring (R1, R2): folder tables, equality with batch, restart."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from parlance.operators import context as CX
 from parlance.plans import models as M
 from parlance.sources import tables as TB
+from parlance.streaming import context as SX
 from tests.conftest import SF0001
 
 
@@ -36,7 +40,7 @@ def test_restart_answers_only_what_is_new(spark, tmp_path):
 
 def test_responses(spark, tmp_path):
     models = M.intent_models(spark, SF0001)
-    per_domain = {d: sum(tm.domain == d for tm in models) for d in ("nba", "weather")}
+    per_domain = {d: models.domains.count(d) for d in ("nba", "weather")}
     for r in M.stream_classify(spark, SF0001, str(tmp_path / "s")).collect():
         if r["request_id"] % 2 == 0:  # json requests
             body = json.loads(r["response"])
@@ -51,3 +55,48 @@ def test_responses(spark, tmp_path):
 def test_malformed_bias_does_not_fail_the_batch(spark):
     req = M.task_requests(spark, SF0001).limit(4).withColumn("domainBias", F.lit("nba"))
     assert M.classify_task(spark, SF0001, req).count() == 4
+
+
+def turns_of(spark, rows, path):
+    spark.createDataFrame(rows, "conv_id long, turn long, task string, domain string").coalesce(1).write.parquet(path)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_context_does_not_depend_on_the_split(spark, tmp_path, seed):
+    """Late, repeated and contradicting turns, in any batches, give the windows over the distinct turns."""
+    rng = random.Random(seed)
+    rows = [(c, t * rng.choice([1, 1, 2]), rng.choice(["a", "b", None]), rng.choice(["nba", "weather", "other", None]))
+            for c in range(4) for t in range(25 if c else 60)]
+    rows += rng.sample(rows, 20) + [(None, 1, "a", "nba"), (1, None, "a", "nba")]
+    rng.shuffle(rows)
+    for i in range(0, len(rows), 30):  # a file per micro-batch
+        turns_of(spark, rows[i:i + 30], str(tmp_path / "in" / f"part={i // 30:03d}"))
+    schema = "conv_id long, turn long, task string, domain string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(str(tmp_path / "in")))
+    sink = SX.run_context(stream, str(tmp_path / "out"), block=7)
+    got = {(r["conv_id"], r["turn"]): r for r in SX.context(spark, sink).collect()}
+    one = (spark.createDataFrame(rows, schema).where("conv_id is not null and turn is not null").groupBy("conv_id", "turn")
+           .agg(F.min(F.struct("task", "domain")).alias("s")).select("conv_id", "turn", "s.*"))
+    prev = {(r["conv_id"], r["turn"]): r["previousTask"] for r in CX.previous_task(one, ["conv_id"], ["turn"], "task").collect()}
+    prior = {(r["conv_id"], r["turn"]): r["prior"] for r in
+             CX.domain_prior(one, ["turn"], partition_cols=["conv_id"]).collect()}
+    assert len(spark.read.parquet(sink).select("batch_id").distinct().collect()) > 3
+    assert got.keys() == prev.keys()
+    for k, r in got.items():
+        assert r["previousTask"] == prev[k] and all(abs(a - b) < 1e-12 for a, b in zip(r["prior"], prior[k], strict=True))
+
+
+def test_context_goes_on_after_a_restart(spark, tmp_path):
+    schema = "conv_id long, turn long, task string, domain string"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        return SX.context(spark, SX.run_context(stream, str(tmp_path / "out"))).collect()
+
+    turns_of(spark, [(1, 5, "b", "nba")], str(tmp_path / "in" / "p=0"))
+    assert [(r["turn"], r["previousTask"]) for r in run()] == [(5, "na")]
+    turns_of(spark, [(1, 3, "a", "weather")], str(tmp_path / "in" / "p=1"))  # late: an earlier turn
+    got = {r["turn"]: (r["previousTask"], r["prior"]) for r in run()}
+    assert got == {3: ("na", [0.0, 1.0]), 5: ("a", [0.5, 0.5])}
+    assert SX.context(spark, str(tmp_path / "never")).collect() == []
