@@ -312,3 +312,59 @@ FROM documents""")
 def q_lemmas(spark, sf):
     lm = NLP.lemmas(S.documents(spark, sf, ("doc_id", "text")), "doc_id", "text", S.lemma_dictionary(spark))
     return lm.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+_PAIRS = ", ".join("('{}', '{}')".format(*x.split(":")) for x in S.INFLECTIONS)
+
+
+@job("q_lemma_rules", rf"""
+WITH pairs AS (SELECT DISTINCT t, m FROM (VALUES {_PAIRS}) v(t, m)),
+p AS (SELECT t, m, list_max(list_filter(range(0, least(length(t), length(m)) + 1), lambda i: left(t, i) = left(m, i))) AS same
+      FROM pairs),
+r AS (SELECT t, length(t) - same AS cut, substring(m, same + 1) AS add FROM p),
+e AS (SELECT cut, add, right(t, n) AS suffix FROM (
+        SELECT t, cut, add, unnest(range(greatest(cut, 1), least(length(t) - 3, 5) + 1)) AS n FROM r)),
+rules AS (SELECT suffix, cut, add FROM (SELECT suffix, cut, add, count(*) AS n FROM e GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, add) = 1 AND n >= 2),
+known AS (SELECT t AS token, min(m) AS lemma FROM pairs GROUP BY t),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS token FROM (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents)),
+learned AS (
+  SELECT token, left(token, length(token) - cut) || add AS lemma FROM (
+    SELECT DISTINCT token, suffix, cut, add FROM words JOIN rules
+      ON suffix = right(token, length(suffix)) AND length(token) - length(suffix) >= 3)
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(suffix) DESC) = 1)
+SELECT d.doc_id, coalesce(string_agg(coalesce(k.lemma, l.lemma, w.token), ' ' ORDER BY i), '') AS lemmas
+FROM documents d LEFT JOIN words w ON w.doc_id = d.doc_id LEFT JOIN known k ON k.token = w.token
+LEFT JOIN learned l ON l.token = w.token GROUP BY d.doc_id""")
+def q_lemma_rules(spark, sf):
+    """Lemmas by the inline pairs and the suffix rules learned from them."""
+    lm = NLP.learned_lemmas(S.documents(spark, sf, ("doc_id", "text")), "doc_id", "text", S.inflections(spark))
+    return lm.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@job("q_sentences_counted", r"""
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '\pL+(?:\.\pL+)*\.?')) AS w FROM documents),
+c AS (SELECT CASE WHEN w LIKE '%.' THEN left(w, length(w) - 1) ELSE w END AS type, count(*) AS n,
+             count(*) FILTER (w LIKE '%.') AS k FROM w GROUP BY 1),
+p AS (SELECT sum(k) / sum(n) AS p FROM c),
+f AS (SELECT type, n, k, p, length(type) - length(replace(type, '.', '')) AS dots FROM c, p WHERE k > 0),
+abbr AS (
+  SELECT type FROM f WHERE -2 * (k * ln(p) + (n - k) * ln(1 - p) - k * ln(0.99) - (n - k) * ln(0.01))
+    * exp(-(length(type) - dots)) * (dots + 1) * pow(length(type) - dots, -(n - k)) >= 0.3),
+s AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (
+        SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+$', ''),
+                                                   '([.!?])(\s+)', '\1\2' || chr(30), 'g'), chr(30)) AS s FROM documents)),
+b AS (
+  SELECT doc_id, i, s, CASE
+    WHEN lower(regexp_extract(s, '((?:\pL+\.)*\pL+)\.\s*$', 1)) IN (SELECT type FROM abbr) THEN 0
+    WHEN regexp_matches(s, '(?:^|[^\pL\pN.])\p{Lu}\.\s+$') THEN 0
+    WHEN regexp_matches(s, '\.\.\s+$') AND regexp_matches(coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i), ''),
+                                                            '^\p{Ll}') THEN 0 ELSE 1 END AS ends FROM s),
+g AS (SELECT doc_id, i, s, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM b)
+SELECT doc_id, CAST(g AS INTEGER) AS sent_no, regexp_replace(string_agg(s, '' ORDER BY i), '\s+$', '') AS sentence
+FROM g GROUP BY doc_id, g""")
+def q_sentences_counted(spark, sf):
+    """Sentences that do not end at the corpus's abbreviations, initials and running ellipses."""
+    return NLP.counted_sentences(S.documents(spark, sf, ("doc_id", "text")), "doc_id", "text")

@@ -22,6 +22,19 @@ SLOT_DICTIONARY_LINES = [
     ("preposition", 2, "of,of the,of"),
 ]
 LEMMA_PAIRS = [("was", "be"), ("is", "be"), ("were", "be")]
+# Pairs that suffix rules are learned from, token:lemma.
+INFLECTIONS = """
+walked:walk talked:talk played:play called:call opened:open showed:show turned:turn rained:rain
+liked:like moved:move closed:close named:name tried:try carried:carry studied:study stopped:stop planned:plan
+walking:walk talking:talk playing:play calling:call opening:open showing:show turning:turn raining:rain
+making:make moving:move closing:close taking:take running:run stopping:stop planning:plan sitting:sit
+players:player teams:team games:game scores:score clouds:cloud storms:storm days:day weeks:week
+cities:city stories:story parties:party countries:country boxes:box buses:bus wishes:wish glasses:glass
+runs:run plays:play calls:call tries:try carries:carry goes:go does:do
+wives:wife knives:knife leaves:leaf halves:half
+colder:cold warmer:warm faster:fast higher:high coldest:cold warmest:warm fastest:fast highest:high
+this:this his:his thing:thing king:king bring:bring bed:bed red:red glass:glass process:process
+""".split()
 
 
 SCAN_PARTITIONS = "spark.parlance.scanPartitions"
@@ -101,6 +114,11 @@ def lemma_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEMMA_PAIRS, "token string, lemma string")
 
 
+def inflections(spark: SparkSession) -> DataFrame:
+    """{token, lemma}: the inline pairs that suffix rules are learned from."""
+    return spark.createDataFrame([tuple(x.split(":")) for x in INFLECTIONS], "token string, lemma string")
+
+
 def product_dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary lines from ``part``: ``brand,name,type`` (canonical = brand)."""
     part = TB.read_table(spark, sf_dir, "part")

@@ -87,3 +87,39 @@ def test_rank_has_no_window_over_all_rows(spark):
 
 def test_rank_of_no_rows(spark):
     assert LB.label_index(spark.createDataFrame([], "strLabel string")).collect() == []
+
+
+# ---------------------------------------------------------------- learned lemmas and sentences
+def test_suffix_rules_reach_unseen_inflections(spark):
+    from parlance.plans import sources as S
+    rules = {r["suffix"]: (r["cut"], r["add"]) for r in NLP.suffix_rules(S.inflections(spark)).collect()}
+    assert rules["ing"] == (3, "") and rules["ies"] == (3, "y") and rules["ied"] == (3, "y")
+    df = spark.createDataFrame([(1, "He jumped, hurries, and wrapping berries; was bringing this king."), (2, None), (3, "")],
+                               "id long, text string")
+    got = {r["id"]: r["lemmas"] for r in NLP.learned_lemmas(df, "id", "text", S.inflections(spark)).collect()}
+    assert got[1] == ["he", "jump", "hurry", "and", "wrapp", "berry", "was", "bring", "this", "king"]
+    assert got[2] is None and got[3] == []
+
+
+def test_longest_suffix_and_exact_pairs_win(spark):
+    pairs = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("wishes", "wish"), ("dishes", "dish"), ("news", "news"),
+                                   (None, "x"), ("x", None)], "token string, lemma string")
+    df = spark.createDataFrame([(1, "birds fishes news cats xs")], "id long, text string")
+    assert NLP.learned_lemmas(df, "id", "text", pairs).first()["lemmas"] == ["bird", "fish", "news", "cat", "xs"]
+    none = pairs.limit(0)
+    assert NLP.learned_lemmas(df, "id", "text", none).first()["lemmas"] == ["birds", "fishes", "news", "cats", "xs"]
+
+
+def test_sentences_by_corpus_counts(spark):
+    texts = ["Dr. Smith saw 3.5 cats. They ran... and hid. J. Doe left!  Then, e.g. at noon, it rained. Was it? Yes.",
+             "We met Dr. Jones, e.g. today. The end", "Ask Dr. No. One. Two.", "The cats ran. A dog hid. The end came.",
+             "He saw dr. who. It was etc. and so on, e.g. this.", None, "", "no end", "  spaced .  out. "]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[1])], "id long, text string")
+    got = {}
+    for r in NLP.counted_sentences(df, "id", "text").orderBy("id", "sent_no").collect():
+        got.setdefault(r["id"], []).append(r["sentence"])
+    assert got[0] == ["Dr. Smith saw 3.5 cats.", "They ran... and hid.", "J. Doe left!", "Then, e.g. at noon, it rained.",
+                      "Was it?", "Yes."]
+    assert got[1] == got[99] == ["We met Dr. Jones, e.g. today.", "The end"]
+    assert got[2][0].startswith("Ask Dr. No.") and got[3] == ["The cats ran.", "A dog hid.", "The end came."]
+    assert 5 not in got and got[6] == [""] and got[7] == ["no end"] and got[8] == ["  spaced .", "out."]
