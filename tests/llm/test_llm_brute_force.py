@@ -415,6 +415,106 @@ def test_language(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
+def test_language_features_by_hand():
+    from parlance.llm import langid as G
+    p = G.LangParams(buckets=64)
+    data = "Äb cab".lower().encode()
+    want = Counter()
+    for n in p.orders:
+        for i in range(len(data) - n + 1):
+            h = n
+            for b in data[i:i + n]:
+                h = (h * 0x01000193 + b) % (1 << 32)
+            want[(h * 0x9E3779B1) % (1 << 32) >> 26] += 1
+    at, share = G.features("Äb cab", p)
+    total = sum(want.values())
+    assert dict(zip(at.tolist(), (share * total).round().astype(int).tolist(), strict=True)) == dict(want)
+    long = "".join(chr(97 + i * i % 26) for i in range(600_000))  # cut in pieces: no n-gram lost or counted twice
+    assert sum(len(h) for h in G.ngram_buckets(long, p)) == sum(len(long) - n + 1 for n in p.orders)
+
+
+def test_language_training_against_dense_steps():
+    """The same steps on dense matrices, with the gradient found by differences."""
+    from parlance.llm import langid as G
+    p = G.LangParams(buckets=8, dim=3, epochs=2, rate=0.5)
+    rng = np.random.default_rng(0)
+    sample = [("ab"[i % 2], np.sort(rng.choice(8, 3, False)).astype("i4"), np.array([0.5, 0.25, 0.25], "f4")) for i in range(15)]
+    got = G.train(sample, p)
+    rng = np.random.default_rng(p.seed)
+    order = rng.permutation(15)
+    learn = order[3:]
+    embed, to_lang, bias = rng.normal(0, 1 / 3, (8, 3)), np.zeros((3, 2)), np.zeros(2)
+
+    def loss(e, m, b, x, y):
+        z = x @ e @ m + b
+        return -(z[y] - np.log(np.exp(z).sum()))
+
+    steps = 0
+    for _ in range(2):
+        for i in rng.permutation(learn):
+            lang, at, share = sample[i]
+            x = np.zeros(8)
+            x[at] = share
+            rate = 0.5 * (1 - steps / (2 * len(learn)))
+            steps += 1
+            slopes = []
+            for which in range(3):
+                parts = [embed, to_lang, bias]
+                slope = np.zeros_like(parts[which])
+                for k in np.ndindex(slope.shape):
+                    for sign in (1, -1):
+                        moved = [q.copy() for q in parts]
+                        moved[which][k] += sign * 1e-5
+                        slope[k] += sign * loss(*moved, x, "ab".index(lang)) / 2e-5
+                slopes.append(slope)
+            embed -= rate * len(at) ** 0.5 * slopes[0]  # embeddings' steps grow with the number of features
+            to_lang -= rate * slopes[1]
+            bias -= rate * slopes[2]
+    assert np.abs(got.table - embed @ to_lang).max() < 1e-4 and np.abs(got.bias - bias).max() < 1e-5
+
+
+def test_trees_against_all_splits():
+    """A stump is the best of all splits between the bins; boosting lowers the loss from tree to tree."""
+    from parlance.llm import toxicity as X
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 3)).round(1)
+    y = ((x[:, 1] + 0.3 * rng.normal(size=80)) > 0.2).astype(float)
+    p = X.ToxicityParams(trees=1, depth=1, bins=8, min_leaf=3)
+    base, ((((feature, threshold),), leaves),) = X.fit_trees(x, y, p)
+    prob = y.mean()
+    grad, hess = y - prob, np.full(80, prob * (1 - prob))
+    best = (0, None)
+    for f in range(3):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])):
+            left = x[:, f] <= cut
+            if 3 <= left.sum() <= 77:
+                gain = sum(grad[s].sum() ** 2 / (hess[s].sum() + 1) for s in (left, ~left))
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, cut, left))
+    f, cut, left = best[1]
+    assert (feature[0], threshold[0]) == (f, cut) and math.isclose(base, math.log(prob / (1 - prob)))
+    for leaf, s in zip(leaves, (left, ~left), strict=True):
+        assert math.isclose(leaf, p.rate * grad[s].sum() / (hess[s].sum() + 1))
+
+    def loss(n):
+        z = X.tree_scores(x, X.fit_trees(x, y, X.ToxicityParams(trees=n, depth=2, bins=8, min_leaf=3)))
+        return (np.logaddexp(0, z) - y * z).sum()
+
+    losses = [loss(n) for n in (1, 5, 20)]
+    assert losses == sorted(losses, reverse=True)
+
+
+def test_isotonic_against_the_minimax_form():
+    from parlance.llm import toxicity as X
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30):
+        score, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+        knots, values = X.fit_isotonic(score, y)
+        mean = lambda a, b: y[(score >= a) & (score <= b)].mean()
+        want = [max(min(mean(a, b) for b in knots if b >= k) for a in knots if a <= k) for k in knots]
+        assert np.allclose(values, want) and (np.diff(values) >= -1e-12).all()
+
+
 def test_toxicity(spark):
     sf_dir = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
