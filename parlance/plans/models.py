@@ -38,8 +38,9 @@ from parlance.operators import store as ST
 from parlance.operators import train as TR
 from parlance.operators.features import DOMAIN_FEATURES, INTENT_FEATURES
 from parlance.plans import sources as S
-from parlance.plans.jobs import _INTENT_ROWS, job
+from parlance.plans.jobs import _INTENT_ROWS, _TURNS, job
 from parlance.session import scratch_path
+from parlance.sources import files as FL
 from parlance.sources import lines as L
 from parlance.sources import tables as TB
 
@@ -898,3 +899,36 @@ def q_stream_context(spark, sf):
     out = stream_context(spark, sf, stream_folder(spark, sf, "context"))
     return out.select("conv_id", "turn", F.col("task").alias("role"), "previousTask", F.col("prior")[0].alias("prior_nba"),
                       F.col("prior")[1].alias("prior_weather"))
+
+
+# ---------------------------------------------------------------- files of the reference's formats
+def written(spark, sf, name: str, write) -> str:
+    """Folder of files in one of the reference's formats, derived from the tables and kept per state of them."""
+    root = scratch_path(spark, "files", table_state(spark, sf), name, unique=False)
+    return ST.current(spark, root) or ST.publish(spark, root, write)
+
+
+@job("q_turn_file", f"SELECT utterance, previousTask, strLabel, domain, true AS numbered FROM ({_TURNS})")
+def q_turn_file(spark, sf):
+    """The dialogue file as text lines, scanned and parsed; numbered: line numbers are 0, 1, ... without gaps."""
+    lines = TB.turn_lines(TB.read_table(spark, sf, "conversations")).select("value")
+    rows = FL.read_turns(spark, written(spark, sf, "turns", lambda folder: lines.write.text(folder)), min_fields=3)
+    seen = rows.agg((F.min("line_id") == 0) & (F.max("line_id") == F.count("*") - 1)
+                    & (F.sum("line_id") == F.count("*") * (F.count("*") - 1) / 2)).scalar()
+    return rows.select("utterance", "previousTask", "strLabel", "domain", seen.alias("numbered"))
+
+
+@job("q_numeric_csv", """
+SELECT CAST(label AS DOUBLE) AS label, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+  round(CAST(embedding[-1] AS DOUBLE), 6) AS last_value FROM embeddings""")
+def q_numeric_csv(spark, sf):
+    """The embeddings as a comma file of numbers, the label last, read as vectors."""
+    rows = TB.read_table(spark, sf, "embeddings")
+    width = rows.select(F.size("embedding")).first()
+    columns = (width[0] if width else 0) + 1
+    line = F.concat_ws(",", F.transform("embedding", lambda x: x.cast("double").cast("string")), F.col("label").cast("string"))
+    folder = written(spark, sf, "embeddings", lambda f: rows.select(line.alias("value")).write.text(f))
+    x = vector_to_array("features")
+    return FL.read_labelled_csv(spark, folder, columns, columns - 1).select(
+        "label", F.size(x).cast("long").alias("width"), F.round(x[0], 6).alias("first_value"),
+        F.round(F.element_at(x, -1), 6).alias("last_value"))

@@ -18,7 +18,7 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "parlance", max_partition_bytes: str = "64m",
-                scan_partitions: int | None = None) -> SparkSession:
+                scan_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session for the jobs.
 
     ``shuffle_partitions`` is the starting point AQE coalesces from; size it
@@ -27,6 +27,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     (``max_partition_bytes``), spreading a large text scan over more tasks.
     ``scan_partitions`` deals scanned rows over so many partitions: for inputs
     of one row group, which cannot be split; leave it unset on real tables.
+    ``driver_memory`` is for a local master, where the driver does all the
+    work; otherwise the cluster's setting holds.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -42,8 +44,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
     )
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if scan_partitions:
         builder = builder.config("spark.parlance.scanPartitions", str(scan_partitions))
     spark = builder.getOrCreate()

@@ -14,6 +14,6 @@ SF0001 = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from parlance.session import get_session
-    s = get_session("local[8]", shuffle_partitions=8, scan_partitions=8)
+    s = get_session("local[8]", shuffle_partitions=8, scan_partitions=8, driver_memory="12g")
     yield s
     s.stop()

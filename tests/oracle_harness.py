@@ -73,7 +73,7 @@ if __name__ == "__main__":
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:]
-    spark = get_session("local[8]", scan_partitions=8)
+    spark = get_session("local[8]", scan_partitions=8, driver_memory="12g")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     for n in names or sorted(sqls):
