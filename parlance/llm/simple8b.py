@@ -237,7 +237,7 @@ class LibraryIds(dict):
     """Ids by chunk from the tokenizers library (little-endian unsigned 32-bit), two bounded generations."""
 
     def __init__(self, tokenizer_json: str, pattern: str, limit: int = 500_000, longest: int = 64):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         loaded = json.loads(tokenizer_json)
@@ -246,17 +246,29 @@ class LibraryIds(dict):
         self.lines = Tokenizer.from_str(json.dumps({**loaded, "added_tokens": []}))
         (self.feed,) = self.lines.encode("\n", add_special_tokens=False).ids
         self.pattern, self.limit, self.longest, self.old = regex.compile(pattern), limit, longest, {}
+        # marks that are a pre-token of their own after a letter, with their ids
+        self.tails = {x: array("I", self.lines.encode(x, add_special_tokens=False).ids).tobytes()
+                      for x in ".,;:!?" if self.pattern.findall(f" a{x}") == [" a", x]}
 
     def learn(self, new: list[str]) -> None:
         """Ids of new chunks.
 
         They go to the library many at a time, as lines of one text: a line
         feed before another character is a pre-token of its own, so the ids are
-        cut at the line feeds.  Chunks with other white space go alone.
+        cut at the line feeds.  Chunks with other white space go alone.  A word
+        with a mark after it is the word's ids and the mark's.
         """
-        lines, alone = [], []
+        lines, alone, marked = {}, [], []
         for c in new:
-            (alone if "\n" in c or c[-1:].isspace() else lines).append(c)
+            if c[-1] in self.tails and c[-2:-1].isalpha() and c[-2] < "\u0250":  # letters in every Unicode version
+                marked.append(c)
+                if c[:-1] not in self:
+                    lines[c[:-1]] = None
+            elif "\n" in c or c[-1].isspace():
+                alone.append(c)
+            else:
+                lines[c] = None
+        lines = list(lines)
         for at in range(0, len(lines), LINES):
             part = lines[at:at + LINES]
             ids = np.array(self.lines.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -266,6 +278,8 @@ class LibraryIds(dict):
                 begun = e + 1
         for c in alone:
             self[c] = array("I", self.lines.encode(c, add_special_tokens=False).ids).tobytes()
+        for c in marked:
+            self[c] = self[c[:-1]] + self.tails[c[-1]]
 
     def ids_of(self, chunks_: list[str]) -> list[bytes]:
         """Ids of distinct chunks; each is looked up once, and those that are missing, and only they, are learned."""
@@ -285,6 +299,7 @@ class LibraryIds(dict):
         for c in unknown:
             if len(c) > self.longest:
                 del self[c]
+                self.pop(c[:-1], None)
         return out
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
