@@ -227,10 +227,6 @@ class Pass:
         return first[:k], cells.T, first[k:]
 
 
-    def positives(self) -> np.ndarray:
-        """Rows of each model's label."""
-        return self.moments()[1]
-
     def softmax_gradient(self, coefficients: np.ndarray, intercepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the summed log loss of one model whose classes are the keys' labels."""
         k, keys = self.k, self.keys
@@ -375,7 +371,7 @@ def softmax_residual(rows: DataFrame, labels: Sequence[str], coefficients: np.nd
                      reg: float) -> float:
     """``residuals`` of one model of several classes (rows of ``coefficients``), over all of its coefficients."""
     over = Pass(rows, Keys(tuple(labels), (None,) * len(labels)), coefficients.shape[1])
-    n, _, deviation = over.moments()
+    n, positives, deviation = over.moments()
     total, deviation = max(n[0], 1), deviation[0]
     scale = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
 
@@ -384,7 +380,7 @@ def softmax_residual(rows: DataFrame, labels: Sequence[str], coefficients: np.nd
         g = by_weight / total * scale + reg * w * deviation
         return float(np.sqrt((g ** 2).sum() + ((by_intercept / total) ** 2).sum()))
 
-    share = np.log(np.maximum(over.positives(), 1e-300) / total)
+    share = np.log(np.maximum(positives, 1e-300) / total)
     stray = float(np.abs(np.where(deviation > 0, 0, coefficients)).sum())
     return length(coefficients, intercepts) / max(length(np.zeros_like(coefficients), share), 1e-300) + stray
 

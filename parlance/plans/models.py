@@ -23,14 +23,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions import text as T
 from parlance.operators import context as CX
 from parlance.operators import evaluate as EV
 from parlance.operators import features as FE
 from parlance.operators import forest as FO
 from parlance.operators import labels as LB
 from parlance.operators import linear as LN
-from parlance.operators import output as OUT
 from parlance.operators import scoring as SC
 from parlance.operators import slots as SL
 from parlance.operators import split as SP
