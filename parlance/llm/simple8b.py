@@ -48,7 +48,6 @@ PACKS = ((0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
 BLOCK = 1024  # ids per block
 GROUP = 512  # blocks coded at once
 LINES = 500  # chunks given to the library as one text
-_MARK = "\0"
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,29 +245,17 @@ class LibraryIds(dict):
         self.lines = Tokenizer.from_str(json.dumps({**loaded, "added_tokens": []}))
         (self.feed,) = self.lines.encode("\n", add_special_tokens=False).ids
         self.pattern, self.limit, self.longest, self.old = regex.compile(pattern), limit, longest, {}
-        # marks that are a pre-token of their own after a letter, with their ids
-        self.tails = {x: array("I", self.lines.encode(x, add_special_tokens=False).ids).tobytes()
-                      for x in ".,;:!?" if self.pattern.findall(f" a{x}") == [" a", x]}
 
     def learn(self, new: list[str]) -> None:
         """Ids of new chunks.
 
         They go to the library many at a time, as lines of one text: a line
         feed before another character is a pre-token of its own, so the ids are
-        cut at the line feeds.  Chunks with other white space go alone.  A word
-        with a mark after it is the word's ids and the mark's.
+        cut at the line feeds.  Chunks with other white space go alone.
         """
-        lines, alone, marked = {}, [], []
+        lines, alone = [], []
         for c in new:
-            if c[-1] in self.tails and c[-2:-1].isalpha() and c[-2] < "\u0250":  # letters in every Unicode version
-                marked.append(c)
-                if c[:-1] not in self:
-                    lines[c[:-1]] = None
-            elif "\n" in c or c[-1].isspace():
-                alone.append(c)
-            else:
-                lines[c] = None
-        lines = list(lines)
+            (alone if "\n" in c or c[-1:].isspace() else lines).append(c)
         for at in range(0, len(lines), LINES):
             part = lines[at:at + LINES]
             ids = np.array(self.lines.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -278,68 +265,47 @@ class LibraryIds(dict):
                 begun = e + 1
         for c in alone:
             self[c] = array("I", self.lines.encode(c, add_special_tokens=False).ids).tobytes()
-        for c in marked:
-            self[c] = self[c[:-1]] + self.tails[c[-1]]
 
-    def ids_of(self, chunks_: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; each is looked up once, and those that are missing, and only they, are learned."""
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each whole text and the end id.
+
+        A text with the string of an added token goes to the library whole,
+        which makes that token of it; all others are put together from chunks.
+        Each chunk is looked up once; those that are missing, and only they,
+        are learned together, and their texts joined then.
+        """
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        out = list(map(self.get, chunks_))
-        lost = [(k, chunks_[k]) for k, x in enumerate(out) if x is None]
+        out, waiting, missing = [], [], {}
+        for i, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes() + end)
+                continue
+            cut = chunks(t, self.pattern)
+            ids = list(map(self.get, cut))
+            if None in ids:
+                lost = [(k, cut[k]) for k, x in enumerate(ids) if x is None]
+                missing.update(dict.fromkeys([c for _, c in lost]))
+                waiting.append((i, ids, lost))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids) + end)
+        unknown = list(missing)
         if self.old:
-            for _, c in lost:
+            for c in unknown:
                 if c in self.old:
                     self[c] = self.old[c]
-        unknown = [c for _, c in lost if c not in self]
+            unknown = [c for c in unknown if c not in self]
         self.learn(unknown)
-        for k, c in lost:
-            out[k] = self[c]
+        for i, ids, lost in waiting:
+            for k, c in lost:
+                ids[k] = self[c]
+            out[i] = b"".join(ids) + end
         for c in unknown:
             if len(c) > self.longest:
                 del self[c]
-                self.pop(c[:-1], None)
-        return out
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Ids of each whole text and the end id.
-
-        A text with the string of an added token goes to the library whole,
-        which makes that token of it.  All others are cut into chunks, marked
-        by a character that they do not have; the chunks of all texts are one
-        array, whose distinct values are looked up, and the texts' ids are
-        gathered from theirs.
-        """
-        out, marked, counts, places = [b""] * len(texts), [], [], []
-        for i, t in enumerate(texts):
-            if _MARK in t or any(a in t for a in self.added):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end
-            elif not t:
-                out[i] = end
-            else:
-                marked.append(_MARK.join(chunks(t, self.pattern)))
-                counts.append(marked[-1].count(_MARK) + 1)
-                places.append(i)
-        if not marked:
-            return out
-        data = np.frombuffer(_MARK.join(marked).encode(), "u1")
-        marks = np.flatnonzero(data == 0)
-        data = data[data != 0]
-        offsets = np.concatenate([[0], marks - np.arange(len(marks)), [len(data)]]).astype("i4")
-        coded = pa.Array.from_buffers(pa.string(), len(marks) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]) \
-            .dictionary_encode()
-        own = self.ids_of(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, own), "i8", len(own)) // 4
-        begin = np.cumsum(length) - length
-        at = coded.indices.to_numpy()
-        run = length[at]
-        stops = np.cumsum(run)
-        ids = np.frombuffer(b"".join(own), "<u4")[np.arange(stops[-1]) + np.repeat(begin[at] - (stops - run), run)].tobytes()
-        last = 0
-        for i, stop in zip(places, (4 * stops[np.cumsum(counts) - 1]).tolist(), strict=True):
-            out[i] = ids[last:stop] + end
-            last = stop
         return out
 
 
