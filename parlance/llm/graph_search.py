@@ -8,7 +8,10 @@ nearer to it by the factor alpha (first pass 1, second pass relaxed), and
 reverse edges are added and pruned alike.  A query's beam search in each shard
 gives its nearest there; the few rows per query and shard are then ranked.
 
-Queries come in blocks, so a task holds one shard's graph and one block.
+A shard's rows and, after them, all queries go to one task, which builds the
+graph and searches it block by block of queries, so it holds one shard's graph
+and one block.  Shards hold at most 16,384 rows: a beam search costs nearly the
+same in a large graph as in a small one, so fewer shards are fewer searches.
 Scores are recomputed in double precision from the original vectors.
 
 Cases: rows with a null id, and vectors that are null, empty, all zero, or
@@ -27,8 +30,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import stored
@@ -38,10 +41,12 @@ from parlance.llm.common import stored
 class GraphParams:
     degree: int = 24
     build_beam: int = 48
-    search_beam: int = 96
+    search_beam: int = 128
     alpha: float = 1.2
     batch: int = 256
-    shard_rows: int = 4096
+    shard_rows: int = 16384
+    least_rows: int = 4096
+    spread: int = 16
     query_block: int = 512
 
 
@@ -164,43 +169,42 @@ def build_graph(x: np.ndarray, p: GraphParams, seed: int = 0) -> tuple[np.ndarra
     return graph, entry
 
 
-INDEX = "shard int, dim int, ids binary, nodes binary, vectors binary, graph binary, entry int"
+@dataclass(frozen=True)
+class Shard:
+    """The index of one shard: distinct vectors with their graph, and the ids at each node."""
+
+    vectors: np.ndarray  # (nodes, components), double
+    graph: np.ndarray
+    entry: int
+    ids: np.ndarray  # ids by node, ascending within a node
+    begin: np.ndarray  # each node's first place in ``ids``
 
 
-def build_shard(rows: pd.DataFrame, p: GraphParams) -> pd.DataFrame:
-    """The index row of one shard: ids with their nodes, the nodes' vectors and graph."""
-    x = np.array(rows["embedding"].tolist(), "f8")
-    distinct, node = np.unique(x, axis=0, return_inverse=True)
-    rows = rows.assign(node=node.ravel()).drop_duplicates(["vec_id", "node"]).sort_values(["vec_id", "node"])
-    node = rows["node"].to_numpy()
+def build_shard(ids: np.ndarray, vectors: np.ndarray, p: GraphParams) -> Shard:
+    """The index of a shard's rows; repeated rows are one."""
+    distinct, node = np.unique(vectors, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([node.ravel().astype("i8"), ids], 1), axis=0)
     graph, entry = build_graph(distinct, p)
-    return pd.DataFrame([{
-        "shard": rows["shard"].iloc[0], "dim": x.shape[1], "ids": rows["vec_id"].to_numpy("i8").tobytes(),
-        "nodes": node.ravel().astype("i4").tobytes(), "vectors": distinct.tobytes(),
-        "graph": graph.astype("i4").tobytes(), "entry": entry}])
-
-
-def search_shard(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, p: GraphParams) -> pd.DataFrame:
-    """Each query's k nearest of the shard, by exact distance, ties by id, itself left out."""
-    ids, nodes = np.frombuffer(row["ids"], "i8"), np.frombuffer(row["nodes"], "i4")
-    vectors = np.frombuffer(row["vectors"], "f8").reshape(-1, row["dim"])
-    graph = np.frombuffer(row["graph"], "i4").reshape(len(vectors), -1)
-    x = vectors.astype("f4")
-    met, _ = beam_search(x, (x * x).sum(1), graph, row["entry"], queries.astype("f4"), max(p.search_beam, 2 * k))
-    by_node = np.argsort(nodes, kind="stable")  # ids ascending within a node
-    begin = np.searchsorted(nodes[by_node], np.arange(len(vectors) + 1))
+    return Shard(distinct, graph, entry, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)))
+
+
+def search_shard(of: Shard, query_ids: np.ndarray, queries: np.ndarray, k: int,
+                 p: GraphParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, vec ids, scores): each query's k nearest of the shard, by exact distance, ties by id, itself left out."""
+    x = of.vectors.astype("f4")
+    met, _ = beam_search(x, (x * x).sum(1), of.graph, of.entry, queries.astype("f4"), max(p.search_beam, 2 * k))
     out = []
     for i, q in enumerate(queries):
         found = met[i][met[i] >= 0]
-        score = np.sqrt(((vectors[found] - q) ** 2).sum(1))
-        places = [by_node[begin[f]:min(begin[f + 1], begin[f] + k + 1)] for f in found]
-        cand = ids[np.concatenate(places)]
+        score = np.sqrt(((of.vectors[found] - q) ** 2).sum(1))
+        places = [np.arange(of.begin[f], min(of.begin[f + 1], of.begin[f] + k + 1)) for f in found]
+        cand = of.ids[np.concatenate(places)]
         scores = np.repeat(score, [len(x) for x in places])
         on = cand != query_ids[i]
         cand, scores = cand[on], scores[on]
         best = np.lexsort((cand, scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": cand[best], "score": scores[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append((np.full(len(best), query_ids[i]), cand[best], scores[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
@@ -213,37 +217,53 @@ def valid_vectors(df: DataFrame) -> DataFrame:
         .where("_fine").drop("_fine")
 
 
+def _shards(n: Column, p: GraphParams) -> Column:
+    """Shards of a length's ``n`` rows: of at most ``shard_rows``, and of fewer where that gives fewer than ``spread`` shards."""
+    few = F.least(F.lit(p.spread), F.ceil(n / p.least_rows))
+    return F.greatest(F.lit(1), F.ceil(n / p.shard_rows), few).cast("int")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: GraphParams = GraphParams()) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest among ``vectors`` (both vec_id, embedding)."""
+    """query_id, rank, vec_id, score of each query's k nearest among ``vectors`` (both vec_id, embedding).
+
+    A shard is a partition: its rows come first, then the queries of its length, one after the other.  A task so
+    builds its graph once and holds it, one block of queries and nothing else; no graph is written, shuffled or copied.
+    """
     sizes = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    shards = sizes.select("dim", F.greatest(F.lit(1), F.ceil(F.col("n") / p.shard_rows)).cast("int").alias("shards"))
+    shards = sizes.select("dim", _shards(F.col("n"), p).alias("shards"))
     first = F.sum("shards").over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1))  # a row per length
     shards = stored(shards.select("dim", "shards", F.coalesce(first, F.lit(0)).cast("int").alias("first")), "dims")
-    sized = vectors.withColumn("dim", F.size("embedding")).join(F.broadcast(shards), "dim")  # a row per length
-    dealt = sized.select("vec_id", "embedding", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-                         .cast("int").alias("shard"))
-    total = shards.agg(F.sum("shards")).first()[0] or 0
-    index = stored(dealt.repartition(max(total, 1), "shard").groupBy("shard").applyInPandas(
-        lambda rows: build_shard(rows, p), INDEX), "index")
+    total = shards.agg(F.sum("shards")).first()[0] or 1
 
+    sized = vectors.withColumn("dim", F.size("embedding")).join(F.broadcast(shards), "dim")  # a row per length
+    dealt = sized.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards"))).cast("int").alias("shard"),
+                         F.lit(False).alias("asks"), "vec_id", "embedding")
     asked = (queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-             .withColumn("dim", F.size("embedding")))
-    per_dim = asked.groupBy("dim").agg(F.ceil(F.count("*") / p.query_block).cast("int").alias("blocks"))
-    blocks = (asked.join(F.broadcast(per_dim), "dim").join(F.broadcast(shards), "dim")
-              .groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "first", "shards")
-              .agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries")))
-    pairs = (blocks.withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)))
-             .select("shard", "queries").join(index, "shard"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                ids = np.array([q["vec_id"] for q in row["queries"]], "i8")
-                x = np.array([q["embedding"] for q in row["queries"]], "f8")
-                yield search_shard(row, ids, x, k, p)
-
-    found = (pairs.repartition(max(total, 1), "shard")
-             .mapInPandas(run, "query_id long, vec_id long, score double"))
+             .withColumn("dim", F.size("embedding")).join(F.broadcast(shards), "dim"))
+    every = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard")
+    asked = asked.select(every, F.lit(True).alias("asks"), "vec_id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, index = None, [], None
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+                if of[part[0]] != now:
+                    now, rows, index = of[part[0]], [], None
+                cut = batch.slice(part[0], len(part))
+                asks = cut.column(1).to_numpy(zero_copy_only=False)
+                ids, x = cut.column(2).to_numpy(), cut.column(3).flatten().to_numpy().reshape(len(part), -1)
+                if not asks.all():
+                    rows.append((ids[~asks], x[~asks]))
+                ids, x = ids[asks], x[asks]
+                for at in range(0, len(ids) if rows else 0, p.query_block):
+                    if index is None:  # the shard's rows are all there, as they come before the queries
+                        index = build_shard(*(np.concatenate(c) for c in zip(*rows, strict=True)), p)
+                    found = search_shard(index, ids[at:at + p.query_block], x[at:at + p.query_block], k, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    found = (dealt.unionByName(asked).repartitionById(total, "shard").sortWithinPartitions("shard", "asks")
+             .select("shard", "asks", "vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
     ranked = found.withColumn("rank", F.row_number().over(
         Window.partitionBy("query_id").orderBy("score", "vec_id")))  # k rows per shard
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -347,6 +347,26 @@ def test_neighbours_over_several_shards(spark, tables):
     assert len(got) == 56 and hits >= 0.9 * total
 
 
+def test_neighbours_copy_no_index_for_the_queries(spark, tables, monkeypatch):
+    """Any number of queries: each shard is built once and no graph is stored or shuffled."""
+    from parlance.llm import graph_search as G
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=8)], 0) for i in range(900)]
+    df = G.valid_vectors(spark.read.parquet(tables(vectors=vectors) + "/embeddings.parquet"))
+    names = []
+    monkeypatch.setattr(G, "stored", lambda d, name, f=G.stored: names.append(name) or f(d, name))
+    out = G.nearest(df, df, 5, G.GraphParams(shard_rows=300, query_block=64))
+    assert "binary" not in str(out._jdf.queryExecution().analyzed().toString()).lower() and names == ["dims"]
+    got = {(r["query_id"], r["rank"]): (round(r["score"], 9), r["vec_id"]) for r in out.collect()}
+    x = np.array([v for _, v, _ in vectors], "f4").astype("f8")
+    want = {}
+    for q in range(900):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = sorted((round(float(d[i]), 9), i) for i in range(900) if i != q)[:5]
+        want |= {(q, r + 1): b for r, b in enumerate(best)}
+    assert got.keys() == want.keys() and sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+
+
 def test_neighbours_with_a_shared_id(spark, tables):
     rows = [(0, [0.0, 1.0], 0), (7, [0.0, 5.0], 0), (7, [0.0, 1.1], 0), (7, [0.0, 1.1], 0), (8, [3.0, 1.0], 0)]
     got = run(spark, "op6_graph_neighbours", tables(vectors=rows))
