@@ -52,6 +52,20 @@ def test_groups_and_negatives_equal_filtered_single_fits(spark):
         assert np.abs(models.coefficients[i] - w).max() < 1e-6 and abs(models.intercepts[i] - b) < 1e-6
 
 
+def test_vectors_are_converted_once_for_all_passes(spark, monkeypatch):
+    """Passes read packed blocks: far fewer rows than there are training rows, and the same sums."""
+    rows, keys = toy(spark), LN.Keys(("a", "b"), ("x", "y"), "Other")
+    calls = []
+    monkeypatch.setattr(LN, "pack", lambda r, k, f=LN.pack: calls.append(f(r, k)) or calls[-1])
+    models, scans = LN.fit(rows, keys, 30, REG)
+    assert len(calls) == 1 and scans > 3
+    blocks = calls[0].blocks.collect()
+    assert len(blocks) <= 4 and sum(b["n"] for b in blocks) == rows.count()
+    n = LN.Pass(calls[0], keys, 30).moments()[0]
+    assert n.tolist() == [rows.where(f"group = '{g}' and label in ('{k}', 'Other')").count()
+                          for k, g in zip(keys.labels, keys.groups, strict=True)]
+
+
 def test_scans_do_not_grow_with_the_models(spark):
     rows = toy(spark)
     one = LN.fit(rows, LN.Keys(("a",), (None,)), 30, REG)[1]
