@@ -33,6 +33,11 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .filter(F.col("sentence").isNotNull()))
 
 
+def _words(c: str) -> Column:
+    """The words of a string that has one space between two."""
+    return F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+
+
 def lemmas(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
            token_col: str = "token", lemma_col: str = "lemma", bits: int = BITS) -> DataFrame:
     """{id, lemmas}: word tokens of the text in order, each replaced by its lemma.
@@ -41,19 +46,24 @@ def lemmas(df: DataFrame, id_col: str, text_col: str, lemma_dict: DataFrame,
     least lemma.  Works on distinct texts, so repeated rows keep their own
     result; a null text gives null, a text without words an empty list.  Only
     tokens that the dictionary may have leave their row, and those that stand
-    in very many places are joined by broadcast.
+    in very many places are joined by broadcast.  Texts are written and
+    shuffled as their words in one string: an array takes several times that.
     """
     rows = df.select(id_col, F.col(text_col).alias("_text"), F.sha2(F.col(text_col), 256).alias("_key"))
     texts = (rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first("_text").alias("_text"), F.count("*").alias("_rows"))
-             .select("_key", T.word_tokens("_text").alias("_t"), "_rows")).checkpoint()
+             .select("_key", F.array_join(T.word_tokens("_text"), " ").alias("_words"), "_rows")).checkpoint()
+    cut = texts.select("_key", _words("_words").alias("_t"))
     known = lemma_dict.groupBy(F.col(token_col).alias("token")).agg(F.min(lemma_col).alias("lemma"))
-    counts = marked_places(texts, known.select("token"), bits).groupBy("token").agg(F.count("*").alias("n"))
+    counts = marked_places(cut, known.select("token"), bits).groupBy("token").agg(F.count("*").alias("n"))
     used = known.join(counts, "token").checkpoint()  # the dictionary's rows that the texts need
-    places = marked_places(texts, used.select("token"), bits, "_key")
-    total = used.agg(F.sum("n")).first()[0] or 0
-    found = join_hot(places, used, "token", "n", total, how="inner").groupBy("_key").agg(
+    places = marked_places(cut, used.select("token"), bits, "_key")
+    if few(used):  # no place is shuffled then
+        hits = places.join(F.broadcast(used.drop("n")), "token")
+    else:
+        hits = join_hot(places, used, "token", "n", used.agg(F.sum("n")).first()[0] or 0, how="inner")
+    found = hits.groupBy("_key").agg(
         F.sort_array(F.collect_list(F.struct("j", "lemma"))).alias("_m"))
-    j = texts.join(found, "_key", "left")
+    j = texts.join(found, "_key", "left").withColumn("_t", _words("_words"))
     tok, m = F.col("_t"), F.col("_m")
     before = F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["j"]))
     pieces = F.zip_with(m, F.slice(before, 1, F.size(m)), lambda x, b: F.concat(

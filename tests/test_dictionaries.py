@@ -123,3 +123,25 @@ def test_sentences_by_corpus_counts(spark):
     assert got[1] == got[99] == ["We met Dr. Jones, e.g. today.", "The end"]
     assert got[2][0].startswith("Ask Dr. No.") and got[3] == ["The cats ran.", "A dog hid.", "The end came."]
     assert 5 not in got and got[6] == [""] and got[7] == ["no end"] and got[8] == ["  spaced .", "out."]
+
+
+def test_lemmas_of_a_large_dictionary_equal_those_of_a_small_one(spark, monkeypatch):
+    """Broadcast or joined by key, the same rows; texts without words, null and repeated ones keep theirs."""
+    rows = [(1, "Was it? It WAS."), (2, ""), (3, None), (4, "... !"), (5, "Été  était\nwas"), (6, "Was it? It WAS."), (7, "none here")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    lem = spark.createDataFrame([("was", "be"), ("était", "être"), ("it", "a b"), ("none", None)], "token string, lemma string")
+    want = [(1, ["be", "a b", "a b", "be"]), (2, []), (3, None), (4, []), (5, ["été", "être", "be"]),
+            (6, ["be", "a b", "a b", "be"]), (7, [None, "here"])]
+    for limit in (NLP.FEW, 0):
+        monkeypatch.setattr(NLP, "few", lambda table, most=limit: table.limit(most + 1).count() <= most)
+        got = NLP.lemmas(df, "id", "t", lem)
+        assert sorted((r["id"], r["lemmas"]) for r in got.collect()) == want
+
+
+def test_texts_of_lemmas_are_written_as_strings(spark, monkeypatch):
+    """What is written and shuffled of a text is one string, not an array of its words."""
+    from parlance.plans import sources as S
+    kept, real = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda d, *a: kept.append(d.schema) or real(d, *a))
+    NLP.lemmas(spark.createDataFrame([(1, "it was")], "id int, t string"), "id", "t", S.lemma_dictionary(spark)).collect()
+    assert kept and not any("array" in f.dataType.simpleString() for schema in kept for f in schema)
