@@ -145,3 +145,15 @@ def test_texts_of_lemmas_are_written_as_strings(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda d, *a: kept.append(d.schema) or real(d, *a))
     NLP.lemmas(spark.createDataFrame([(1, "it was")], "id int, t string"), "id", "t", S.lemma_dictionary(spark)).collect()
     assert kept and not any("array" in f.dataType.simpleString() for schema in kept for f in schema)
+
+
+def test_marked_places_are_a_compiled_filter(spark):
+    """No lambda runs token by token; places are right for few bits too, and a text without tokens has none."""
+    texts = spark.createDataFrame([("k", ["a", " ", "b", "a", "é"]), ("n", []), ("m", None)], "_key string, _t array<string>")
+    tokens = spark.createDataFrame([("a",), ("é",)], "token string")
+    got = SL.marked_places(texts, tokens, 1 << 20, "_key")
+    assert got.columns == ["_key", "j", "token"]
+    assert sorted(map(tuple, got.collect())) == [("k", 1, "a"), ("k", 4, "a"), ("k", 5, "é")]
+    few = {tuple(r) for r in SL.marked_places(texts, tokens, 64, "_key").collect()}
+    assert {("k", 1, "a"), ("k", 4, "a"), ("k", 5, "é")} <= few <= {("k", i + 1, t) for i, t in enumerate(["a", " ", "b", "a", "é"])}
+    assert "filter(transform(_t" not in got._jdf.queryExecution().optimizedPlan().toString()
