@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 # White space other than blank and line feed, and the mark that parts are cut at.
 _ODD_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f\0"
-_WIDE_BLANKS = ("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029"
-                "\u202f\u205f\u3000")
+WIDE_BLANKS = ("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029"
+               "\u202f\u205f\u3000")
 _PAIRED = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -114,7 +114,7 @@ def chunks(text: str, pattern: regex.Pattern) -> list[str]:
         return []
     has = text.__contains__
     if (text[0].isspace() or text[-1].isspace() or any(map(has, _PAIRED)) or any(map(has, _ODD_BLANKS))
-            or not text.isascii() and any(map(has, _WIDE_BLANKS))):
+            or not text.isascii() and any(map(has, WIDE_BLANKS))):
         return pattern.findall(text)
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 

@@ -23,7 +23,9 @@ gives no files and no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import string
 import uuid
 import zlib
 from array import array
@@ -37,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.bpe import chunks
+from parlance.llm.bpe import WIDE_BLANKS, chunks
 from parlance.llm.common import stored
 from parlance.session import scratch_path
 
@@ -48,6 +50,19 @@ PACKS = ((0, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
 BLOCK = 1024  # ids per block
 GROUP = 512  # blocks coded at once
 LINES = 500  # chunks given to the library as one text
+WIDTHS = (1, 2, 4)  # 64-bit numbers of a word, by table
+MANY = 1 << 15  # words looked up at once
+PART = 1 << 20  # bytes of texts encoded at once, and what is left of the last text
+
+# Kinds of bytes (a lead byte of white space beyond ASCII is looked at closer), and that white space.
+_WHITE, _BLANK, _LETTER, _MARK, _OTHER, _ODD, _ASK = 0, 1, 2, 3, 4, 5, 6
+_KIND = np.full(256, _OTHER, "u1")
+for _bytes, _kind in ((b"\t\n\v\f\r", _WHITE), (b" ", _BLANK), (string.ascii_letters.encode(), _LETTER),
+                      (string.punctuation.encode(), _MARK), (b"\0\x1c\x1d\x1e\x1f", _ODD), (b"\xc2\xe1\xe2\xe3", _ASK)):
+    _KIND[list(_bytes)] = _kind
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in WIDE_BLANKS], "u4")
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")  # the first n bytes
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,10 +247,101 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, int]]:
             yield None if null else doc_id, length, crc
 
 
+class WordTable:
+    """A number above 0 by word of at most 8 * ``width`` bytes, for many words at once.
+
+    A word is ``width`` 64-bit numbers, its bytes with zeros after them (no
+    word has a zero byte), and is compared whole.  Open addressing; at least
+    half of the places are free.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.n = width, 0
+        self.rows = np.zeros((1 << 12, width + 1), "u8")  # the word, its number (0: free)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        mixed = words[:, 0] * _SPREAD
+        for k in range(1, self.width):
+            mixed = (mixed ^ mixed >> np.uint64(29) ^ words[:, k]) * _SPREAD
+        return (mixed >> np.uint64(65 - len(self.rows).bit_length())).astype("i8")
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The words' numbers, 0 for those that are missing."""
+        out, todo, at = np.zeros(len(words), "u8"), np.arange(len(words)), self.places(words)
+        while len(todo):
+            rows = self.rows.take(at, 0)
+            number = rows[:, -1]
+            same = rows[:, 0] == words[:, 0]
+            for k in range(1, self.width):
+                same &= rows[:, k] == words[:, k]
+            out[todo[same]] = number[same]
+            on = np.flatnonzero(~same & (number != 0))
+            todo, words, at = todo[on], words[on], at[on] + 1 & len(self.rows) - 1
+        return out
+
+    def add(self, words: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds different words, none of them in the table, with different numbers."""
+        size = len(self.rows)
+        while 2 * (self.n + len(words)) > size:
+            size *= 2
+        if size > len(self.rows):
+            old = self.rows[self.rows[:, -1] != 0]
+            self.n, self.rows = 0, np.zeros((size, self.width + 1), "u8")
+            self.add(old[:, :-1], old[:, -1])
+        self.n += len(words)
+        at = self.places(words)
+        while len(at):
+            free = self.rows[at, -1] == 0
+            self.rows[at[free], -1] = numbers[free]  # one of the words that want a place has it then
+            mine = self.rows[at, -1] == numbers
+            self.rows[at[mine], :-1] = words[mine]
+            words, numbers, at = words[~mine], numbers[~mine], at[~mine] + 1 & size - 1
+
+
+def cut_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks of texts begin that are tokenized independently of each other, and which texts cannot be cut so.
+
+    ``data`` has the texts' bytes (UTF-8), one after the other, between
+    ``offsets``, and at least 2 more.  A chunk begins with every text; where
+    white space begins; at the last character of white space before another
+    character, and behind it if it is no blank; and at an ASCII mark behind a
+    letter.  Texts with white space beyond ASCII, or with control characters
+    that may count as such, cannot be cut so.
+    """
+    end = int(offsets[-1])
+    kind = _KIND[data[:end]]
+    at = np.flatnonzero(kind >= _ODD)
+    code = data[at].astype("u4") << 16 | data[at + 1].astype("u4") << 8 | data[at + 2]
+    at = at[(kind[at] == _ODD) | np.isin(code, _WIDE) | np.isin(code & 0xFFFF00, _WIDE[_WIDE & 255 == 0])]
+    odd = np.zeros(len(offsets) - 1, bool)
+    odd[np.searchsorted(offsets, at, "right") - 1] = True
+    first = np.zeros(end + 1, bool)
+    first[offsets[:-1]] = True
+    first = first[:-1]  # without an empty text at the end
+    white = kind <= _BLANK
+    last = white[:-1] & ~white[1:] & ~first[1:]  # of white space before another character of the text
+    begins = first
+    begins[1:] |= white[1:] & ~white[:-1]
+    begins[1:] |= last & (kind[:-1] == _WHITE)
+    begins[:-1] |= last
+    at = np.flatnonzero(kind == _MARK)
+    at = at[at > 1]
+    one, two = data[at - 1], data[at - 2]
+    letter = (kind[at - 1] == _LETTER) | (two == 0xC3) & (one != 0x97) & (one != 0xB7)
+    begins[at[letter]] = True
+    return np.flatnonzero(begins), odd
+
+
 class LibraryIds(dict):
-    """Ids by chunk from the tokenizers library (little-endian unsigned 32-bit), two bounded generations."""
+    """Ids by chunk from the tokenizers library (little-endian unsigned 32-bit).
 
-    def __init__(self, tokenizer_json: str, pattern: str, limit: int = 500_000, longest: int = 64):
+    Chunks of up to 32 bytes of texts that are cut as arrays are in tables,
+    which are emptied together when they have ``words`` of them; all others
+    are keys, in two bounded generations.
+    """
+
+    def __init__(self, tokenizer_json: str, pattern: str, limit: int = 500_000, longest: int = 64,
+                 words: int = 1_000_000):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -245,67 +351,143 @@ class LibraryIds(dict):
         self.lines = Tokenizer.from_str(json.dumps({**loaded, "added_tokens": []}))
         (self.feed,) = self.lines.encode("\n", add_special_tokens=False).ids
         self.pattern, self.limit, self.longest, self.old = regex.compile(pattern), limit, longest, {}
+        self.words = words
+        self.forget()
+
+    def forget(self) -> None:
+        self.tables = [WordTable(w) for w in WIDTHS]
+        self.ids, self.used = np.zeros(1 << 12, "u4"), 0  # ids of the tables' words
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> list[bytes]:
         """Ids of new chunks.
 
         They go to the library many at a time, as lines of one text: a line
         feed before another character is a pre-token of its own, so the ids are
         cut at the line feeds.  Chunks with other white space go alone.
         """
-        lines, alone = [], []
-        for c in new:
-            (alone if "\n" in c or c[-1:].isspace() else lines).append(c)
+        out, lines = [b""] * len(new), []
+        for i, c in enumerate(new):
+            if "\n" in c or c[-1:].isspace():
+                out[i] = array("I", self.lines.encode(c, add_special_tokens=False).ids).tobytes()
+            else:
+                lines.append(i)
         for at in range(0, len(lines), LINES):
             part = lines[at:at + LINES]
-            ids = np.array(self.lines.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            text = "\n".join([new[i] for i in part])
+            ids = np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             data, begun = ids.tobytes(), 0
-            for c, e in zip(part, [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], strict=True):
-                self[c] = data[4 * begun:4 * e]
+            for i, e in zip(part, [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], strict=True):
+                out[i] = data[4 * begun:4 * e]
                 begun = e + 1
-        for c in alone:
-            self[c] = array("I", self.lines.encode(c, add_special_tokens=False).ids).tobytes()
+        return out
+
+    def of_chunks(self, cut: list[str]) -> list[bytes]:
+        """Ids of chunks; each is looked up once, and those that are missing, and only they, are learned together."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        out = list(map(self.get, cut))
+        lost = [k for k, x in enumerate(out) if x is None]
+        missing = dict.fromkeys([cut[k] for k in lost])
+        unknown = [c for c in missing if c not in self.old]
+        missing = {c: self.old.get(c) for c in missing} | dict(zip(unknown, self.learn(unknown), strict=True))
+        for k in lost:
+            out[k] = missing[cut[k]]
+        self.update((c, x) for c, x in missing.items() if len(c) <= self.longest)
+        return out
+
+    def of_words(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of ``sizes`` bytes at ``begins``, one after the other, and each word's number of ids.
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        ``data`` has at least 48 bytes more than the words, and whole 64-bit numbers.
+        """
+        longs, text = data.view("<u8"), data.tobytes()
+        strings = lambda at: [text[b:e] for b, e in zip(
+            begins[at].tolist(), (begins[at] + sizes[at]).tolist(), strict=True)]
+        number = np.zeros(len(begins), "u8")  # where a word's ids begin, and in the low half how many there are
+        missing, of_word, which = [], {}, []  # different missing words are counted in the order they are met
+        for table, below in zip(self.tables, (0, *(8 * w for w in WIDTHS)), strict=False):
+            every = np.flatnonzero((sizes > below) & (sizes <= 8 * table.width))
+            for k in range(0, len(every), MANY):
+                mine = every[k:k + MANY]
+                at, size = begins[mine], sizes[mine]
+                place, shift = at >> 3, (at & 7).astype("u8") << np.uint64(3)
+                words, low = np.empty((len(mine), table.width), "u8"), longs[place]
+                for w in range(table.width):
+                    high = longs[place + (w + 1)]
+                    words[:, w] = low >> shift | high << np.uint64(1) << (np.uint64(63) - shift)
+                    if 8 * w + 8 > below:
+                        words[:, w] &= _KEEP[np.clip(size - 8 * w, 0, 8)]
+                    low = high
+                number[mine] = found = table.find(words)
+                lost = np.flatnonzero(found == 0)
+                known = len(of_word)
+                own = np.array([of_word.setdefault(c, len(of_word)) for c in strings(mine[lost])], "i8")
+                new, first = np.unique(own, return_index=True)
+                on = np.searchsorted(new, known)  # those before were met in another block
+                missing.append((table, words[lost[first[on:]]], new[on:]))
+                which.append((mine[lost], own))
+        kept = self.learn([c.decode() for c in of_word])
+        alone = np.flatnonzero(sizes > 8 * WIDTHS[-1])
+        own = kept + self.of_chunks([c.decode() for c in strings(alone)])
+        ids, count = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), "u8", len(own)) >> np.uint64(2)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * len(ids), "u4")])
+        self.ids[self.used:self.used + len(ids)] = ids
+        numbers = np.cumsum(count) - count + np.uint64(self.used) << np.uint64(32) | count
+        self.used += int(count[:len(kept)].sum())  # ids of the long ones are written over
+        number[alone] = numbers[len(kept):]
+        for at, own in which:
+            number[at] = numbers[own]
+        for table, words, own in missing:
+            table.add(words, numbers[own])
+        count = (number & np.uint64(0xFFFFFFFF)).astype("i8")
+        place = (number >> np.uint64(32)).astype("i8")
+        out, done = np.empty(count.sum(), "u4"), 0
+        for k in range(0, len(count), MANY):
+            n = count[k:k + MANY]
+            stops = np.cumsum(n)
+            at = np.repeat(place[k:k + MANY] - (stops - n), n)
+            at += np.arange(len(at))
+            out[done:done + len(at)] = self.ids[at]
+            done += len(at)
+        return out, count
+
+    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
         """Ids of each whole text and the end id.
 
         A text with the string of an added token goes to the library whole,
         which makes that token of it; all others are put together from chunks.
-        Each chunk is looked up once; those that are missing, and only they,
-        are learned together, and their texts joined then.
         """
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        out, waiting, missing = [], [], {}
-        for i, t in enumerate(texts):
+        if sum(t.n for t in self.tables) >= self.words:
+            self.forget()
+        texts = texts.cast(pa.large_string())
+        _, offsets, held = texts.buffers()
+        offsets = np.frombuffer(offsets, "<i8")[texts.offset:texts.offset + len(texts) + 1]
+        size = int(offsets[-1] - offsets[0])
+        data = np.zeros((size + 55) // 8 * 8, "u1")
+        if size:
+            data[:size] = np.frombuffer(held, "u1")[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        begins, odd = cut_places(data, offsets)
+        sizes, text = np.diff(begins, append=size), data.tobytes()
+        for a in self.added:
+            if a.encode() in text:
+                odd |= pa.compute.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if odd.any():
+            on = ~odd[np.searchsorted(offsets, begins, "right") - 1]
+            begins, sizes = begins[on], sizes[on]
+        ids, count = self.of_words(data, begins, sizes)
+        stops = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(begins, offsets)] * 4
+        ids, stops = ids.astype("<u4").tobytes(), stops.tolist()
+        out = [ids[a:b] + end for a, b in itertools.pairwise(stops)]
+        for i in np.flatnonzero(odd).tolist():
+            t = texts[i].as_py()
             if any(a in t for a in self.added):
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes() + end)
-                continue
-            cut = chunks(t, self.pattern)
-            ids = list(map(self.get, cut))
-            if None in ids:
-                lost = [(k, cut[k]) for k, x in enumerate(ids) if x is None]
-                missing.update(dict.fromkeys([c for _, c in lost]))
-                waiting.append((i, ids, lost))
-                out.append(b"")
+                own = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                out.append(b"".join(ids) + end)
-        unknown = list(missing)
-        if self.old:
-            for c in unknown:
-                if c in self.old:
-                    self[c] = self.old[c]
-            unknown = [c for c in unknown if c not in self]
-        self.learn(unknown)
-        for i, ids, lost in waiting:
-            for k, c in lost:
-                ids[k] = self[c]
-            out[i] = b"".join(ids) + end
-        for c in unknown:
-            if len(c) > self.longest:
-                del self[c]
+                own = b"".join(self.of_chunks(chunks(t, self.pattern)))
+            out[i] = own + end
         return out
 
 
@@ -354,9 +536,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
                 weights = pa.compute.binary_length(texts).to_pylist()
                 for i, w in enumerate(weights):
                     size += w
-                    if size >= 1 << 22 or i + 1 == len(ids):
-                        part = texts.slice(begun, i + 1 - begun).to_pylist()
-                        yield from zip(ids[begun:i + 1], library.encode(part, end), strict=True)
+                    if size >= PART or i + 1 == len(ids):
+                        part = library.encode(texts.slice(begun, i + 1 - begun), end)
+                        yield from zip(ids[begun:i + 1], part, strict=True)
                         begun, size = i + 1, 0
 
         documents = rows()

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -574,6 +575,41 @@ def test_token_files_of_texts_with_an_added_token(spark, tables):
         start += len(ids)
 
 
+def test_token_ids_of_cut_texts_against_the_library():
+    """Any white space, marks and long words, also where the tables of words are emptied again and again."""
+    import pyarrow as pa
+    from parlance.llm import simple8b
+    from tokenizers import Tokenizer
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        data = f.read()
+    tokenizer, rng, end = Tokenizer.from_str(data), random.Random(5), b"\2\0\0\0"
+    plain = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\v", "\f", "\n ", "\t ", "a", "bc", "word", "Wörter", "été", "é,", "×,",
+             "÷.", "º!", "don't", "'s", "''s", "'re,", "x'sy", "...", ",", "$", "#@", "1", "23", "4,5", "٣", "漢字", "漢,字", "🙂,",
+             "á,", "’s", "—", "\x01", "\x7f", "\u200b", "ß" * 20, "supercalifragilistic" * 2, "Donaudampf" * 8]
+    odd = ["\xa0", "\u202f", "\u3000", "\x85", "\x1c", "\0", "<|endoftext|>", "<|endoftext"]
+    small = simple8b.LibraryIds(data, public_tokenizers.PATTERN, limit=50, words=100)
+    large = simple8b.LibraryIds(data, public_tokenizers.PATTERN)
+    for _ in range(300):
+        texts = ["".join(rng.choices(rng.choice([plain, plain, plain + odd]), k=rng.choice([0, 1, 2, 3, 8, 60])))
+                 for _ in range(rng.choice([1, 2, 12]))]
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end for t in texts]
+        column = pa.array(["before", *texts, "behind"]).slice(1, len(texts))
+        assert small.encode(column, end) == want and large.encode(column, end) == want
+
+
+def test_words_go_to_the_library_once():
+    """A word before different marks is one word; it stays known however many others come (up to the bound)."""
+    import pyarrow as pa
+    from parlance.llm import simple8b
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        library = simple8b.LibraryIds(f.read(), public_tokenizers.PATTERN, limit=10)
+    given, learn = [], library.learn
+    library.learn = lambda new: given.extend(new) or learn(new)
+    for k in range(40):
+        library.encode(pa.array([f"so many words, words. words; n{chr(97 + k % 26)}w{chr(97 + k // 26)} été, été!"]), b"")
+    assert len(given) == len(set(given)) == 8 + 40  # so, many, words, été, the four marks; the others
+
+
 def test_simple8b_round_trip():
     from parlance.llm import simple8b
     rng = np.random.default_rng(0)
