@@ -422,6 +422,46 @@ def test_bpe_random_texts():
         assert decoder.decode(ids) == t.encode()
 
 
+def test_bpe_ranks_in_any_order():
+    """Vocabularies where a merge makes a pair of lower rank, so that others of its bucket must wait."""
+    import random
+
+    import tiktoken
+
+    from parlance.llm import bpe
+    rng = random.Random(5)
+    for _ in range(30):
+        longer = list({"".join(rng.choices("ab ", k=rng.randint(2, 6))).encode() for _ in range(60)})
+        rng.shuffle(longer)
+        ranks = {t: i for i, t in enumerate([*(bytes([b]) for b in range(256)), *longer])}
+        reference = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+        pieces = ["".join(rng.choices("ab ", k=rng.randint(1, 60))) for _ in range(100)] + ["a" * 3000, "ab " * 700]
+        pieces = [p for p in pieces if p.encode() not in ranks]
+        found = bpe.Merger(ranks).merge([p.encode() for p in pieces])
+        assert [np.frombuffer(i, "<u4").tolist() for i in found] == [reference.encode_ordinary(p) for p in pieces]
+
+
+def test_bpe_merges_new_words_together(monkeypatch):
+    """The new words of a group of texts go through few queues, not one each; long ones are not kept."""
+    import random
+
+    from parlance.llm import bpe
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.load_ranks(f.read())
+    encoder = bpe.ChunkIds(ranks, public_tokenizers.PATTERN, limit=500)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=12)) for _ in range(50)) for _ in range(200)]
+    texts += ["x" * 500 + "1" * 500, "x" * 5000, ""]
+    queues, merge = [], encoder.merger.merge
+    monkeypatch.setattr(encoder.merger, "merge", lambda pieces: queues.append(len(pieces)) or merge(pieces))
+    together = encoder.encode_all(texts)
+    size = sum(len(t) for t in texts)
+    assert sum(queues) > 9000 and len(queues) <= size // bpe._QUEUE_BYTES + 1
+    assert max(map(len, encoder)) <= encoder.longest
+    assert together == [encoder.encode(t) for t in texts]  # over several generations
+    assert max(map(len, [*encoder, *encoder.old])) <= encoder.longest
+
+
 def accuracy(rows, truth):
     held = [r for r in rows if r["held_out"] and truth.get(r["doc_id"]) is not None]
     assert held
