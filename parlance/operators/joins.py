@@ -36,6 +36,22 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int,
     return much.unionByName(rest)
 
 
+def kept_by_key(table: DataFrame, key: str) -> DataFrame:
+    """Checkpoint of a table that comes in hash partitions of ``key``: joins and groups by ``key`` do not shuffle it again.
+
+    Rows are sorted by key, too.  Adaptive plans do not say how their result
+    is partitioned, so this one write is planned without; a plan that would
+    need the key dealt otherwise still shuffles.
+    """
+    conf, name = table.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return table.sortWithinPartitions(key).checkpoint()
+    finally:
+        conf.set(name, was)
+
+
 def ranked(table: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
     """Adds the place (from 0) of each row in ``order``, by ranges: no window over the whole table.
 

@@ -157,3 +157,34 @@ def test_marked_places_are_a_compiled_filter(spark):
     few = {tuple(r) for r in SL.marked_places(texts, tokens, 64, "_key").collect()}
     assert {("k", 1, "a"), ("k", 4, "a"), ("k", 5, "é")} <= few <= {("k", i + 1, t) for i, t in enumerate(["a", " ", "b", "a", "é"])}
     assert "filter(transform(_t" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_slots_are_written_once_and_not_shuffled_again(spark, monkeypatch):
+    """Of each slot only the places of its picks are written, as numbers; no array of a text's tokens is."""
+    kept, real = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda d, *a: kept.append(d.schema) or real(d, *a))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    df = spark.createDataFrame([(1, "This cat of the house"), (2, "that of that"), (2, "that of that"), (3, None), (4, "")],
+                               "id int, text string")
+    d = spark.createDataFrame([("q", 1, "this", "this"), ("q", 1, "that", "that"), ("p r", 2, "of", "of"),
+                               ("p r", 2, "of the", "of"), ("last", 3, "r q", "r")], DICT)
+    out = SL.replace_slots_join(df, "text", d)
+    texts = [s for s in kept if "text" in s.names]
+    assert len(texts) == 1 and texts[0].names == ["id", "text", "_key"]
+    assert not any(f.dataType.simpleString() == "array<string>" for s in kept for f in s)
+    assert sum(s.names == ["_key", "_at", "_len"] for s in kept) == 3  # the picks of a slot
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    assert sorted((r["id"], r["utterance_slots"], r["n_slots"]) for r in out.collect()) == [
+        (1, "q cat p r house", 2), (2, "q p last", 4), (2, "q p last", 4), (3, None, None), (4, "", 0)]
+
+
+def test_slots_of_a_large_dictionary_equal_those_of_a_small_one(spark, monkeypatch):
+    """Aliases broadcast, or places joined by token: the same rows, picks of names that earlier slots put in included."""
+    texts = ["that of the u.s. of that", "of the the of c++", None, "", "one of one", "that that that"] * 3
+    aliases = [("x y", 1, "that"), ("x y", 1, "one"), ("b", 2, "of"), ("b", 2, "of the"), ("b", 2, "c++"), ("c", 3, "y b"),
+               ("c", 3, "u.s."), ("d", 4, "x"), ("e", 5, "unseen")]
+    for limit in (SL.FEW, 0):
+        monkeypatch.setattr(SL, "FEW", limit)
+        got, want = both_forms(spark, texts, aliases)
+        assert got == want
